@@ -1,6 +1,247 @@
-def survey_queries():
-    return {}
+"""The survey script as Spark plans, plus the DuckDB statement of each result.
 
+R's flow: label Q1-Q4 (V1) -> split commuters (F11) -> covariance and
+reliability of the rating blocks on commuters with numeric ratings -> Q5
+labels on commuters -> frequency tables on all respondents -> cross-tabs on
+commuters -> box plots of every rating by occupation -> melted blocks.
+"""
 
-def survey_sql():
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .. import constants as K
+from ..config import SurveyConfig
+from ..operators import aggregates as A
+from ..operators import survey as S
+from ..sources import adapters as AD
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+PROFILE_LABELS = {
+    "Q1": K.GENDER_LABELS,
+    "Q2": K.AGE_LABELS,
+    "Q3": K.OCCUPATION_LABELS,
+    "Q4": K.FREQUENCY_LABELS,
+}
+BOXED = K.Q9_COLUMNS + K.Q10_COLUMNS + ("Q12",)
+Q9_ASPECT_MAP = dict(zip(K.Q9_COLUMNS, K.Q9_ASPECTS))
+Q10_ASPECT_MAP = dict(zip(K.Q10_COLUMNS, K.Q10_ASPECTS))
+
+
+class SurveyPlan:
+    """Lazy survey tables; V1 reads each column's distinct codes (bounded)."""
+
+    def __init__(self, raw: DataFrame, cfg: SurveyConfig | None = None):
+        self.cfg = cfg or SurveyConfig()
+        self.raw = raw
+        data = raw
+        for col, labels in PROFILE_LABELS.items():
+            data = S.encode_levels(data, col, labels)
+        self.data = data
+        self.commuters1, self.non_commuters = S.split_commuters(
+            data, self.cfg.frequency, K.FREQUENCY_LABELS, self.cfg.non_commuter_level
+        )
+        self.non_commuters = self.non_commuters.select("Q1", "Q2", "Q3", "Q4")
+
+    def commuters(self) -> DataFrame:
+        """Commuters with transport mode labelled on the commuter subset."""
+        return S.encode_levels(self.commuters1, self.cfg.mode, K.MODE_LABELS)
+
+    def frequency(self, col: str) -> DataFrame:
+        if col == self.cfg.mode:
+            # all respondents, raw codes, the first four codes form the total
+            return S.frequency_table(self.raw, col, K.MODE_LABELS, first_codes=len(K.MODE_LABELS))
+        return S.frequency_table(self.raw, col, PROFILE_LABELS[col])
+
+    def crosstab(self, row: str, col: str) -> DataFrame:
+        return S.crosstab_counts(self.commuters(), row, col)
+
+    def covariance(self, block: tuple[str, ...]) -> DataFrame:
+        return S.pairwise_covariance(self.commuters1, block)
+
+    def reliability(self, block: tuple[str, ...], name: str) -> DataFrame:
+        return S.cronbach_alpha(self.commuters1, block, name)
+
+    def bars(self) -> DataFrame:
+        return A.segmented_count(self.commuters1, [self.cfg.occupation])
+
+    def box(self, value_col: str) -> DataFrame:
+        return S.box_stats(self.commuters1, [self.cfg.occupation], value_col)
+
+    def melted(self, block: tuple[str, ...], aspects: dict) -> DataFrame:
+        long = S.melt(self.commuters1.select(self.cfg.occupation, *block), [self.cfg.occupation], block)
+        long = long.withColumnRenamed(self.cfg.occupation, "Occupation")
+        return S.relabel(long, "Aspects", aspects)
+
+    def box_melted(self, block: tuple[str, ...], aspects: dict) -> DataFrame:
+        return S.box_stats(self.melted(block, aspects), ["Occupation", "Aspects"], "Ratings")
+
+
+def _plan(spark: SparkSession, d: str) -> SurveyPlan:
+    return SurveyPlan(AD.survey(spark, d))
+
+
+def survey_queries() -> dict[str, Query]:
+    q: dict[str, Query] = {
+        "survey_labelled": lambda s, d: _plan(s, d).data,
+        "non_commuters": lambda s, d: _plan(s, d).non_commuters,
+        "freq_gender": lambda s, d: _plan(s, d).frequency("Q1"),
+        "freq_age": lambda s, d: _plan(s, d).frequency("Q2"),
+        "freq_occupation": lambda s, d: _plan(s, d).frequency("Q3"),
+        "freq_frequency": lambda s, d: _plan(s, d).frequency("Q4"),
+        "freq_mode": lambda s, d: _plan(s, d).frequency("Q5"),
+        "crosstab_gender_occupation": lambda s, d: _plan(s, d).crosstab("Q1", "Q3"),
+        "crosstab_age_occupation": lambda s, d: _plan(s, d).crosstab("Q2", "Q3"),
+        "crosstab_occupation_frequency": lambda s, d: _plan(s, d).crosstab("Q3", "Q4"),
+        "crosstab_occupation_mode": lambda s, d: _plan(s, d).crosstab("Q3", "Q5"),
+        "covariance_q9": lambda s, d: _plan(s, d).covariance(K.Q9_COLUMNS),
+        "covariance_q10": lambda s, d: _plan(s, d).covariance(K.Q10_COLUMNS),
+        "cronbach_q9": lambda s, d: _plan(s, d).reliability(K.Q9_COLUMNS, "Q9"),
+        "cronbach_q10": lambda s, d: _plan(s, d).reliability(K.Q10_COLUMNS, "Q10"),
+        "bar_occupation": lambda s, d: _plan(s, d).bars(),
+        "melt_q9": lambda s, d: _plan(s, d).melted(K.Q9_COLUMNS, Q9_ASPECT_MAP),
+        "melt_q10": lambda s, d: _plan(s, d).melted(K.Q10_COLUMNS, Q10_ASPECT_MAP),
+        "box_melted_q9": lambda s, d: _plan(s, d).box_melted(K.Q9_COLUMNS, Q9_ASPECT_MAP),
+        "box_melted_q10": lambda s, d: _plan(s, d).box_melted(K.Q10_COLUMNS, Q10_ASPECT_MAP),
+    }
+    for col in BOXED:
+        q[f"box_{col.lower()}"] = (lambda c: lambda s, d: _plan(s, d).box(c))(col)
+    return q
+
+
+# ---------------------------------------------------------------------------
+# DuckDB statements
+# ---------------------------------------------------------------------------
+
+_SURVEY_SQL = """survey AS (SELECT
+  CAST(1 + l_suppkey % 2 AS INTEGER) AS Q1, CAST(1 + l_partkey % 6 AS INTEGER) AS Q2,
+  CAST(1 + l_partkey % 9 AS INTEGER) AS Q3, CAST(1 + l_orderkey % 5 AS INTEGER) AS Q4,
+  CAST(1 + l_suppkey % 4 AS INTEGER) AS Q5,
+  CAST(1 + l_quantity % 9 AS INTEGER) AS Q9_A, CAST(1 + round(l_discount * 100) % 9 AS INTEGER) AS Q9_B,
+  CAST(1 + round(l_tax * 100) % 9 AS INTEGER) AS Q9_C, CAST(1 + l_linenumber % 9 AS INTEGER) AS Q9_D,
+  CAST(1 + (l_quantity + round(l_tax * 100)) % 9 AS INTEGER) AS Q9_E,
+  CAST(1 + (l_quantity + l_linenumber) % 9 AS INTEGER) AS Q9_F, CAST(1 + l_suppkey % 9 AS INTEGER) AS Q9_G,
+  CAST(1 + floor(l_extendedprice) % 9 AS INTEGER) AS Q10_A, CAST(1 + l_quantity % 8 AS INTEGER) AS Q10_B,
+  CAST(1 + round(l_discount * 100) % 8 AS INTEGER) AS Q10_C, CAST(1 + round(l_tax * 100) % 8 AS INTEGER) AS Q10_D,
+  CAST(1 + l_linenumber % 8 AS INTEGER) AS Q10_E, CAST(1 + (l_quantity + round(l_tax * 100)) % 8 AS INTEGER) AS Q10_F,
+  CAST(1 + l_orderkey % 5 AS INTEGER) AS Q12
+FROM lineitem)"""
+
+
+def _list(labels) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in labels) + "]"
+
+
+def _levels_cte(name: str, src: str, col: str) -> str:
+    return (f"{name} AS (SELECT code, row_number() OVER (ORDER BY code) AS i FROM "
+            f"(SELECT DISTINCT {col} AS code FROM {src} WHERE {col} IS NOT NULL) t)")
+
+
+def survey_head() -> str:
+    levels = ",\n".join(_levels_cte(f"lv_{c}", "survey", c) for c in PROFILE_LABELS)
+    repl = ", ".join(f"{_list(lab)}[lv_{c}.i] AS {c}" for c, lab in PROFILE_LABELS.items())
+    joins = " ".join(f"LEFT JOIN lv_{c} ON s.{c} = lv_{c}.code" for c in PROFILE_LABELS)
+    return f"""WITH {_SURVEY_SQL},
+{levels},
+data AS (SELECT s.* REPLACE ({repl}) FROM survey s {joins}),
+commuters1 AS (SELECT * FROM data WHERE Q4 <> 'Never use PT'),
+{_levels_cte('lv_Q5', 'commuters1', 'Q5')},
+commuters AS (SELECT c.* REPLACE ({_list(K.MODE_LABELS)}[lv_Q5.i] AS Q5) FROM commuters1 c LEFT JOIN lv_Q5 ON c.Q5 = lv_Q5.code)
+"""
+
+
+def _freq_sql(col: str, labels, first: int | None) -> str:
+    keep = f"WHERE level <= {first}" if first else ""
+    if first:
+        return f"""cnt AS (SELECT {col} AS code, count(*) AS n FROM survey WHERE {col} IS NOT NULL GROUP BY {col}),
+rk AS (SELECT *, row_number() OVER (ORDER BY code) AS level FROM cnt),
+kept AS (SELECT * FROM rk {keep})
+SELECT level, {_list(labels)}[level] AS label, code, n, round(100 * n / sum(n) OVER (), 2) AS pct FROM kept"""
+    return f"""cnt AS (SELECT {col} AS code, count(*) AS n FROM survey WHERE {col} IS NOT NULL GROUP BY {col}),
+rk AS (SELECT *, row_number() OVER (ORDER BY code) AS level FROM cnt),
+lv AS (SELECT i AS level, {_list(labels)}[i] AS label FROM range(1, {len(labels) + 1}) r(i)),
+kept AS (SELECT lv.level, lv.label, rk.code, coalesce(rk.n, 0) AS n FROM lv LEFT JOIN rk ON lv.level = rk.level)
+SELECT level, label, code, n, round(100 * n / sum(n) OVER (), 2) AS pct FROM kept"""
+
+
+def _cov_sql(block) -> str:
+    from itertools import combinations
+
+    parts = []
+    for a, b in combinations(block, 2):
+        parts.append(
+            f"SELECT '{a}' AS col1, '{b}' AS col2, CASE WHEN count({a}) = count(*) AND count({b}) = count(*) "
+            f"AND count(*) > 1 THEN CAST(CAST(count(*) AS HUGEINT) * sum(CAST({a} AS HUGEINT) * {b}) "
+            f"- sum(CAST({a} AS HUGEINT)) * sum(CAST({b} AS HUGEINT)) AS DOUBLE) "
+            f"/ CAST(CAST(count(*) AS HUGEINT) * (count(*) - 1) AS DOUBLE) END AS covariance FROM commuters1"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _alpha_sql(block, name: str) -> str:
+    k = len(block)
+    total = " + ".join(f"CAST({c} AS HUGEINT)" for c in block)
+    num = " + ".join(f"(n * s2_{c} - s_{c} * s_{c})" for c in block)
+    sums = ", ".join(f"sum(CAST({c} AS HUGEINT)) AS s_{c}, sum(CAST({c} AS HUGEINT) * {c}) AS s2_{c}" for c in block)
+    return f"""cc AS (SELECT {', '.join(block)}, {total} AS t FROM commuters1 WHERE {' AND '.join(f'{c} IS NOT NULL' for c in block)}),
+m AS (SELECT CAST(count(*) AS HUGEINT) AS n, sum(t) AS st, sum(t * t) AS stt, {sums} FROM cc),
+r AS (SELECT n, n * stt - st * st AS den, {num} AS num FROM m)
+SELECT '{name}' AS block, {k} AS items, CAST(n AS BIGINT) AS n,
+  CASE WHEN den <> 0 THEN CAST({k} * (den - num) AS DOUBLE) / CAST({k - 1} * den AS DOUBLE) END AS alpha FROM r"""
+
+
+def _box_sql(src: str, groups, value: str) -> str:
+    g = ", ".join(groups)
+    on = " AND ".join(f"b.{c} IS NOT DISTINCT FROM f.{c}" for c in groups)
+    fg = ", ".join(f"f.{c}" for c in groups)
+    return f"""b AS (SELECT {g}, CAST({value} AS DOUBLE) AS v FROM {src} WHERE {value} IS NOT NULL),
+q AS (SELECT {g}, count(*) AS n, quantile_cont(v, 0.25) AS lower_quartile, quantile_cont(v, 0.5) AS median,
+      quantile_cont(v, 0.75) AS upper_quartile FROM b GROUP BY {g}),
+f AS (SELECT *, lower_quartile - 1.5 * (upper_quartile - lower_quartile) AS lo,
+      upper_quartile + 1.5 * (upper_quartile - lower_quartile) AS hi FROM q)
+SELECT {fg}, f.n, f.lower_quartile, f.median, f.upper_quartile,
+  min(CASE WHEN v >= lo AND v <= hi THEN v END) AS lower_whisker,
+  max(CASE WHEN v >= lo AND v <= hi THEN v END) AS upper_whisker,
+  count(*) FILTER (WHERE v < lo OR v > hi) AS n_outliers
+FROM b JOIN f ON {on} GROUP BY {fg}, f.n, f.lower_quartile, f.median, f.upper_quartile"""
+
+
+def _melt_sql(block, aspects: dict) -> str:
+    case = " ".join(f"WHEN '{k}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in aspects.items())
+    return f"""mblock AS (SELECT Q3, {', '.join(block)} FROM commuters1),
+long AS (SELECT * FROM mblock UNPIVOT INCLUDE NULLS (Ratings FOR Aspects IN ({', '.join(block)}))),
+melted AS (SELECT Q3 AS Occupation, CASE Aspects {case} ELSE Aspects END AS Aspects, Ratings FROM long)"""
+
+
+def survey_sql() -> dict[str, str]:
+    h = survey_head()
+    out = {
+        "survey_labelled": h + "SELECT * FROM data",
+        "non_commuters": h + "SELECT Q1, Q2, Q3, Q4 FROM data WHERE Q4 = 'Never use PT'",
+        "freq_gender": h + ", " + _freq_sql("Q1", K.GENDER_LABELS, None),
+        "freq_age": h + ", " + _freq_sql("Q2", K.AGE_LABELS, None),
+        "freq_occupation": h + ", " + _freq_sql("Q3", K.OCCUPATION_LABELS, None),
+        "freq_frequency": h + ", " + _freq_sql("Q4", K.FREQUENCY_LABELS, None),
+        "freq_mode": h + ", " + _freq_sql("Q5", K.MODE_LABELS, len(K.MODE_LABELS)),
+        "crosstab_gender_occupation": h + 'SELECT Q1, Q3, count(*) AS "count" FROM commuters GROUP BY Q1, Q3',
+        "crosstab_age_occupation": h + 'SELECT Q2, Q3, count(*) AS "count" FROM commuters GROUP BY Q2, Q3',
+        "crosstab_occupation_frequency": h + 'SELECT Q3, Q4, count(*) AS "count" FROM commuters GROUP BY Q3, Q4',
+        "crosstab_occupation_mode": h + 'SELECT Q3, Q5, count(*) AS "count" FROM commuters GROUP BY Q3, Q5',
+        "covariance_q9": h + _cov_sql(K.Q9_COLUMNS),
+        "covariance_q10": h + _cov_sql(K.Q10_COLUMNS),
+        "cronbach_q9": h + ", " + _alpha_sql(K.Q9_COLUMNS, "Q9"),
+        "cronbach_q10": h + ", " + _alpha_sql(K.Q10_COLUMNS, "Q10"),
+        "bar_occupation": h + 'SELECT Q3, count(*) AS "count" FROM commuters1 GROUP BY Q3',
+        "melt_q9": h + ", " + _melt_sql(K.Q9_COLUMNS, Q9_ASPECT_MAP) + " SELECT * FROM melted",
+        "melt_q10": h + ", " + _melt_sql(K.Q10_COLUMNS, Q10_ASPECT_MAP) + " SELECT * FROM melted",
+        "box_melted_q9": h + ", " + _melt_sql(K.Q9_COLUMNS, Q9_ASPECT_MAP) + ", "
+        + _box_sql("melted", ["Occupation", "Aspects"], "Ratings"),
+        "box_melted_q10": h + ", " + _melt_sql(K.Q10_COLUMNS, Q10_ASPECT_MAP) + ", "
+        + _box_sql("melted", ["Occupation", "Aspects"], "Ratings"),
+    }
+    for col in BOXED:
+        out[f"box_{col.lower()}"] = h + ", " + _box_sql("commuters1", ["Q3"], col)
+    return out
