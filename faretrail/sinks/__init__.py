@@ -1,0 +1,76 @@
+"""Sinks K1-K5.
+
+Every writer runs on the executors; nothing is gathered on the driver. The
+one-document JSON report (K1) is by nature one value written by one task, so
+it is for report-sized results only and checks its row count lazily.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+INFO_MAX_ROWS = 1_000_000
+
+
+def to_info_json(df: DataFrame, max_rows: int = INFO_MAX_ROWS, sort: bool = True) -> DataFrame:
+    """K1: one row, one column ``value`` = ``{"Info":[{...},...]}``.
+
+    Null fields are left out of each record (as ``toJSON``). Records are
+    sorted by all fields when ``sort`` (the reference leaves order open).
+    More than ``max_rows`` rows raises at run time instead of building a
+    value that does not fit one task.
+    """
+    rows = F.collect_list(F.struct(*[F.col(c) for c in df.columns]))
+    rows = F.array_sort(rows) if sort else rows
+    doc = df.agg(F.count(F.lit(1)).alias("__n"), rows.alias("Info"))
+    guard = F.when(
+        F.col("__n") > F.lit(max_rows),
+        F.raise_error(F.lit(f"report has more than {max_rows} rows; write JSON lines instead")),
+    )
+    return doc.select(F.coalesce(guard.cast("string"), F.to_json(F.struct("Info"))).alias("value"))
+
+
+def write_info_json(df: DataFrame, path: str, max_rows: int = INFO_MAX_ROWS, mode: str = "errorifexists") -> None:
+    """K1 to storage: a folder holding one text file with the document."""
+    to_info_json(df, max_rows).write.mode(mode).text(path)
+
+
+def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """K1 for large reports: one JSON record per line, written in parallel."""
+    df.write.mode(mode).json(path)
+
+
+def write_delimited(df: DataFrame, path: str, sep: str = "|", single_file: bool = False,
+                    mode: str = "errorifexists", header: bool = True) -> None:
+    """K2: delimited text with a header. ``single_file`` shuffles the final
+    rows into one partition (``repartition(1)``, so the work above still runs
+    in parallel; ``coalesce(1)`` would narrow the whole last stage)."""
+    out = df.repartition(1) if single_file else df
+    out.write.mode(mode).option("header", header).option("sep", sep).csv(path)
+
+
+def with_row_index(df: DataFrame, order_by: Sequence[str], index_col: str = "row") -> DataFrame:
+    """1-based row number in ``order_by`` order. A global order runs in one
+    task: use it on bounded tables only (pair tables, per-level counts)."""
+    w = Window.orderBy(*[F.col(c) for c in order_by])
+    return df.select(F.row_number().over(w).alias(index_col), *df.columns)
+
+
+def write_indexed_csv(df: DataFrame, path: str, order_by: Sequence[str], index_col: str = "row",
+                      mode: str = "errorifexists") -> None:
+    """K3: comma-separated file with a 1-based row index first (R's write.csv)."""
+    with_row_index(df, order_by, index_col).repartition(1).write.mode(mode).option("header", True).csv(path)
+
+
+def save_results(results: Mapping[str, DataFrame], folder: str, mode: str = "errorifexists") -> dict[str, str]:
+    """K5: every named result as Parquet under ``folder/<name>``."""
+    written = {}
+    for name, df in results.items():
+        path = os.path.join(folder, name)
+        df.write.mode(mode).parquet(path)
+        written[name] = path
+    return written
