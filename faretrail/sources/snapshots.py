@@ -37,7 +37,7 @@ def with_snapshot_date(df: DataFrame, path_col: str = "file_path",
                        fmt: str = K.SNAPSHOT_FILE_DATE_FORMAT) -> DataFrame:
     """``snapshot_date`` (DATE) from the 8 digits in the file name."""
     digits = F.regexp_extract(F.col(path_col), pattern, 1)
-    return df.withColumn("snapshot_date", F.try_to_date(F.nullif(digits, F.lit("")), F.lit(fmt)))
+    return df.withColumn("snapshot_date", F.try_to_date(F.nullif(digits, F.lit("")), fmt))
 
 
 def snapshot_text(col: str = "snapshot_date", fmt: str = K.SNAPSHOT_DATE_TEXT_FORMAT):
