@@ -23,6 +23,10 @@ class JourneyConfig:
     max_transfer_gap_sec: int = K.MAX_TRANSFER_GAP_SEC
     transfer_relabel: dict = field(default_factory=lambda: dict(K.TRANSFER_RELABEL))
     stamp_format: str = K.TAG_STAMP_FORMAT
+    # "lists": Sunday/Saturday are the listed dates, every other date (also -1)
+    # is a weekday. "dayofweek": the calendar day of the yyyyMMdd date; a date
+    # that does not parse (e.g. -1) is in no class.
+    day_rule: str = "lists"
 
     @classmethod
     def for_test_events(cls) -> "JourneyConfig":

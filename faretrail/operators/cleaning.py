@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -30,6 +30,11 @@ def select_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*names)
 
 
+def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
+    """Rename columns (others unchanged)."""
+    return df.withColumnsRenamed(mapping)
+
+
 def drop_positions(df: DataFrame, positions: Iterable[int]) -> DataFrame:
     """Drop columns by 1-based position (resolved at plan time)."""
     drop = set(positions)
@@ -80,17 +85,35 @@ def peak_filter(df: DataFrame, off_peak: bool, end: str = "TAG1") -> DataFrame:
     return df.filter(F.col(f"{end}_OFF_PEAK_IND") == F.lit(off_peak))
 
 
+def day_class_condition(which: str, date_col: str = "TAG1_DT_FK", cfg: JourneyConfig | None = None) -> Column:
+    """F6/F7 predicate: ``sunday``, ``saturday`` or ``weekday``.
+
+    With ``cfg.day_rule == "lists"`` (the reference) the listed dates decide
+    and any other date, -1 included, is a weekday; a null date is in no class.
+    With ``"dayofweek"`` the calendar decides (Spark: Sunday = 1, Saturday = 7)
+    and an unparsable date is in no class.
+    """
+    cfg = cfg or JourneyConfig()
+    if cfg.day_rule == "dayofweek":
+        dow = F.dayofweek(F.try_to_date(F.col(date_col).cast("string"), "yyyyMMdd"))
+        conds = {"sunday": dow == 1, "saturday": dow == 7, "weekday": dow.between(2, 6)}
+    elif cfg.day_rule == "lists":
+        conds = {
+            "sunday": in_days(date_col, cfg.sundays),
+            "saturday": in_days(date_col, cfg.saturdays),
+            "weekday": not_in_days(date_col, cfg.sundays, cfg.saturdays),
+        }
+    else:
+        raise ValueError(f"unknown day rule {cfg.day_rule!r}")
+    if which not in conds:
+        raise ValueError(f"unknown day class {which!r}")
+    return conds[which]
+
+
 def day_class_filter(df: DataFrame, which: str, date_col: str = "TAG1_DT_FK",
                      cfg: JourneyConfig | None = None) -> DataFrame:
-    """``sunday``, ``saturday`` or ``weekday`` (in neither list)."""
-    cfg = cfg or JourneyConfig()
-    if which == "sunday":
-        return df.filter(in_days(date_col, cfg.sundays))
-    if which == "saturday":
-        return df.filter(in_days(date_col, cfg.saturdays))
-    if which == "weekday":
-        return df.filter(not_in_days(date_col, cfg.sundays, cfg.saturdays))
-    raise ValueError(f"unknown day class {which!r}")
+    """keep ``sunday``, ``saturday`` or ``weekday`` trips."""
+    return df.filter(day_class_condition(which, date_col, cfg))
 
 
 def transfers_only(df: DataFrame) -> DataFrame:
@@ -203,14 +226,17 @@ def clamp_tag_off_date(df: DataFrame, keep_dates: Iterable[int] = K.KEEP_TAG_OFF
     return df.withColumn("TAG2_DT_FK", out)
 
 
-def repair_duration(df: DataFrame, fmt: str = K.TAG_STAMP_FORMAT) -> DataFrame:
+def repair_duration(df: DataFrame, fmt: str = K.TAG_STAMP_FORMAT, wrap_midnight: bool = False) -> DataFrame:
     """A negative duration is replaced by |tag-off stamp - tag-on stamp| seconds.
 
     Runs after C7/C8, so a missing tag-off gives 0 (dropped later by F4). An
-    unparsable stamp gives null (also dropped by F4).
+    unparsable stamp gives null (also dropped by F4). C8 moves a trip past
+    midnight onto its tag-on date, so the reference gets about a day minus
+    the trip; ``wrap_midnight=True`` instead takes (off - on) modulo a day.
     """
     dur = F.col("JS_DURN_SEC")
-    gap = F.abs(tag_epoch_seconds("TAG2_DT_FK", "TAG2_TM", fmt) - tag_epoch_seconds("TAG1_DT_FK", "TAG1_TM", fmt))
+    diff = tag_epoch_seconds("TAG2_DT_FK", "TAG2_TM", fmt) - tag_epoch_seconds("TAG1_DT_FK", "TAG1_TM", fmt)
+    gap = F.pmod(diff, F.lit(86400)) if wrap_midnight else F.abs(diff)
     return df.withColumn("JS_DURN_SEC", F.when(dur < 0, gap).otherwise(dur))
 
 

@@ -140,17 +140,23 @@ def _exact(c: Column) -> Column:
     return c.cast(EXACT)
 
 
-def pairwise_covariance(df: DataFrame, cols: Sequence[str], complete_only: bool = False) -> DataFrame:
+def pairwise_covariance(df: DataFrame, cols: Sequence[str], use: str = "everything") -> DataFrame:
     """Sample covariance of every column pair (i < j), long form
     ``(col1, col2, covariance)``, from one aggregate.
 
     cov = (n*Sxy - Sx*Sy) / (n*(n-1)) over exact sums, one final division.
-    As R's ``cov``, a null in either column makes that pair's result null
-    (``complete_only=True`` instead drops incomplete rows first).
+    ``use`` follows R's ``cov``: ``everything`` (default: a null in either
+    column makes that pair null), ``complete`` (drop rows with any null in
+    the block first) or ``pairwise`` (each pair over the rows where both
+    are present).
     """
     src = df.select(*cols)
-    if complete_only:
+    if use == "complete":
         src = src.dropna()
+    elif use == "pairwise":
+        return _pairwise_complete_covariance(src, cols)
+    elif use != "everything":
+        raise ValueError(f"unknown use {use!r}")
     pairs = list(combinations(cols, 2))
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
@@ -169,6 +175,30 @@ def pairwise_covariance(df: DataFrame, cols: Sequence[str], complete_only: bool
     return m.select(F.inline(F.array(*rows)))
 
 
+def _pairwise_complete_covariance(src: DataFrame, cols: Sequence[str]) -> DataFrame:
+    pairs = list(combinations(cols, 2))
+    aggs = []
+    for a, b in pairs:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = _exact(F.col(a)), _exact(F.col(b))
+        aggs += [
+            F.count(F.when(both, F.lit(1))).alias(f"n_{a}__{b}"),
+            F.sum(F.when(both, x)).alias(f"sa_{a}__{b}"),
+            F.sum(F.when(both, y)).alias(f"sb_{a}__{b}"),
+            F.sum(x * y).alias(f"p_{a}__{b}"),
+        ]
+    m = src.agg(*aggs)
+    rows = []
+    for a, b in pairs:
+        t = f"{a}__{b}"
+        n = _exact(F.col(f"n_{t}"))
+        num = n * F.col(f"p_{t}") - F.col(f"sa_{t}") * F.col(f"sb_{t}")
+        cov = F.try_divide(num.cast("double"), (n * (n - F.lit(1))).cast("double"))
+        rows.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
+                             F.when(F.col(f"n_{t}") > 1, cov).alias("covariance")))
+    return m.select(F.inline(F.array(*rows)))
+
+
 def cronbach_alpha(df: DataFrame, cols: Sequence[str], name: str | None = None) -> DataFrame:
     """Cronbach's alpha over complete rows, one aggregate.
 

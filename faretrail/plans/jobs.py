@@ -30,15 +30,15 @@ def journey_job(raw: DataFrame, out_dir: str, cfg: JourneyConfig | None = None,
     """All journey reports from one cleaned table; each written with the
     reference's sink (JSON document, delimited file, or JSON for the KPIs)."""
     suite = JourneySuite(raw, cfg, materialize_bases=materialize_bases)
-    written = {}
+    docs = {r.name: suite.report(r.key) for r in REPORTS if r.sink in ("info_json", "console")}
+    written = {"documents": sinks.write_info_documents(docs, os.path.join(out_dir, "documents"))}
     for r in REPORTS:
-        df = suite.report(r.key)
-        path = os.path.join(out_dir, r.name + (".csv" if r.sink == "csv" else ".json"))
         if r.sink == "csv":
-            sinks.write_delimited(df, path, sep="|", single_file=True)
-        else:
-            sinks.write_info_json(df, path)
-        written[r.key] = path
+            written[r.name] = os.path.join(out_dir, r.name + ".csv")
+            sinks.write_delimited(suite.report(r.key), written[r.name], sep="|", single_file=True)
+        elif r.sink == "jsonl":
+            written[r.name] = os.path.join(out_dir, r.name + ".jsonl")
+            sinks.write_json_lines(suite.report(r.key), written[r.name])
     return written
 
 

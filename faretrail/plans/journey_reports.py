@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..config import JourneyConfig
-from ..functions import in_days, not_in_days
+from ..operators.cleaning import day_class_condition
 from ..operators import aggregates as A
 from ..operators import transfers as T
 from ..schemas import DEPARTURE_KEYS as DEP
@@ -36,7 +37,7 @@ class Report:
     keys: tuple[str, ...]
     where: tuple[str, ...] = ()
     measure: str = "count"   # count | avg_duration | kpi_off | kpi_peak
-    sink: str = "info_json"  # info_json | csv | console
+    sink: str = "info_json"  # info_json | jsonl | csv | console
 
 
 REPORTS: tuple[Report, ...] = (
@@ -88,8 +89,9 @@ REPORTS: tuple[Report, ...] = (
     Report("r40_unknown_card_saturday", "unknownCardSaturday", "unknowns", PCARD, ("saturday2",)),
     Report("r41_unknown_card_sunday", "unknownCardSunday", "unknowns", PCARD, ("sunday2",)),
     Report("r42_type_route", "typeRoute", "selected", ("TS_TYP_CD", "ROUTE_val_NM"), ("route",)),
-    Report("r43_time_mode", "timeMode", "journey", ("TS_TYP_CD", "TAG1_TM")),
-    Report("r44_card_time_mode", "cardTimeMode", "journey", ("CARD_TYP_CD", "TS_TYP_CD", "TAG1_TM")),
+    # One row per time of day and mode (and card type): too many for one JSON document at scale.
+    Report("r43_time_mode", "timeMode", "journey", ("TS_TYP_CD", "TAG1_TM"), sink="jsonl"),
+    Report("r44_card_time_mode", "cardTimeMode", "journey", ("CARD_TYP_CD", "TS_TYP_CD", "TAG1_TM"), sink="jsonl"),
     Report("r45_time_station", "timeStation", "journey", ("TAG1_TS_NM", "TAG1_TM"), sink="csv"),
     Report("r46_time_mode_station", "timeModeStation", "journey", ("TS_TYP_CD", "TAG1_TS_NM", "TAG1_TM"),
            sink="csv"),
@@ -112,11 +114,7 @@ def condition(name: str, cfg: JourneyConfig) -> Column:
     for cls in ("sunday", "saturday", "weekday"):
         if name.startswith(cls):
             date_col = "TAG1_DT_FK" if name.endswith("1") else "TAG2_DT_FK"
-            if cls == "sunday":
-                return in_days(date_col, cfg.sundays)
-            if cls == "saturday":
-                return in_days(date_col, cfg.saturdays)
-            return not_in_days(date_col, cfg.sundays, cfg.saturdays)
+            return day_class_condition(cls, date_col, cfg)
     raise KeyError(name)
 
 
@@ -162,21 +160,35 @@ class JourneySuite:
     """
 
     def __init__(self, raw: DataFrame, cfg: JourneyConfig | None = None,
-                 materialize_bases: bool = False, slice_chars: int | None = None):
+                 materialize_bases: bool = False, slice_chars: int | None = None,
+                 cache_families: bool = False):
         self.cfg = cfg or JourneyConfig()
         b = bases(raw, self.cfg, slice_chars)
         if materialize_bases:
-            b["journey"] = materialize(b["journey"], "journey", partition_by=("TAG1_DT_FK",))
+            b["journey"] = materialize(b["journey"], "journey")
             b["unknowns"] = materialize(b["unknowns"], "unknowns")
         self.bases = b
+        self.cache_families = cache_families
         self._families: dict[str, DataFrame] = {}
 
     # -- fused families -------------------------------------------------
     def family(self, name: str) -> DataFrame:
+        """A fused aggregate; with ``cache_families`` it is kept (memory, then
+        disk) so that all reports picked from it share one computation. It is
+        one row per group, and a lost block recomputes from a short lineage."""
         if name not in self._families:
-            self._families[name] = self._build(name)
+            fam = self._build(name)
+            if self.cache_families:
+                fam = fam.persist(StorageLevel.MEMORY_AND_DISK)
+            self._families[name] = fam
         return self._families[name]
 
+    def close(self) -> None:
+        for fam in self._families.values():
+            if self.cache_families:
+                fam.unpersist()
+        self._families.clear()
+
     def _build(self, name: str) -> DataFrame:
         c = lambda n: condition(n, self.cfg)
         j, u = self.bases["journey"], self.bases["unknowns"]

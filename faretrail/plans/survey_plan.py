@@ -71,6 +71,20 @@ class SurveyPlan:
     def box(self, value_col: str) -> DataFrame:
         return S.box_stats(self.commuters1, [self.cfg.occupation], value_col)
 
+    def boxes(self, value_cols: tuple[str, ...] = BOXED) -> DataFrame:
+        """A8 for many rating columns in one pass: melt, then one histogram
+        keyed by (occupation, column, value). Column ``rating`` names the
+        source column."""
+        occ = self.cfg.occupation
+        long = S.melt(self.commuters1.select(occ, *value_cols), [occ], value_cols, "rating", "__value")
+        return S.box_stats(long, [occ, "rating"], "__value")
+
+    def box_from(self, fused: DataFrame, value_col: str) -> DataFrame:
+        """One column's box statistics out of ``boxes()``."""
+        from pyspark.sql import functions as F
+
+        return fused.filter(F.col("rating") == F.lit(value_col)).drop("rating")
+
     def melted(self, block: tuple[str, ...], aspects: dict) -> DataFrame:
         long = S.melt(self.commuters1.select(self.cfg.occupation, *block), [self.cfg.occupation], block)
         long = long.withColumnRenamed(self.cfg.occupation, "Occupation")

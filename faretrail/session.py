@@ -59,7 +59,7 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "faretrail", f"{name}-{uuid.uuid4().hex}")
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

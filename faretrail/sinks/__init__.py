@@ -66,6 +66,38 @@ def write_indexed_csv(df: DataFrame, path: str, order_by: Sequence[str], index_c
     with_row_index(df, order_by, index_col).repartition(1).write.mode(mode).option("header", True).csv(path)
 
 
+def report_lines(results: Mapping[str, DataFrame], name_col: str = "report") -> DataFrame:
+    """Many reports with different columns as one table of (report, JSON record)."""
+    out = None
+    for name, df in results.items():
+        lines = df.select(F.lit(name).alias(name_col), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
+def write_info_documents(results: Mapping[str, DataFrame], folder: str, max_rows: int = INFO_MAX_ROWS,
+                         mode: str = "errorifexists", name_col: str = "report") -> str:
+    """K1 for many reports in ONE job: ``folder/report=<name>/part-*`` each
+    holds one ``{"Info":[...]}`` document (records sorted, nulls omitted).
+
+    Each document is built by its own group in parallel; identical
+    sub-plans of the reports (a shared fused aggregate) are computed once
+    through exchange reuse. A report over ``max_rows`` rows raises.
+    """
+    lines = report_lines(results, name_col)
+    docs = lines.groupBy(name_col).agg(
+        F.count(F.lit(1)).alias("__n"), F.array_sort(F.collect_list("line")).alias("__lines")
+    )
+    guard = F.when(
+        F.col("__n") > F.lit(max_rows),
+        F.raise_error(F.lit(f"a report has more than {max_rows} rows; write JSON lines instead")),
+    )
+    text = F.concat(F.lit('{"Info":['), F.array_join("__lines", ","), F.lit("]}"))
+    docs.select(name_col, F.coalesce(guard.cast("string"), text).alias("value")).write.mode(mode).partitionBy(
+        name_col).text(folder)
+    return folder
+
+
 def save_results(results: Mapping[str, DataFrame], folder: str, mode: str = "errorifexists") -> dict[str, str]:
     """K5: every named result as Parquet under ``folder/<name>``."""
     written = {}

@@ -152,3 +152,25 @@ def test_declared_types_survive_bad_values(spark, tmp_dir):
     r = read_delimited(spark, p, JOURNEY_SCHEMA).collect()[0]
     assert r.CARD_FK == 12 and r.JRNY_ID is None and r.TAG1_TM == "07:30:00"
     assert r.TAG1_DT_FK == 20160801 and r.TAG1_OFF_PEAK_IND is True
+
+
+def test_day_rules(spark):
+    from dataclasses import replace
+
+    df = journeys(spark, [{"TAG1_DT_FK": d} for d in (20160807, 20160806, 20160731, 20160801, -1, None)])
+    lists = JourneyConfig()
+    dow = replace(lists, day_rule="dayofweek")
+
+    def ids(which, cfg):
+        return sorted(r.JRNY_ID for r in C.day_class_filter(df, which, "TAG1_DT_FK", cfg).collect())
+
+    assert (ids("sunday", lists), ids("saturday", lists), ids("weekday", lists)) == ([1], [2], [3, 4, 5])
+    # 2016-07-31 is a Sunday by the calendar; -1 has no weekday
+    assert (ids("sunday", dow), ids("saturday", dow), ids("weekday", dow)) == ([1, 3], [2], [4])
+
+
+def test_wrap_midnight_option(spark):
+    df = journeys(spark, [{"JS_DURN_SEC": -1, "TAG2_DT_FK": 20160802, "TAG2_TM": "00:10:00", "TAG1_TM": "23:50:00"}])
+    df = C.clamp_tag_off_date(df)
+    assert by_id(C.repair_duration(df), "JS_DURN_SEC") == {1: 85200}
+    assert by_id(C.repair_duration(df, wrap_midnight=True), "JS_DURN_SEC") == {1: 1200}

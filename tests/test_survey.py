@@ -103,3 +103,28 @@ def test_melt_and_relabel(spark):
     long = S.relabel(S.melt(df, ["Q3"], ["a", "b"]), "Aspects", {"a": "Alpha"})
     assert sorted((r.Q3, r.Aspects, r.Ratings) for r in long.collect()) == [
         (1, "Alpha", 5), (1, "b", None), (2, "Alpha", 7), (2, "b", 8)]
+
+
+def test_fused_boxes_equal_single_boxes(spark):
+    from conftest import SF0001
+
+    from faretrail.plans.survey_plan import BOXED, SurveyPlan
+    from faretrail.sources import adapters as AD
+
+    plan = SurveyPlan(AD.survey(spark, SF0001))
+    fused = plan.boxes()
+    for col in BOXED:
+        a = plan.box(col)
+        b = plan.box_from(fused, col).select(*a.columns)
+        assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect()), col
+
+
+def test_covariance_use_options(spark):
+    rows = [(1, 2, 3), (2, None, 4), (3, 5, 5), (4, 4, None), (5, 9, 8)]
+    df = _df(spark, ["a", "b", "c"], rows)
+    pw = {(r.col1, r.col2): r.covariance for r in S.pairwise_covariance(df, ["a", "b", "c"], use="pairwise").collect()}
+    x = np.array([(1, 2), (3, 5), (4, 4), (5, 9)], dtype=float)
+    assert pw[("a", "b")] == pytest.approx(np.cov(x, rowvar=False)[0, 1], rel=1e-12)
+    cc = {(r.col1, r.col2): r.covariance for r in S.pairwise_covariance(df, ["a", "b", "c"], use="complete").collect()}
+    full = np.array([(1, 2, 3), (3, 5, 5), (5, 9, 8)], dtype=float)
+    assert cc[("b", "c")] == pytest.approx(np.cov(full, rowvar=False)[1, 2], rel=1e-12)
