@@ -80,6 +80,7 @@ def main() -> None:
                 sinks.write_json_lines(suite.report(r.key), os.path.join(out_dir, r.name + ".jsonl"))
 
     timed(q, "journey_48_reports_write", journey_reports)
+    suite.close()
 
     # 2. Card snapshots (orders as monthly snapshots).
     qs = catalogue.card_queries()
@@ -89,14 +90,14 @@ def main() -> None:
 
     # 3. Survey: every statistic in one job (level codes read once per column).
     def survey():
-        p = SurveyPlan(AD.survey(spark, sf_dir))
-        fused = p.boxes()
+        p = SurveyPlan(AD.survey(spark, sf_dir), materialize_data=True)
+        fused = p.boxes().persist()
         res = {
             "covariance_q9": p.covariance(p.cfg.q9), "covariance_q10": p.covariance(p.cfg.q10),
             "cronbach_q9": p.reliability(p.cfg.q9, "Q9"), "cronbach_q10": p.reliability(p.cfg.q10, "Q10"),
             "bar_occupation": p.bars(),
-            "box_melted_q9": p.box_melted(p.cfg.q9, Q9_ASPECT_MAP),
-            "box_melted_q10": p.box_melted(p.cfg.q10, Q10_ASPECT_MAP),
+            "box_melted_q9": p.box_melted_from(fused, p.cfg.q9, Q9_ASPECT_MAP),
+            "box_melted_q10": p.box_melted_from(fused, p.cfg.q10, Q10_ASPECT_MAP),
         }
         for c in ("Q1", "Q2", "Q3", "Q4", "Q5"):
             res[f"freq_{c.lower()}"] = p.frequency(c)
@@ -106,6 +107,7 @@ def main() -> None:
             res[f"box_{c.lower()}"] = p.box_from(fused, c)
         sinks.write_info_documents(res, os.path.join(out_dir, "survey"))
         run(p.non_commuters)
+        fused.unpersist()
 
     timed(q, "survey_all_write", survey)
 

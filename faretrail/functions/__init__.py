@@ -39,18 +39,23 @@ def map_values(c: str | Column, mapping: Mapping, keep_others: bool = True) -> C
     return F.coalesce(found, _col(c)) if keep_others else found
 
 
-def in_days(date_col: str | Column, days: Iterable[int]) -> Column:
-    """Date is in a listed set (three-valued: null date gives null)."""
-    return _col(date_col).isin(list(days))
+def _in_list_sql(date_col: str, days: Iterable[int]) -> str:
+    return f"`{date_col}` IN ({', '.join(str(int(d)) for d in days)})"
 
 
-def not_in_days(date_col: str | Column, *day_sets: Iterable[int]) -> Column:
+def in_days(date_col: str, days: Iterable[int]) -> Column:
+    """Integer date is in a listed set (three-valued: null date gives null).
+
+    One SQL ``IN`` expression (Catalyst turns long lists into a hash set).
+    """
+    days = list(days)
+    return F.expr(_in_list_sql(date_col, days)) if days else F.lit(False)
+
+
+def not_in_days(date_col: str, *day_sets: Iterable[int]) -> Column:
     """Date is in none of the listed sets; null date gives null (in no class)."""
-    cond = None
-    for days in day_sets:
-        part = ~_col(date_col).isin(list(days))
-        cond = part if cond is None else (cond & part)
-    return cond
+    parts = [f"NOT ({_in_list_sql(date_col, list(d))})" for d in day_sets if list(d)]
+    return F.expr(" AND ".join(parts)) if parts else F.col(date_col).isNotNull()
 
 
 def count_where(cond: Column) -> Column:

@@ -94,20 +94,18 @@ def day_class_condition(which: str, date_col: str = "TAG1_DT_FK", cfg: JourneyCo
     and an unparsable date is in no class.
     """
     cfg = cfg or JourneyConfig()
+    if which not in ("sunday", "saturday", "weekday"):
+        raise ValueError(f"unknown day class {which!r}")
     if cfg.day_rule == "dayofweek":
         dow = F.dayofweek(F.try_to_date(F.col(date_col).cast("string"), "yyyyMMdd"))
-        conds = {"sunday": dow == 1, "saturday": dow == 7, "weekday": dow.between(2, 6)}
-    elif cfg.day_rule == "lists":
-        conds = {
-            "sunday": in_days(date_col, cfg.sundays),
-            "saturday": in_days(date_col, cfg.saturdays),
-            "weekday": not_in_days(date_col, cfg.sundays, cfg.saturdays),
-        }
-    else:
+        return {"sunday": dow == 1, "saturday": dow == 7}.get(which, dow.between(2, 6))
+    if cfg.day_rule != "lists":
         raise ValueError(f"unknown day rule {cfg.day_rule!r}")
-    if which not in conds:
-        raise ValueError(f"unknown day class {which!r}")
-    return conds[which]
+    if which == "sunday":
+        return in_days(date_col, cfg.sundays)
+    if which == "saturday":
+        return in_days(date_col, cfg.saturdays)
+    return not_in_days(date_col, cfg.sundays, cfg.saturdays)
 
 
 def day_class_filter(df: DataFrame, which: str, date_col: str = "TAG1_DT_FK",

@@ -41,6 +41,41 @@ def level_codes(df: DataFrame, col: str, n_labels: int) -> list:
     return codes
 
 
+def level_maps(df: DataFrame, labels_by_col: Mapping[str, Sequence[str]]) -> dict[str, dict]:
+    """V1 for several columns with ONE job: distinct (column, code) pairs,
+    at most (sum of label counts + 1) of them reach the driver; each column
+    must have exactly as many codes as labels."""
+    cols = list(labels_by_col)
+    if len(cols) == 1:
+        c = cols[0]
+        return {c: level_map(df, c, labels_by_col[c])}
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("col"), F.col(c).cast("long").alias("code")) for c in cols
+    ]))).where(F.col("code").isNotNull()).distinct()
+    cap = sum(len(v) for v in labels_by_col.values())
+    rows = stacked.limit(cap + 1).collect()
+    found: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        found[r["col"]].append(r["code"])
+    out = {}
+    for c in cols:
+        codes = sorted(found[c])
+        if len(codes) != len(labels_by_col[c]):
+            raise ValueError(f"{c}: {len(codes)}{'+' if len(rows) > cap else ''} distinct codes "
+                             f"for {len(labels_by_col[c])} labels")
+        out[c] = dict(zip(codes, labels_by_col[c]))
+    return out
+
+
+def encode_many(df: DataFrame, labels_by_col: Mapping[str, Sequence[str]]) -> DataFrame:
+    """V1 on several columns (one job to read their codes, then map lookups)."""
+    maps = level_maps(df, labels_by_col)
+    return df.withColumns({
+        c: F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col(c).cast("long"))
+        for c, m in maps.items()
+    })
+
+
 def level_map(df: DataFrame, col: str, labels: Sequence[str], codes: Sequence | None = None) -> dict:
     """V1: code -> label, the i-th smallest distinct code taking the i-th label.
 
@@ -140,6 +175,15 @@ def _exact(c: Column) -> Column:
     return c.cast(EXACT)
 
 
+def _integral(df: DataFrame, cols: Sequence[str]) -> bool:
+    types = dict(df.dtypes)
+    return all(types[c] in ("tinyint", "smallint", "int", "bigint") for c in cols)
+
+
+def _long(c: str) -> Column:
+    return F.col(c).cast("bigint")
+
+
 def pairwise_covariance(df: DataFrame, cols: Sequence[str], use: str = "everything") -> DataFrame:
     """Sample covariance of every column pair (i < j), long form
     ``(col1, col2, covariance)``, from one aggregate.
@@ -158,16 +202,20 @@ def pairwise_covariance(df: DataFrame, cols: Sequence[str], use: str = "everythi
     elif use != "everything":
         raise ValueError(f"unknown use {use!r}")
     pairs = list(combinations(cols, 2))
+    if not _integral(src, cols):
+        return _double_covariance(src, pairs)
+    # per-row products and sums stay BIGINT (exact; ANSI mode raises on
+    # overflow); only the final n*Sxy - Sx*Sy needs DECIMAL(38,0).
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in cols:
-        aggs += [F.count(c).alias(f"n_{c}"), F.sum(_exact(F.col(c))).alias(f"s_{c}")]
+        aggs += [F.count(c).alias(f"n_{c}"), F.sum(_long(c)).alias(f"s_{c}")]
     for a, b in pairs:
-        aggs.append(F.sum(_exact(F.col(a)) * _exact(F.col(b))).alias(f"p_{a}__{b}"))
+        aggs.append(F.sum(_long(a) * _long(b)).alias(f"p_{a}__{b}"))
     m = src.agg(*aggs)
     n = _exact(F.col("n"))
     rows = []
     for a, b in pairs:
-        num = n * F.col(f"p_{a}__{b}") - F.col(f"s_{a}") * F.col(f"s_{b}")
+        num = n * _exact(F.col(f"p_{a}__{b}")) - _exact(F.col(f"s_{a}")) * _exact(F.col(f"s_{b}"))
         cov = F.try_divide(num.cast("double"), (n * (n - F.lit(1))).cast("double"))
         complete = (F.col(f"n_{a}") == F.col("n")) & (F.col(f"n_{b}") == F.col("n")) & (F.col("n") > 1)
         rows.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
@@ -175,12 +223,29 @@ def pairwise_covariance(df: DataFrame, cols: Sequence[str], use: str = "everythi
     return m.select(F.inline(F.array(*rows)))
 
 
+def _double_covariance(src: DataFrame, pairs) -> DataFrame:
+    """Non-integer columns: Spark's ``covar_samp`` (null if any value of the
+    pair is null, as R's default)."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for a, b in pairs:
+        aggs += [F.covar_samp(a, b).alias(f"c_{a}__{b}"), F.count(a).alias(f"na_{a}__{b}"),
+                 F.count(b).alias(f"nb_{a}__{b}")]
+    m = src.agg(*aggs)
+    rows = [
+        F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
+                 F.when((F.col(f"na_{a}__{b}") == F.col("n")) & (F.col(f"nb_{a}__{b}") == F.col("n")),
+                        F.col(f"c_{a}__{b}")).alias("covariance"))
+        for a, b in pairs
+    ]
+    return m.select(F.inline(F.array(*rows)))
+
+
 def _pairwise_complete_covariance(src: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = list(combinations(cols, 2))
     aggs = []
     for a, b in pairs:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = _exact(F.col(a)), _exact(F.col(b))
+        x, y = _long(a), _long(b)
         aggs += [
             F.count(F.when(both, F.lit(1))).alias(f"n_{a}__{b}"),
             F.sum(F.when(both, x)).alias(f"sa_{a}__{b}"),
@@ -192,7 +257,7 @@ def _pairwise_complete_covariance(src: DataFrame, cols: Sequence[str]) -> DataFr
     for a, b in pairs:
         t = f"{a}__{b}"
         n = _exact(F.col(f"n_{t}"))
-        num = n * F.col(f"p_{t}") - F.col(f"sa_{t}") * F.col(f"sb_{t}")
+        num = n * _exact(F.col(f"p_{t}")) - _exact(F.col(f"sa_{t}")) * _exact(F.col(f"sb_{t}"))
         cov = F.try_divide(num.cast("double"), (n * (n - F.lit(1))).cast("double"))
         rows.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
                              F.when(F.col(f"n_{t}") > 1, cov).alias("covariance")))
@@ -208,18 +273,22 @@ def cronbach_alpha(df: DataFrame, cols: Sequence[str], name: str | None = None)
     """
     k = len(cols)
     src = df.select(*cols).dropna()
-    total = sum((_exact(F.col(c)) for c in cols[1:]), _exact(F.col(cols[0])))
+    if not _integral(src, cols):
+        raise TypeError("cronbach_alpha takes integer item columns")
+    # per-row values and sums in BIGINT (exact), the final combination in DECIMAL(38,0)
+    total = sum((_long(c) for c in cols[1:]), _long(cols[0]))
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(total).alias("st"), F.sum(total * total).alias("stt")]
     for c in cols:
-        x = _exact(F.col(c))
-        aggs += [F.sum(x).alias(f"s_{c}"), F.sum(x * x).alias(f"ss_{c}")]
+        aggs += [F.sum(_long(c)).alias(f"s_{c}"), F.sum(_long(c) * _long(c)).alias(f"ss_{c}")]
     m = src.agg(*aggs)
     n = _exact(F.col("n"))
     num = None
     for c in cols:
-        term = n * F.col(f"ss_{c}") - F.col(f"s_{c}") * F.col(f"s_{c}")
+        s_c = _exact(F.col(f"s_{c}"))
+        term = n * _exact(F.col(f"ss_{c}")) - s_c * s_c
         num = term if num is None else num + term
-    den = n * F.col("stt") - F.col("st") * F.col("st")
+    st = _exact(F.col("st"))
+    den = n * _exact(F.col("stt")) - st * st
     alpha = F.try_divide((F.lit(k) * (den - num)).cast("double"), (F.lit(k - 1) * den).cast("double"))
     return m.select(
         F.lit(name or "+".join(cols)).alias("block"),

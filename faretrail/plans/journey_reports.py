@@ -192,8 +192,10 @@ class JourneySuite:
     def _build(self, name: str) -> DataFrame:
         c = lambda n: condition(n, self.cfg)
         j, u = self.bases["journey"], self.bases["unknowns"]
-        day1 = {"sunday1": c("sunday1"), "saturday1": c("saturday1"), "weekday1": c("weekday1")}
-        day2 = {"sunday2": c("sunday2"), "saturday2": c("saturday2"), "weekday2": c("weekday2")}
+        if name in ("dep", "dst", "passenger"):
+            day1 = {"sunday1": c("sunday1"), "saturday1": c("saturday1"), "weekday1": c("weekday1")}
+        if name in ("unknown_station", "unknown_card"):
+            day2 = {"sunday2": c("sunday2"), "saturday2": c("saturday2"), "weekday2": c("weekday2")}
         if name == "dep":
             return A.fused_counts(j, DEP, {"all": None, "offpeak1": c("offpeak1"), "peak1": c("peak1"), **day1})
         if name == "dst":

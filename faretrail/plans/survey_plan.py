@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..config import SurveyConfig
 from ..operators import aggregates as A
 from ..operators import survey as S
+from ..session import materialize
 from ..sources import adapters as AD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,21 +36,27 @@ Q10_ASPECT_MAP = dict(zip(K.Q10_COLUMNS, K.Q10_ASPECTS))
 class SurveyPlan:
     """Lazy survey tables; V1 reads each column's distinct codes (bounded)."""
 
-    def __init__(self, raw: DataFrame, cfg: SurveyConfig | None = None):
+    def __init__(self, raw: DataFrame, cfg: SurveyConfig | None = None, materialize_data: bool = False):
+        """``materialize_data`` writes the answers once as Parquet in the
+        shared folder; every statistic then reads only its columns from it."""
         self.cfg = cfg or SurveyConfig()
+        if materialize_data:
+            raw = materialize(raw, "survey")
         self.raw = raw
-        data = raw
-        for col, labels in PROFILE_LABELS.items():
-            data = S.encode_levels(data, col, labels)
+        data = S.encode_many(raw, PROFILE_LABELS)
         self.data = data
         self.commuters1, self.non_commuters = S.split_commuters(
             data, self.cfg.frequency, K.FREQUENCY_LABELS, self.cfg.non_commuter_level
         )
         self.non_commuters = self.non_commuters.select("Q1", "Q2", "Q3", "Q4")
+        self._commuters: DataFrame | None = None
 
     def commuters(self) -> DataFrame:
-        """Commuters with transport mode labelled on the commuter subset."""
-        return S.encode_levels(self.commuters1, self.cfg.mode, K.MODE_LABELS)
+        """Commuters with transport mode labelled on the commuter subset
+        (its level codes are read once per plan)."""
+        if self._commuters is None:
+            self._commuters = S.encode_levels(self.commuters1, self.cfg.mode, K.MODE_LABELS)
+        return self._commuters
 
     def frequency(self, col: str) -> DataFrame:
         if col == self.cfg.mode:
@@ -81,10 +89,17 @@ class SurveyPlan:
 
     def box_from(self, fused: DataFrame, value_col: str) -> DataFrame:
         """One column's box statistics out of ``boxes()``."""
-        from pyspark.sql import functions as F
-
         return fused.filter(F.col("rating") == F.lit(value_col)).drop("rating")
 
+    def box_melted_from(self, fused: DataFrame, block: tuple[str, ...], aspects: dict) -> DataFrame:
+        """A melted block's box statistics out of ``boxes()``: the same
+        groups (occupation, column), with the aspect names."""
+        out = fused.filter(F.col("rating").isin(list(block))).withColumnsRenamed(
+            {self.cfg.occupation: "Occupation", "rating": "Aspects"})
+        return S.relabel(out, "Aspects", aspects).select(
+            "Occupation", "Aspects", "n", "lower_quartile", "median", "upper_quartile",
+            "lower_whisker", "upper_whisker", "n_outliers")
+
     def melted(self, block: tuple[str, ...], aspects: dict) -> DataFrame:
         long = S.melt(self.commuters1.select(self.cfg.occupation, *block), [self.cfg.occupation], block)
         long = long.withColumnRenamed(self.cfg.occupation, "Occupation")

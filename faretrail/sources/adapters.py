@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import JOURNEY_SCHEMA, SURVEY_QUESTION_COLUMNS
+from .parallel import ensure_parallelism
 
 # Code -> label tables used to dress integer test columns as card data.
 PASSENGER_BY_MOD4 = ("Adult", "Child/Youth", "Concession", "Senior/Pensioner")
@@ -33,7 +34,8 @@ STATUS_BY_MOD7 = {0: "UNKNOWN", 1: "HOTLISTED", 2: "BLOCKED", 3: "EXPIRED"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A test table; a single-row-group file is spread over all cores."""
+    return ensure_parallelism(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def _pick(code: Column, labels, default: str | None = None) -> Column:

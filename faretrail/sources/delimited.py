@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .parallel import ensure_parallelism
+
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None,
                    sep: str = "|", infer_schema: bool = False, with_file_path: bool = False) -> DataFrame:
@@ -33,10 +35,13 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], schema: T.St
         reader = reader.option("inferSchema", False)
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = reader.csv(paths)
+    # the hidden file column exists only on the scan itself: take it first
     extra = [F.col("_metadata.file_path").alias("file_path")] if with_file_path else []
     if schema is None:
-        return raw.select(*raw.columns, *extra)
-    return raw.select(
-        *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields],
-        *extra,
-    )
+        out = raw.select(*[F.col(f"`{c}`") for c in raw.columns], *extra)
+    else:
+        out = raw.select(
+            *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields],
+            *extra,
+        )
+    return ensure_parallelism(out)

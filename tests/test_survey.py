@@ -128,3 +128,29 @@ def test_covariance_use_options(spark):
     cc = {(r.col1, r.col2): r.covariance for r in S.pairwise_covariance(df, ["a", "b", "c"], use="complete").collect()}
     full = np.array([(1, 2, 3), (3, 5, 5), (5, 9, 8)], dtype=float)
     assert cc[("b", "c")] == pytest.approx(np.cov(full, rowvar=False)[1, 2], rel=1e-12)
+
+
+def test_melted_boxes_from_fused(spark):
+    from conftest import SF0001
+
+    from faretrail.plans.survey_plan import Q9_ASPECT_MAP, SurveyPlan
+    from faretrail.sources import adapters as AD
+
+    plan = SurveyPlan(AD.survey(spark, SF0001), materialize_data=True)
+    a = plan.box_melted(plan.cfg.q9, Q9_ASPECT_MAP)
+    b = plan.box_melted_from(plan.boxes(), plan.cfg.q9, Q9_ASPECT_MAP).select(*a.columns)
+    assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_encode_many_one_job_and_mismatch(spark):
+    df = _df(spark, ["a", "b"], [(1, 10), (2, 20), (2, None), (1, 30)])
+    out = S.encode_many(df, {"a": ["x", "y"], "b": ["p", "q", "r"]}).collect()
+    assert [(r.a, r.b) for r in out] == [("x", "p"), ("y", "q"), ("y", None), ("x", "r")]
+    with pytest.raises(ValueError):
+        S.encode_many(df, {"a": ["x", "y"], "b": ["p", "q"]})
+
+
+def test_covariance_of_doubles_uses_covar_samp(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.5), (4.0, 5.0)], "a double, b double")
+    got = S.pairwise_covariance(df, ["a", "b"]).collect()[0].covariance
+    assert got == pytest.approx(np.cov([1, 2, 4], [2, 2.5, 5])[0, 1])
