@@ -25,7 +25,7 @@ def read_manifest(spark: SparkSession, manifest_paths: str, path_col: str = "x",
     Only the path column reaches the driver, and at most ``max_paths`` of
     them: a list of files, not data. More raises.
     """
-    df = read_delimited(spark, manifest_paths, MANIFEST_SCHEMA, sep=",").drop("_c0")
+    df = read_delimited(spark, manifest_paths, MANIFEST_SCHEMA, sep=",", parallel=False).drop("_c0")
     rows = df.select(F.col(path_col).alias("path")).where(F.col("path").isNotNull()).limit(max_paths + 1).collect()
     if len(rows) > max_paths:
         raise ValueError(f"manifest lists more than {max_paths} files")
