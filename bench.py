@@ -88,7 +88,7 @@ def main() -> None:
         {k: qs[k](spark, sf_dir) for k in ("r49_data_count", "r50_card_count", "file_row_counts")},
         os.path.join(out_dir, "cards")))
 
-    # 3. Survey: every statistic in one job (level codes read once per column).
+    # 3. Survey: every statistic; answers written once, level codes read in one job.
     def survey():
         p = SurveyPlan(AD.survey(spark, sf_dir), materialize_data=True)
         fused = p.boxes().persist()
@@ -105,8 +105,8 @@ def main() -> None:
             res[f"crosstab_{a.lower()}_{b.lower()}"] = p.crosstab(a, b)
         for c in BOXED:
             res[f"box_{c.lower()}"] = p.box_from(fused, c)
-        sinks.write_info_documents(res, os.path.join(out_dir, "survey"))
-        run(p.non_commuters)
+        res["non_commuters"] = p.non_commuters
+        sinks.save_results(res, os.path.join(out_dir, "survey"))  # one small job per result
         fused.unpersist()
 
     timed(q, "survey_all_write", survey)

@@ -171,97 +171,63 @@ def frequency_table(df: DataFrame, col: str, labels: Sequence[str] | None = None
 # ---------------------------------------------------------------------------
 
 
-def _exact(c: Column) -> Column:
-    return c.cast(EXACT)
-
-
 def _integral(df: DataFrame, cols: Sequence[str]) -> bool:
     types = dict(df.dtypes)
     return all(types[c] in ("tinyint", "smallint", "int", "bigint") for c in cols)
 
 
-def _long(c: str) -> Column:
-    return F.col(c).cast("bigint")
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _lit(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def pairwise_covariance(df: DataFrame, cols: Sequence[str], use: str = "everything") -> DataFrame:
     """Sample covariance of every column pair (i < j), long form
     ``(col1, col2, covariance)``, from one aggregate.
 
-    cov = (n*Sxy - Sx*Sy) / (n*(n-1)) over exact sums, one final division.
-    ``use`` follows R's ``cov``: ``everything`` (default: a null in either
-    column makes that pair null), ``complete`` (drop rows with any null in
-    the block first) or ``pairwise`` (each pair over the rows where both
-    are present).
+    cov = (n*Sxy - Sx*Sy) / (n*(n-1)) over exact sums, one final division:
+    per-row products and sums stay BIGINT (exact; ANSI mode raises on
+    overflow), only the final combination uses DECIMAL(38,0). ``use``
+    follows R's ``cov``: ``everything`` (default: a null in either column
+    makes that pair null), ``complete`` (drop rows with a null in the block
+    first) or ``pairwise`` (each pair over the rows where both are present).
+    Non-integer columns use ``covar_samp``.
     """
     src = df.select(*cols)
     if use == "complete":
         src = src.dropna()
-    elif use == "pairwise":
-        return _pairwise_complete_covariance(src, cols)
-    elif use != "everything":
+    elif use not in ("everything", "pairwise"):
         raise ValueError(f"unknown use {use!r}")
     pairs = list(combinations(cols, 2))
-    if not _integral(src, cols):
-        return _double_covariance(src, pairs)
-    # per-row products and sums stay BIGINT (exact; ANSI mode raises on
-    # overflow); only the final n*Sxy - Sx*Sy needs DECIMAL(38,0).
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in cols:
-        aggs += [F.count(c).alias(f"n_{c}"), F.sum(_long(c)).alias(f"s_{c}")]
-    for a, b in pairs:
-        aggs.append(F.sum(_long(a) * _long(b)).alias(f"p_{a}__{b}"))
-    m = src.agg(*aggs)
-    n = _exact(F.col("n"))
+    integral = _integral(src, cols)
+    aggs = ["count(1) AS n"]
     rows = []
-    for a, b in pairs:
-        num = n * _exact(F.col(f"p_{a}__{b}")) - _exact(F.col(f"s_{a}")) * _exact(F.col(f"s_{b}"))
-        cov = F.try_divide(num.cast("double"), (n * (n - F.lit(1))).cast("double"))
-        complete = (F.col(f"n_{a}") == F.col("n")) & (F.col(f"n_{b}") == F.col("n")) & (F.col("n") > 1)
-        rows.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
-                             F.when(complete, cov).alias("covariance")))
-    return m.select(F.inline(F.array(*rows)))
-
-
-def _double_covariance(src: DataFrame, pairs) -> DataFrame:
-    """Non-integer columns: Spark's ``covar_samp`` (null if any value of the
-    pair is null, as R's default)."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for a, b in pairs:
-        aggs += [F.covar_samp(a, b).alias(f"c_{a}__{b}"), F.count(a).alias(f"na_{a}__{b}"),
-                 F.count(b).alias(f"nb_{a}__{b}")]
-    m = src.agg(*aggs)
-    rows = [
-        F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
-                 F.when((F.col(f"na_{a}__{b}") == F.col("n")) & (F.col(f"nb_{a}__{b}") == F.col("n")),
-                        F.col(f"c_{a}__{b}")).alias("covariance"))
-        for a, b in pairs
-    ]
-    return m.select(F.inline(F.array(*rows)))
-
-
-def _pairwise_complete_covariance(src: DataFrame, cols: Sequence[str]) -> DataFrame:
-    pairs = list(combinations(cols, 2))
-    aggs = []
-    for a, b in pairs:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = _long(a), _long(b)
-        aggs += [
-            F.count(F.when(both, F.lit(1))).alias(f"n_{a}__{b}"),
-            F.sum(F.when(both, x)).alias(f"sa_{a}__{b}"),
-            F.sum(F.when(both, y)).alias(f"sb_{a}__{b}"),
-            F.sum(x * y).alias(f"p_{a}__{b}"),
-        ]
-    m = src.agg(*aggs)
-    rows = []
-    for a, b in pairs:
-        t = f"{a}__{b}"
-        n = _exact(F.col(f"n_{t}"))
-        num = n * _exact(F.col(f"p_{t}")) - _exact(F.col(f"sa_{t}")) * _exact(F.col(f"sb_{t}"))
-        cov = F.try_divide(num.cast("double"), (n * (n - F.lit(1))).cast("double"))
-        rows.append(F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
-                             F.when(F.col(f"n_{t}") > 1, cov).alias("covariance")))
-    return m.select(F.inline(F.array(*rows)))
+    for i, (a, b) in enumerate(pairs):
+        qa, qb = _q(a), _q(b)
+        if not integral:
+            aggs += [f"covar_samp({qa}, {qb}) AS c{i}", f"count({qa}) AS na{i}", f"count({qb}) AS nb{i}"]
+            value = f"CASE WHEN na{i} = n AND nb{i} = n THEN c{i} END"
+        else:
+            if use == "pairwise":
+                both = f"{qa} IS NOT NULL AND {qb} IS NOT NULL"
+                aggs += [f"count(CASE WHEN {both} THEN 1 END) AS n{i}",
+                         f"sum(CASE WHEN {both} THEN CAST({qa} AS BIGINT) END) AS sa{i}",
+                         f"sum(CASE WHEN {both} THEN CAST({qb} AS BIGINT) END) AS sb{i}"]
+                n, ok = f"CAST(n{i} AS {EXACT})", f"n{i} > 1"
+            else:
+                aggs += [f"count({qa}) AS na{i}", f"count({qb}) AS nb{i}",
+                         f"sum(CAST({qa} AS BIGINT)) AS sa{i}", f"sum(CAST({qb} AS BIGINT)) AS sb{i}"]
+                n, ok = f"CAST(n AS {EXACT})", f"na{i} = n AND nb{i} = n AND n > 1"
+            aggs.append(f"sum(CAST({qa} AS BIGINT) * CAST({qb} AS BIGINT)) AS p{i}")
+            num = f"{n} * CAST(p{i} AS {EXACT}) - CAST(sa{i} AS {EXACT}) * CAST(sb{i} AS {EXACT})"
+            value = (f"CASE WHEN {ok} THEN try_divide(CAST({num} AS DOUBLE), "
+                     f"CAST({n} * ({n} - 1) AS DOUBLE)) END")
+        rows.append(f"named_struct('col1', {_lit(a)}, 'col2', {_lit(b)}, 'covariance', {value})")
+    m = src.agg(*[F.expr(a) for a in aggs])
+    return m.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def cronbach_alpha(df: DataFrame, cols: Sequence[str], name: str | None = None) -> DataFrame:
@@ -269,32 +235,30 @@ def cronbach_alpha(df: DataFrame, cols: Sequence[str], name: str | None = None)
 
     alpha = k/(k-1) * (1 - sum(var(item)) / var(total)); with exact sums this
     is k*(D - N) / ((k-1)*D), N = sum(n*Sxx - Sx^2) over items and
-    D = n*STT - ST^2 for the row total T. Null when D = 0.
+    D = n*STT - ST^2 for the row total T. Null when D = 0. Sums are BIGINT,
+    the final combination DECIMAL(38,0), one division.
     """
     k = len(cols)
     src = df.select(*cols).dropna()
     if not _integral(src, cols):
         raise TypeError("cronbach_alpha takes integer item columns")
-    # per-row values and sums in BIGINT (exact), the final combination in DECIMAL(38,0)
-    total = sum((_long(c) for c in cols[1:]), _long(cols[0]))
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(total).alias("st"), F.sum(total * total).alias("stt")]
-    for c in cols:
-        aggs += [F.sum(_long(c)).alias(f"s_{c}"), F.sum(_long(c) * _long(c)).alias(f"ss_{c}")]
-    m = src.agg(*aggs)
-    n = _exact(F.col("n"))
-    num = None
-    for c in cols:
-        s_c = _exact(F.col(f"s_{c}"))
-        term = n * _exact(F.col(f"ss_{c}")) - s_c * s_c
-        num = term if num is None else num + term
-    st = _exact(F.col("st"))
-    den = n * _exact(F.col("stt")) - st * st
-    alpha = F.try_divide((F.lit(k) * (den - num)).cast("double"), (F.lit(k - 1) * den).cast("double"))
-    return m.select(
-        F.lit(name or "+".join(cols)).alias("block"),
-        F.lit(k).alias("items"),
-        F.col("n").alias("n"),
-        F.when(den != 0, alpha).alias("alpha"),
+    longs = [f"CAST({_q(c)} AS BIGINT)" for c in cols]
+    total = " + ".join(longs)
+    aggs = ["count(1) AS n", f"sum({total}) AS st", f"sum(({total}) * ({total})) AS stt"]
+    for i, x in enumerate(longs):
+        aggs += [f"sum({x}) AS s{i}", f"sum({x} * {x}) AS ss{i}"]
+    m = src.agg(*[F.expr(a) for a in aggs])
+    n = f"CAST(n AS {EXACT})"
+    num = " + ".join(
+        f"({n} * CAST(ss{i} AS {EXACT}) - CAST(s{i} AS {EXACT}) * CAST(s{i} AS {EXACT}))" for i in range(k)
+    )
+    den = f"({n} * CAST(stt AS {EXACT}) - CAST(st AS {EXACT}) * CAST(st AS {EXACT}))"
+    alpha = f"try_divide(CAST({k} * ({den} - ({num})) AS DOUBLE), CAST({k - 1} * {den} AS DOUBLE))"
+    return m.selectExpr(
+        f"{_lit(name or '+'.join(cols))} AS block",
+        f"{k} AS items",
+        "n",
+        f"CASE WHEN {den} <> 0 THEN {alpha} END AS alpha",
     )
 
 

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference reads only static files (no watermark, event-time window or
+state), so there is no streaming operator to provide. Every operator in this
+package is a DataFrame -> DataFrame function and can be applied inside a
+Structured Streaming ``foreachBatch`` if files arrive over time.
+"""
