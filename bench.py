@@ -71,8 +71,7 @@ def main() -> None:
                   lambda: JR.JourneySuite(AD.journeys(spark, sf_dir), cfg, materialize_bases=True))
 
     def journey_reports():
-        docs = {r.name: suite.report(r.key) for r in JR.REPORTS if r.sink in ("info_json", "console")}
-        sinks.write_info_documents(docs, os.path.join(out_dir, "journey"))
+        sinks.write_documents_from_lines(suite.document_lines(), os.path.join(out_dir, "journey"))
         for r in JR.REPORTS:
             if r.sink == "csv":
                 sinks.write_delimited(suite.report(r.key), os.path.join(out_dir, r.name + ".csv"), single_file=True)

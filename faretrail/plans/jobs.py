@@ -30,8 +30,8 @@ def journey_job(raw: DataFrame, out_dir: str, cfg: JourneyConfig | None = None,
     """All journey reports from one cleaned table; each written with the
     reference's sink (JSON document, delimited file, or JSON for the KPIs)."""
     suite = JourneySuite(raw, cfg, materialize_bases=materialize_bases)
-    docs = {r.name: suite.report(r.key) for r in REPORTS if r.sink in ("info_json", "console")}
-    written = {"documents": sinks.write_info_documents(docs, os.path.join(out_dir, "documents"))}
+    written = {"documents": sinks.write_documents_from_lines(suite.document_lines(),
+                                                              os.path.join(out_dir, "documents"))}
     for r in REPORTS:
         if r.sink == "csv":
             written[r.name] = os.path.join(out_dir, r.name + ".csv")

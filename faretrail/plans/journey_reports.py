@@ -294,3 +294,70 @@ class JourneySuite:
 
     def all_reports(self) -> dict[str, DataFrame]:
         return {r.key: self.report(r.key) for r in REPORTS}
+
+    # -- every document report as (report, JSON record), one branch per aggregate
+    def document_lines(self, sinks_: tuple[str, ...] = ("info_json", "console")) -> DataFrame:
+        """All reports written as JSON documents, as rows (report, line).
+
+        Reports taken from the same fused aggregate (or rolled up to the
+        same keys) come out of ONE branch: an ``explode`` over their count
+        columns. About 17 branches for 44 reports, so each aggregate runs
+        once in the writing job. Lines equal ``to_json`` of each report's
+        own rows (keys, then the measure; nulls omitted).
+        """
+        wanted = [r for r in REPORTS if r.sink in sinks_]
+        groups: dict[tuple, list] = {}
+        for r in wanted:
+            if r.key in self._PICK:
+                fam, col, rollup = self._PICK[r.key]
+                keys = r.keys if rollup else None
+                groups.setdefault((fam, keys), []).append((r, col))
+            else:
+                groups.setdefault((r.measure if r.measure != "count" else r.key, None), []).append((r, None))
+        branches = []
+        for (fam, keys), members in groups.items():
+            branches.append(self._lines(fam, keys, members))
+        out = branches[0]
+        for b in branches[1:]:
+            out = out.unionByName(b)
+        return out
+
+    def _lines(self, fam: str, keys, members) -> DataFrame:
+        def explode_lines(base: DataFrame, key_cols, picks, value_name="count") -> DataFrame:
+            # picks: (report name, include condition or None, value column)
+            arr = F.array(*[
+                F.struct(
+                    F.lit(name).alias("report"),
+                    (F.lit(True) if cond is None else cond).alias("keep"),
+                    value.alias("value"),
+                ) for name, cond, value in picks
+            ])
+            rows = base.select(*key_cols, F.explode(arr).alias("__p"))
+            rows = rows.where(F.col("__p.keep"))
+            return rows.select(
+                F.col("__p.report").alias("report"),
+                F.to_json(F.struct(*[F.col(k) for k in key_cols], F.col("__p.value").alias(value_name))).alias("line"),
+            )
+
+        if fam in ("avg_duration",):
+            sums = self.family("duration")
+            avg = F.col("dur_sum").cast("double") / F.col("dur_n")
+            picks = [(r.name, all_of(r.where, self.cfg), avg) for r, _ in members]
+            return explode_lines(sums, ["TAG1_DT_FK"], picks, A.AVG_DURATION_COL)
+        if fam in ("kpi_off", "kpi_peak"):
+            k = self.family("kpis")
+            r = members[0][0]
+            row = A.kpi_row(k, "off" if fam == "kpi_off" else "peak",
+                            "TOTAL_OFF_PEAK_TRIPS" if fam == "kpi_off" else "TOTAL_PEAK_TRIPS")
+            return row.select(F.lit(r.name).alias("report"), F.to_json(F.struct(*row.columns)).alias("line"))
+        if fam == "r42_type_route":
+            r = members[0][0]
+            df = self.family("route")
+            return df.select(F.lit(r.name).alias("report"), F.to_json(F.struct(*df.columns)).alias("line"))
+        fused = self.family(fam)
+        key_cols = list(members[0][0].keys)
+        if keys is not None:
+            cols = sorted({c for _, c in members})
+            fused = fused.groupBy(*key_cols).agg(*[F.sum(c).alias(c) for c in cols])
+        picks = [(r.name, F.col(c) > 0, F.col(c)) for r, c in members]
+        return explode_lines(fused, key_cols, picks)

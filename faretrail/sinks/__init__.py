@@ -84,7 +84,13 @@ def write_info_documents(results: Mapping[str, DataFrame], folder: str, max_rows
     sub-plans of the reports (a shared fused aggregate) are computed once
     through exchange reuse. A report over ``max_rows`` rows raises.
     """
-    lines = report_lines(results, name_col)
+    return write_documents_from_lines(report_lines(results, name_col), folder, max_rows, mode, name_col)
+
+
+def write_documents_from_lines(lines: DataFrame, folder: str, max_rows: int = INFO_MAX_ROWS,
+                               mode: str = "errorifexists", name_col: str = "report") -> str:
+    """K1 from a (report, line) table: one ``{"Info":[...]}`` document per
+    report under ``folder/report=<name>/``, all in one job."""
     docs = lines.groupBy(name_col).agg(
         F.count(F.lit(1)).alias("__n"), F.array_sort(F.collect_list("line")).alias("__lines")
     )

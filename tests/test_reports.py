@@ -56,3 +56,28 @@ def test_kpis_on_empty_input(spark):
     j = JR.JourneySuite(AD.journeys(spark, SF0001).limit(0), CFG)
     r = j.report("r48_peak_kpis").collect()
     assert len(r) == 1 and r[0].TOTAL_PEAK_TRIPS == 0 and r[0].TOTAL_FARE_PAID is None
+
+
+def test_document_lines_equal_per_report_json(spark, suite):
+    from faretrail import sinks
+
+    docs = {r.name: suite.report(r.key) for r in JR.REPORTS if r.sink in ("info_json", "console")}
+    want = sorted(tuple(r) for r in sinks.report_lines(docs).collect())
+    got = sorted(tuple(r) for r in suite.document_lines().collect())
+    assert got == want
+
+
+def test_journey_job_writes_documents(spark, tmp_dir):
+    import json
+    import os
+
+    from faretrail.plans.jobs import journey_job
+
+    out = journey_job(AD.journeys(spark, SF0001), os.path.join(tmp_dir, "out"), CFG)
+    folder = os.path.join(out["documents"], "report=departureIntermodal")
+    part = [f for f in os.listdir(folder) if f.startswith("part-")][0]
+    doc = json.load(open(os.path.join(folder, part)))
+    direct = JR.JourneySuite(AD.journeys(spark, SF0001), CFG).report("r13_departure_intermodal")
+    assert sorted(json.dumps(x, sort_keys=True) for x in doc["Info"]) == sorted(
+        json.dumps(r.asDict(), sort_keys=True) for r in direct.collect())
+    assert os.path.isdir(out["timeStation"]) and os.path.isdir(out["timeMode"])
