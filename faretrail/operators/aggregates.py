@@ -134,17 +134,23 @@ def average_from_sums(sums: DataFrame, key: str = "TAG1_DT_FK", where: Column |
 
 
 def rows_per_snapshot(df: DataFrame, date_col: str = "snapshot_date", count_col: str = "cardCount",
-                      expected: DataFrame | None = None) -> DataFrame:
-    """Rows per snapshot. ``expected`` (one column ``date_col``) keeps
-    snapshots with no rows as 0, as the reference's per-file count does."""
-    counts = df.groupBy(date_col).agg(F.count(F.lit(1)).alias(count_col))
+                      expected: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Rows per snapshot (and per ``by`` columns, e.g. the file: two
+    files of one date are two entries, as the reference counts per file).
+    ``expected`` (columns ``by`` + ``date_col``) keeps snapshots with no
+    rows as 0."""
+    keys = [*by, date_col]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
     if expected is None:
         return counts
-    return expected.join(counts, date_col, "left").select(
-        date_col, F.coalesce(F.col(count_col), F.lit(0)).alias(count_col)
+    cond = [expected[k].eqNullSafe(counts[k]) for k in keys]
+    return expected.join(counts, cond, "left").select(
+        *[expected[k] for k in keys], F.coalesce(counts[count_col], F.lit(0)).alias(count_col)
     )
 
 
-def card_type_counts(df: DataFrame, date_col: str = "snapshot_date", type_col: str = "CARD_TYP_CD") -> DataFrame:
-    """Rows per (snapshot, card type) in one aggregate over all snapshots."""
-    return df.groupBy(date_col, type_col).agg(F.count(F.lit(1)).alias("typeCount"))
+def card_type_counts(df: DataFrame, date_col: str = "snapshot_date", type_col: str = "CARD_TYP_CD",
+                     by: Sequence[str] = ()) -> DataFrame:
+    """Rows per (snapshot, card type) in one aggregate over all snapshots
+    (and per ``by`` columns, e.g. the file)."""
+    return df.groupBy(*by, date_col, type_col).agg(F.count(F.lit(1)).alias("typeCount"))

@@ -159,7 +159,8 @@ def frequency_table(df: DataFrame, col: str, labels: Sequence[str] | None = None
                 F.col("id").cast("int").alias("level"),
                 F.try_element_at(names, F.col("id").cast("int")).alias("label"),
             )
-            counts = levels.join(F.broadcast(counts.drop("label")), "level", "left").select(
+            # both sides have one row per level; AQE picks the join from their real sizes
+            counts = levels.join(counts.drop("label"), "level", "left").select(
                 "level", "label", "code", F.coalesce("n", F.lit(0)).alias("n")
             )
     total = F.sum("n").over(Window.partitionBy())

@@ -42,22 +42,33 @@ def journey_job(raw: DataFrame, out_dir: str, cfg: JourneyConfig | None = None,
     return written
 
 
-def card_job(spark: SparkSession, paths: list[str], out_dir: str) -> dict[str, str]:
-    """Rows per snapshot (R49) and rows per snapshot and card type (R50),
-    every listed file in one scan. A file with no rows counts 0."""
-    cards = read_card_snapshots(spark, paths)
-    expected = spark.createDataFrame([(p,) for p in paths], "file_path string")
+def _path_key(col: str):
+    """A file path without scheme and URL escapes, so the scan's
+    ``_metadata.file_path`` URI and a manifest's plain path compare equal."""
+    return F.regexp_replace(F.url_decode(F.col(col)), r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
+
+
+def card_job(spark: SparkSession, paths: list[str], out_dir: str, chronological: bool = False) -> dict[str, str]:
+    """Rows per snapshot file (R49, by count ascending) and rows per file and
+    card type after C11 (R50, by date text then type, or by date with
+    ``chronological``). Every listed file in one scan; a file with no rows
+    counts 0; two files of one date are two entries, as the reference counts
+    file by file."""
     from ..sources.snapshots import with_snapshot_date
 
-    expected = with_snapshot_date(expected).select("snapshot_date").distinct()
-    data_count = A.rows_per_snapshot(cards, expected=expected).orderBy("cardCount").select(
+    cards = read_card_snapshots(spark, paths, keep_file=True).withColumn("file_path", _path_key("file_path"))
+    # the file list is the manifest (capped in read_manifest), not data
+    expected = with_snapshot_date(spark.createDataFrame([(p,) for p in paths], "file_path string"))
+    expected = expected.withColumn("file_path", _path_key("file_path"))
+    data_count = A.rows_per_snapshot(cards, expected=expected, by=["file_path"]).select(
         snapshot_text().alias("date"), "cardCount")
-    card_count = A.card_type_counts(T.clean_cards(cards)).select(
-        snapshot_text().alias("date"), F.col("CARD_TYP_CD").alias("type"), "typeCount"
-    )
+    card_count = A.card_type_counts(T.clean_cards(cards), by=["file_path"]).select(
+        "snapshot_date", snapshot_text().alias("date"), F.col("CARD_TYP_CD").alias("type"), "typeCount")
     out = {"dataCount": os.path.join(out_dir, "dataCount.json"), "cardCount": os.path.join(out_dir, "cardCount.json")}
-    sinks.write_info_json(data_count, out["dataCount"])
-    sinks.write_info_json(card_count, out["cardCount"])
+    sinks.write_info_json(data_count, out["dataCount"], order_by=["cardCount"])
+    sinks.write_info_json(card_count, out["cardCount"],
+                          order_by=["snapshot_date" if chronological else "date", "type"],
+                          record_cols=["date", "type", "typeCount"])
     return out
 
 

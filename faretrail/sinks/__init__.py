@@ -16,16 +16,25 @@ from pyspark.sql import functions as F
 INFO_MAX_ROWS = 1_000_000
 
 
-def to_info_json(df: DataFrame, max_rows: int = INFO_MAX_ROWS, sort: bool = True) -> DataFrame:
+def to_info_json(df: DataFrame, max_rows: int = INFO_MAX_ROWS, sort: bool = True,
+                 order_by: Sequence[str] | None = None, record_cols: Sequence[str] | None = None) -> DataFrame:
     """K1: one row, one column ``value`` = ``{"Info":[{...},...]}``.
 
-    Null fields are left out of each record (as ``toJSON``). Records are
-    sorted by all fields when ``sort`` (the reference leaves order open).
-    More than ``max_rows`` rows raises at run time instead of building a
-    value that does not fit one task.
+    Null fields are left out of each record (as ``toJSON``). Records are in
+    ``order_by`` order if given (ties by all fields), else sorted by all
+    fields when ``sort`` (the reference leaves that order open). More than
+    ``max_rows`` rows raises at run time instead of building a value that
+    does not fit one task. ``record_cols`` limits the fields written (the
+    order may use others).
     """
-    rows = F.collect_list(F.struct(*[F.col(c) for c in df.columns]))
-    rows = F.array_sort(rows) if sort else rows
+    record = F.struct(*[F.col(c) for c in (record_cols or df.columns)])
+    if order_by:
+        keyed = F.array_sort(F.collect_list(F.struct(F.struct(*[F.col(c) for c in order_by]).alias("k"),
+                                                     record.alias("v"))))
+        rows = F.transform(keyed, lambda x: x["v"])
+    else:
+        rows = F.collect_list(record)
+        rows = F.array_sort(rows) if sort else rows
     doc = df.agg(F.count(F.lit(1)).alias("__n"), rows.alias("Info"))
     guard = F.when(
         F.col("__n") > F.lit(max_rows),
@@ -34,9 +43,10 @@ def to_info_json(df: DataFrame, max_rows: int = INFO_MAX_ROWS, sort: bool = True
     return doc.select(F.coalesce(guard.cast("string"), F.to_json(F.struct("Info"))).alias("value"))
 
 
-def write_info_json(df: DataFrame, path: str, max_rows: int = INFO_MAX_ROWS, mode: str = "errorifexists") -> None:
+def write_info_json(df: DataFrame, path: str, max_rows: int = INFO_MAX_ROWS, mode: str = "errorifexists",
+                    order_by: Sequence[str] | None = None, record_cols: Sequence[str] | None = None) -> None:
     """K1 to storage: a folder holding one text file with the document."""
-    to_info_json(df, max_rows).write.mode(mode).text(path)
+    to_info_json(df, max_rows, order_by=order_by, record_cols=record_cols).write.mode(mode).text(path)
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

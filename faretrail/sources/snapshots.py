@@ -46,10 +46,11 @@ def snapshot_text(col: str = "snapshot_date", fmt: str = K.SNAPSHOT_DATE_TEXT_FO
 
 
 def read_card_snapshots(spark: SparkSession, paths, schema: T.StructType = CARD_SCHEMA,
-                        sep: str = "|") -> DataFrame:
-    """S2 + S4: every card file in one scan, with its ``snapshot_date``."""
-    df = read_delimited(spark, paths, schema, sep=sep, with_file_path=True)
-    return with_snapshot_date(df).drop("file_path")
+                        sep: str = "|", keep_file: bool = False) -> DataFrame:
+    """S2 + S4: every card file in one scan, with its ``snapshot_date``
+    (and its ``file_path`` when ``keep_file``)."""
+    df = with_snapshot_date(read_delimited(spark, paths, schema, sep=sep, with_file_path=True))
+    return df if keep_file else df.drop("file_path")
 
 
 def latest_snapshot(df: DataFrame, date_col: str = "snapshot_date") -> DataFrame:

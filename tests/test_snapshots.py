@@ -53,8 +53,23 @@ def test_card_job_counts_empty_files(spark, tmp_dir):
         return json.load(open(os.path.join(p, part)))["Info"]
 
     data = doc(out["dataCount"])
-    assert sorted((d["date"], d["cardCount"]) for d in data) == [
-        ("01-Aug-2016", 3), ("08-Aug-2016", 1), ("15-Aug-2016", 0)]
+    # ordered by count ascending (O1)
+    assert [(d["date"], d["cardCount"]) for d in data] == [
+        ("15-Aug-2016", 0), ("08-Aug-2016", 1), ("01-Aug-2016", 3)]
     cards = doc(out["cardCount"])
-    assert sorted((d["date"], d["type"], d["typeCount"]) for d in cards) == [
+    # ordered by date text, then type (O2)
+    assert [(d["date"], d["type"], d["typeCount"]) for d in cards] == [
         ("01-Aug-2016", "Adult", 2), ("01-Aug-2016", "Sgl Trip Ticket", 1), ("08-Aug-2016", "Child/Youth", 1)]
+
+
+def test_two_files_of_one_date_are_two_entries(spark, tmp_dir):
+    d1, d2 = os.path.join(tmp_dir, "a b"), os.path.join(tmp_dir, "c")
+    os.makedirs(d1)
+    os.makedirs(d2)
+    p1, p2 = os.path.join(d1, "x_20160801_Cards.csv"), os.path.join(d2, "x_20160801_Cards.csv")
+    _write(p1, [("Adult", "No DE", "Adult", "ISSUED")])
+    _write(p2, [("Adult", "No DE", "Adult", "ISSUED"), ("Adult", "No DE", "Adult", "ISSUED")])
+    out = card_job(spark, [p1, p2], os.path.join(tmp_dir, "out"))
+    part = [f for f in os.listdir(out["dataCount"]) if f.startswith("part-")][0]
+    data = json.load(open(os.path.join(out["dataCount"], part)))["Info"]
+    assert [(d["date"], d["cardCount"]) for d in data] == [("01-Aug-2016", 1), ("01-Aug-2016", 2)]
