@@ -74,7 +74,7 @@ def main() -> None:
         sinks.write_documents_from_lines(suite.document_lines(), os.path.join(out_dir, "journey"))
         for r in JR.REPORTS:
             if r.sink == "csv":
-                sinks.write_delimited(suite.report(r.key), os.path.join(out_dir, r.name + ".csv"), single_file=True)
+                sinks.write_delimited(suite.report(r.key), os.path.join(out_dir, r.name + ".csv"))
             elif r.sink == "jsonl":
                 sinks.write_json_lines(suite.report(r.key), os.path.join(out_dir, r.name + ".jsonl"))
 

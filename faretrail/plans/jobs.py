@@ -26,16 +26,24 @@ from .survey_plan import BOXED, Q9_ASPECT_MAP, Q10_ASPECT_MAP, SurveyPlan
 
 
 def journey_job(raw: DataFrame, out_dir: str, cfg: JourneyConfig | None = None,
-                materialize_bases: bool = True) -> dict[str, str]:
+                materialize_bases: bool = True, single_file_csv: bool = False,
+                show_kpis: bool = False) -> dict[str, str]:
     """All journey reports from one cleaned table; each written with the
-    reference's sink (JSON document, delimited file, or JSON for the KPIs)."""
+    reference's sink: JSON documents (one job for all), ``|`` delimited
+    files for the stop-by-time reports (part files written in parallel;
+    ``single_file_csv`` gathers each into one file as the reference does),
+    JSON lines for the mode-by-time reports. ``show_kpis`` also prints the
+    peak / off-peak totals to the console."""
     suite = JourneySuite(raw, cfg, materialize_bases=materialize_bases)
+    if show_kpis:
+        suite.report("r47_offpeak_kpis").show()
+        suite.report("r48_peak_kpis").show()
     written = {"documents": sinks.write_documents_from_lines(suite.document_lines(),
                                                               os.path.join(out_dir, "documents"))}
     for r in REPORTS:
         if r.sink == "csv":
             written[r.name] = os.path.join(out_dir, r.name + ".csv")
-            sinks.write_delimited(suite.report(r.key), written[r.name], sep="|", single_file=True)
+            sinks.write_delimited(suite.report(r.key), written[r.name], sep="|", single_file=single_file_csv)
         elif r.sink == "jsonl":
             written[r.name] = os.path.join(out_dir, r.name + ".jsonl")
             sinks.write_json_lines(suite.report(r.key), written[r.name])

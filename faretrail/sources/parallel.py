@@ -14,7 +14,9 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     large input already has many splits and is returned unchanged (no extra
     shuffle).
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()  # plans the scan, runs nothing
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD view
+        return df
+    return df.repartition(want) if have < want else df
