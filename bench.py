@@ -107,6 +107,7 @@ def main() -> None:
         res["non_commuters"] = p.non_commuters
         sinks.save_results(res, os.path.join(out_dir, "survey"))  # one small job per result
         fused.unpersist()
+        p.close()
 
     timed(q, "survey_all_write", survey)
 

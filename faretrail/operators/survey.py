@@ -164,7 +164,10 @@ def frequency_table(df: DataFrame, col: str, labels: Sequence[str] | None = None
                 "level", "label", "code", F.coalesce("n", F.lit(0)).alias("n")
             )
     total = F.sum("n").over(Window.partitionBy())
-    return counts.withColumn("pct", F.round(F.lit(100) * F.col("n") / total, digits))
+    return counts.withColumns({
+        "level": F.col("level").cast("bigint"),
+        "pct": F.round(F.lit(100) * F.col("n") / total, digits),
+    })
 
 
 # ---------------------------------------------------------------------------

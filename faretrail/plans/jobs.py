@@ -47,6 +47,7 @@ def journey_job(raw: DataFrame, out_dir: str, cfg: JourneyConfig | None = None,
         elif r.sink == "jsonl":
             written[r.name] = os.path.join(out_dir, r.name + ".jsonl")
             sinks.write_json_lines(suite.report(r.key), written[r.name])
+    suite.close()
     return written
 
 

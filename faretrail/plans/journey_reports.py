@@ -22,7 +22,7 @@ from ..operators import aggregates as A
 from ..operators import transfers as T
 from ..schemas import DEPARTURE_KEYS as DEP
 from ..schemas import DESTINATION_KEYS as DST
-from ..session import materialize
+from ..session import materialize_at, release
 
 CARD = ("CARD_TYP_CD",)
 PSNGR = ("PSNGR_TYP_CD",)
@@ -164,9 +164,11 @@ class JourneySuite:
                  cache_families: bool = False):
         self.cfg = cfg or JourneyConfig()
         b = bases(raw, self.cfg, slice_chars)
+        self._written: list[str] = []
         if materialize_bases:
-            b["journey"] = materialize(b["journey"], "journey")
-            b["unknowns"] = materialize(b["unknowns"], "unknowns")
+            b["journey"], p1 = materialize_at(b["journey"], "journey")
+            b["unknowns"], p2 = materialize_at(b["unknowns"], "unknowns")
+            self._written = [p1, p2]
         self.bases = b
         self.cache_families = cache_families
         self._families: dict[str, DataFrame] = {}
@@ -183,11 +185,15 @@ class JourneySuite:
             self._families[name] = fam
         return self._families[name]
 
-    def close(self) -> None:
+    def close(self, drop_written: bool = True) -> None:
+        """Unpersist cached families and delete the written base tables."""
         for fam in self._families.values():
             if self.cache_families:
                 fam.unpersist()
         self._families.clear()
+        if drop_written and self._written:
+            release(self.bases["journey"].sparkSession, self._written)
+            self._written = []
 
     def _build(self, name: str) -> DataFrame:
         c = lambda n: condition(n, self.cfg)

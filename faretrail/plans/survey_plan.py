@@ -17,7 +17,7 @@ from .. import constants as K
 from ..config import SurveyConfig
 from ..operators import aggregates as A
 from ..operators import survey as S
-from ..session import materialize
+from ..session import materialize_at, release
 from ..sources import adapters as AD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,10 @@ class SurveyPlan:
         """``materialize_data`` writes the answers once as Parquet in the
         shared folder; every statistic then reads only its columns from it."""
         self.cfg = cfg or SurveyConfig()
+        self._written: list[str] = []
         if materialize_data:
-            raw = materialize(raw, "survey")
+            raw, path = materialize_at(raw, "survey")
+            self._written = [path]
         self.raw = raw
         data = S.encode_many(raw, PROFILE_LABELS)
         self.data = data
@@ -51,6 +53,12 @@ class SurveyPlan:
         self.non_commuters = self.non_commuters.select("Q1", "Q2", "Q3", "Q4")
         self._commuters: DataFrame | None = None
 
+    def close(self) -> None:
+        """Delete the written answers table (if any)."""
+        if self._written:
+            release(self.raw.sparkSession, self._written)
+            self._written = []
+
     def commuters(self) -> DataFrame:
         """Commuters with transport mode labelled on the commuter subset
         (its level codes are read once per plan)."""

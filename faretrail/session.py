@@ -57,12 +57,28 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
 
     Cuts lineage (a lost executor recomputes from the written files, not from
     the raw scan and the window) and lets later reports read only the columns
-    they need. Returns the re-read DataFrame.
+    they need. Returns the re-read DataFrame; ``materialize_at`` also gives
+    the folder, for ``release``.
     """
+    return materialize_at(df, name, partition_by)[0]
+
+
+def materialize_at(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """``materialize`` that also returns the folder written."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), "faretrail", f"{name}-{uuid.uuid4().hex}")
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def release(spark: SparkSession, paths) -> None:
+    """Delete written intermediate tables from the shared folder (through the
+    Hadoop FileSystem of each path, so any cluster store works)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        hp.getFileSystem(conf).delete(hp, True)

@@ -81,3 +81,14 @@ def test_journey_job_writes_documents(spark, tmp_dir):
     assert sorted(json.dumps(x, sort_keys=True) for x in doc["Info"]) == sorted(
         json.dumps(r.asDict(), sort_keys=True) for r in direct.collect())
     assert os.path.isdir(out["timeStation"]) and os.path.isdir(out["timeMode"])
+
+
+def test_close_deletes_written_tables(spark):
+    import os
+
+    suite = JR.JourneySuite(AD.journeys(spark, SF0001), CFG, materialize_bases=True)
+    dirs = [p.replace("file:", "") for p in suite._written]
+    assert dirs and all(os.path.isdir(d) for d in dirs)
+    suite.report("r01_departure").collect()
+    suite.close()
+    assert not any(os.path.exists(d) for d in dirs)
