@@ -103,11 +103,44 @@ def survey_results(raw: DataFrame) -> dict[str, DataFrame]:
     return res
 
 
-def survey_job(raw: DataFrame, out_dir: str) -> dict[str, str]:
-    res = survey_results(raw)
-    sinks.write_indexed_csv(res["q9_cov"], os.path.join(out_dir, "Q9_cov.csv"), ["col1", "col2"])
-    sinks.write_indexed_csv(res["q10_cov"], os.path.join(out_dir, "Q10_cov.csv"), ["col1", "col2"])
-    return sinks.save_results(res, os.path.join(out_dir, "results"))
+def survey_tables(p: SurveyPlan) -> dict[str, DataFrame]:
+    """Every survey result, grouped into one table per statistic family
+    (a column names the block, question or cross-tab): 7 tables instead of
+    ~30 results, so writing them takes 7 jobs. The 14 per-rating box plots
+    and both melted blocks come from one histogram pass."""
+    cfg = p.cfg
+    cov = p.covariance(cfg.q9).withColumn("block", F.lit("Q9")).unionByName(
+        p.covariance(cfg.q10).withColumn("block", F.lit("Q10")))
+    rel = p.reliability(cfg.q9, "Q9").unionByName(p.reliability(cfg.q10, "Q10"))
+    freq = None
+    for c in ("Q1", "Q2", "Q3", "Q4", "Q5"):
+        f = p.frequency(c).withColumn("question", F.lit(c))
+        freq = f if freq is None else freq.unionByName(f)
+    xt = None
+    for a, b in (("Q1", "Q3"), ("Q2", "Q3"), ("Q3", "Q4"), ("Q3", "Q5")):
+        t = p.crosstab(a, b).select(
+            F.lit(a).alias("row_question"), F.col(a).alias("row_level"),
+            F.lit(b).alias("col_question"), F.col(b).alias("col_level"), "count")
+        xt = t if xt is None else xt.unionByName(t)
+    aspects = {**Q9_ASPECT_MAP, **Q10_ASPECT_MAP}
+    boxes = p.boxes().withColumn(
+        "aspect", F.try_element_at(F.create_map(*[F.lit(x) for kv in aspects.items() for x in kv]), F.col("rating")))
+    return {
+        "covariance": cov, "reliability": rel, "frequency": freq, "crosstab": xt,
+        "box_by_occupation": boxes, "bar_occupation": p.bars(), "non_commuters": p.non_commuters,
+    }
+
+
+def survey_job(raw: DataFrame, out_dir: str, materialize_data: bool = True) -> dict[str, str]:
+    """The survey statistics written as Parquet tables (K5) plus the two
+    covariance CSV files with a row index (K3)."""
+    p = SurveyPlan(raw, materialize_data=materialize_data)
+    tables = survey_tables(p)
+    sinks.write_indexed_csv(p.covariance(p.cfg.q9), os.path.join(out_dir, "Q9_cov.csv"), ["col1", "col2"])
+    sinks.write_indexed_csv(p.covariance(p.cfg.q10), os.path.join(out_dir, "Q10_cov.csv"), ["col1", "col2"])
+    written = sinks.save_results(tables, os.path.join(out_dir, "results"))
+    p.close()
+    return written
 
 
 def main(argv=None) -> None:

@@ -46,8 +46,11 @@ def test_survey_cli_from_csv(spark, tmp_dir):
     raw.coalesce(1).write.option("header", True).csv(src)
     out = os.path.join(tmp_dir, "out")
     jobs.main(["survey", "--input", glob.glob(os.path.join(src, "*.csv"))[0], "--out", out])
-    cov = spark.read.parquet(os.path.join(out, "results", "q9_cov"))
-    assert cov.count() == 21
+    cov = spark.read.parquet(os.path.join(out, "results", "covariance"))
+    assert cov.where("block = 'Q9'").count() == 21 and cov.where("block = 'Q10'").count() == 15
+    boxes = spark.read.parquet(os.path.join(out, "results", "box_by_occupation"))
+    assert boxes.select("rating").distinct().count() == 14
+    assert boxes.where("aspect = 'Toilet fac.'").count() == 9
     lines = open(glob.glob(os.path.join(out, "Q9_cov.csv", "part-*"))[0]).read().splitlines()
     assert lines[0] == "row,col1,col2,covariance" and lines[1].startswith("1,Q9_A,Q9_B,")
 
