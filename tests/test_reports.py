@@ -92,3 +92,14 @@ def test_close_deletes_written_tables(spark):
     suite.report("r01_departure").collect()
     suite.close()
     assert not any(os.path.exists(d) for d in dirs)
+
+
+def test_dayofweek_rule_on_test_calendar(spark):
+    """The test data's listed Sundays/Saturdays are real Sundays/Saturdays,
+    so both rules agree except on dates outside the lists."""
+    from dataclasses import replace
+
+    dow = replace(CFG, day_rule="dayofweek")
+    a = JR.JourneySuite(AD.journeys(spark, SF0001), CFG).report("r21_departure_sunday")
+    b = JR.JourneySuite(AD.journeys(spark, SF0001), dow).report("r21_departure_sunday")
+    assert _rows(a) == _rows(b.select(*a.columns))

@@ -49,3 +49,9 @@ def test_indexed_csv_and_parquet(spark, tmp_dir):
     out = sinks.save_results({"cov": df}, os.path.join(tmp_dir, "res"))
     back = spark.read.parquet(out["cov"])
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_info_json_order_and_record_columns(spark):
+    df = spark.createDataFrame([("b", 3, 1), ("a", 1, 2), ("c", 2, 3)], "name string, n long, k int")
+    doc = json.loads(sinks.to_info_json(df, order_by=["n"], record_cols=["name", "n"]).collect()[0].value)
+    assert doc == {"Info": [{"name": "a", "n": 1}, {"name": "c", "n": 2}, {"name": "b", "n": 3}]}

@@ -154,3 +154,9 @@ def test_covariance_of_doubles_uses_covar_samp(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.5), (4.0, 5.0)], "a double, b double")
     got = S.pairwise_covariance(df, ["a", "b"]).collect()[0].covariance
     assert got == pytest.approx(np.cov([1, 2, 4], [2, 2.5, 5])[0, 1])
+
+
+def test_crosstab_wide_fills_zero(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("a", "x")], "r string, c string")
+    wide = {r.r: (r.x, r.y, r.z) for r in S.crosstab_wide(df, "r", "c", ["x", "y", "z"]).collect()}
+    assert wide == {"a": (2, 1, 0), "b": (1, 0, 0)}
