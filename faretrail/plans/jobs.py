@@ -18,7 +18,7 @@ from ..config import JourneyConfig
 from ..operators import aggregates as A
 from ..operators import transfers as T
 from ..schemas import JOURNEY_SCHEMA, SURVEY_SCHEMA
-from ..session import get_session
+from ..session import get_session, input_bytes, size_shuffle_partitions
 from ..sources.delimited import read_delimited
 from ..sources.snapshots import read_card_snapshots, read_manifest, snapshot_text
 from .journey_reports import REPORTS, JourneySuite
@@ -151,6 +151,8 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     args = ap.parse_args(argv)
     spark = get_session()
+    # size the shuffles to the input (metadata only; nothing is read)
+    size_shuffle_partitions(spark, input_bytes(spark, args.input or args.manifest))
     if args.job == "journey":
         journey_job(read_delimited(spark, args.input, JOURNEY_SCHEMA, sep="|"), args.out)
     elif args.job == "cards":

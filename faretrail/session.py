@@ -35,6 +35,32 @@ def get_session(master: str | None = None, app: str = "faretrail", **conf) -> Sp
     return spark
 
 
+def input_bytes(spark: SparkSession, paths) -> int:
+    """Total size of the files behind ``paths`` (globs allowed), from the
+    file system's metadata; nothing is read."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in [paths] if isinstance(paths, str) else paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        fs = hp.getFileSystem(conf)
+        for st in fs.globStatus(hp) or []:
+            total += fs.getContentSummary(st.getPath()).getLength()
+    return total
+
+
+def size_shuffle_partitions(spark: SparkSession, nbytes: int, target_bytes: int = 256 << 20,
+                            floor: int | None = None, ceiling: int = 200_000) -> int:
+    """Set ``spark.sql.shuffle.partitions`` so a full-width shuffle of
+    ``nbytes`` gives partitions of about ``target_bytes`` (AQE then only
+    coalesces small ones; it cannot split a partition that is too big).
+    Returns the number set."""
+    floor = floor or spark.sparkContext.defaultParallelism
+    n = max(floor, min(ceiling, -(-nbytes // target_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    return n
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for lineage cuts: ``spark.checkpoint.dir``.
 

@@ -57,3 +57,19 @@ def test_ensure_parallelism_only_spreads_small_splits(spark, tmp_dir):
     many = spark.range(0, 1000, 1, 8)
     same = ensure_parallelism(many, 4)
     assert same is many
+
+
+def test_shuffle_partitions_follow_input_size(spark, tmp_dir):
+    from faretrail.session import input_bytes, size_shuffle_partitions
+
+    for i in range(3):
+        with open(os.path.join(tmp_dir, f"f{i}.csv"), "w") as f:
+            f.write("x" * 1000)
+    assert input_bytes(spark, os.path.join(tmp_dir, "*.csv")) == 3000
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffle_partitions(spark, 100 * 2**40) == 200_000  # 100 TB: capped
+        assert size_shuffle_partitions(spark, 10 * 2**30) == 40
+        assert size_shuffle_partitions(spark, 10, floor=3) == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
