@@ -17,8 +17,9 @@ text, see ``slice_chars``).
 * The carry rows are unioned in front of their slice (marker 0 sorts first),
   so the one shuffle of the full rows is the slice window's own; no join.
 
-Null cards can never be a transfer (the card test is null), so every null-card
-row is its own group: they cannot pile up in one task either.
+Null cards can never be a transfer (the card test is null), so null-card rows
+are grouped by journey id instead of by card: they cannot pile up in one
+task either.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def previous_trip(df: DataFrame, date_col: str = "TAG1_DT_FK", card_col: str = "
         {
             _MARK: F.lit(1),
             _SLICE: slice_expr,
-            # null cards: one group per trip (their transfer test is null anyway)
+            # null cards: grouped by journey id (their transfer test is null anyway)
             _SALT: F.when(F.col(card_col).isNull(), F.col(tie_col)),
             _PCARD: F.col(card_col),
         }

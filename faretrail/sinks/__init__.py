@@ -90,9 +90,10 @@ def write_info_documents(results: Mapping[str, DataFrame], folder: str, max_rows
     """K1 for many reports in ONE job: ``folder/report=<name>/part-*`` each
     holds one ``{"Info":[...]}`` document (records sorted, nulls omitted).
 
-    Each document is built by its own group in parallel; identical
-    sub-plans of the reports (a shared fused aggregate) are computed once
-    through exchange reuse. A report over ``max_rows`` rows raises.
+    Each document is built by its own group in parallel. Every report is
+    its own union branch here; ``JourneySuite.document_lines`` gives one
+    branch per shared aggregate instead. A report over ``max_rows`` rows
+    raises.
     """
     return write_documents_from_lines(report_lines(results, name_col), folder, max_rows, mode, name_col)
 
