@@ -53,7 +53,9 @@ def previous_trip(df: DataFrame, date_col: str = "TAG1_DT_FK", card_col: str = "
     Adds ``PREV_CARD_FK`` (the card when a previous trip exists, else null),
     ``PREV_TS_TYP_CD``, ``PREV_TAG2_DT_FK`` and ``PREV_TAG2_TM``. Order is
     (time, id) within a card and date; null times sort first, as in Spark's
-    ascending order. ``slice_chars`` cuts slices by a prefix of the time text
+    ascending order; trips tied on (time, id) are ordered by their carried
+    values (mode, tag-off date and time), so ties give one deterministic
+    answer. ``slice_chars`` cuts slices by a prefix of the time text
     (``5`` = minute); default: the whole time text (second).
     """
     carry_cols = ("TS_TYP_CD", "TAG2_DT_FK", "TAG2_TM")
@@ -77,7 +79,8 @@ def previous_trip(df: DataFrame, date_col: str = "TAG1_DT_FK", card_col: str = "
         .agg(
             F.max_by(
                 F.struct(*[F.col(c) for c in carry_cols]),
-                F.struct(F.col(time_col), F.col(tie_col)),
+                # same total order as the slice window below, so both agree on ties
+                F.struct(F.col(time_col), F.col(tie_col), *[F.col(c) for c in carry_cols]),
             ).alias(_LAST)
         )
     )
@@ -99,8 +102,11 @@ def previous_trip(df: DataFrame, date_col: str = "TAG1_DT_FK", card_col: str = "
     )
 
     both = rows.unionByName(carry, allowMissingColumns=True)
+    # (time, id) and then the carried values: rows tied on all of them carry
+    # the same values, so the result does not depend on how ties fall
     in_slice = Window.partitionBy(date_col, card_col, _SLICE, _SALT).orderBy(
-        F.col(_MARK).asc(), F.col(time_col).asc_nulls_first(), F.col(tie_col).asc_nulls_first()
+        F.col(_MARK).asc(), F.col(time_col).asc_nulls_first(), F.col(tie_col).asc_nulls_first(),
+        *[F.col(c).asc_nulls_first() for c in carry_cols],
     )
     out = both.withColumns(
         {
@@ -120,7 +126,8 @@ def previous_trip_by_day(df: DataFrame) -> DataFrame:
     scale (see ``previous_trip``).
     """
     w = Window.partitionBy("TAG1_DT_FK").orderBy(
-        F.col("CARD_FK").asc_nulls_first(), F.col("TAG1_TM").asc_nulls_first(), F.col("JRNY_ID").asc_nulls_first()
+        *[F.col(c).asc_nulls_first()
+          for c in ("CARD_FK", "TAG1_TM", "JRNY_ID", "TS_TYP_CD", "TAG2_DT_FK", "TAG2_TM")]
     )
     prev_card = F.lag("CARD_FK").over(w)
     return df.withColumns(

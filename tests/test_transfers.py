@@ -132,3 +132,20 @@ def test_unknown_reports_keep_raw_tag_off_date(spark):
     assert sorted(r.TAG2_DT_FK for r in out.collect()) == [-1, 20160807]
     wk = C.day_class_filter(out, "weekday", "TAG2_DT_FK")
     assert [r.TAG2_DT_FK for r in wk.collect()] == [-1]
+
+
+def test_tied_trips_are_deterministic(spark):
+    # two trips with the same card, time and id but other modes: the later
+    # trip must see the last of them in one fixed order, whatever the slices
+    rows = [
+        {"CARD_FK": 9, "JRNY_ID": 5, "TS_TYP_CD": "Train", "TAG1_TM": "08:00:00", "TAG2_TM": "08:05:00"},
+        {"CARD_FK": 9, "JRNY_ID": 5, "TS_TYP_CD": "Bus", "TAG1_TM": "08:00:00", "TAG2_TM": "08:06:00"},
+        {"CARD_FK": 9, "JRNY_ID": 6, "TS_TYP_CD": "Ferry", "TAG1_TM": "08:10:00", "TAG2_TM": "08:30:00"},
+    ]
+    outs = []
+    for kw in ({}, {"slice_chars": 5}, {"slice_chars": 2}):
+        df = T.detect_transfers(T.previous_trip(journeys(spark, rows), **kw))
+        outs.append(sorted((r.JRNY_ID, r.TS_TYP_CD, r.IMTT_DESC) for r in df.collect()))
+    # order among the tie: (Bus, ...) < (Train, ...), so Train is last before the ferry
+    assert outs[0] == [(5, "Bus", NO), (5, "Train", "Bus to train"), (6, "Ferry", "Train to ferry")]
+    assert outs[0] == outs[1] == outs[2]
