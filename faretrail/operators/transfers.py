@@ -37,6 +37,10 @@ PREV_MODE = "PREV_TS_TYP_CD"
 PREV_TAG2_DT = "PREV_TAG2_DT_FK"
 PREV_TAG2_TM = "PREV_TAG2_TM"
 
+# order among trips tied on (card, date, time, id): the carried values, then
+# the duration (the transfer test reads it), so ties give one answer
+TIE_ORDER = ("TS_TYP_CD", "TAG2_DT_FK", "TAG2_TM", "JS_DURN_SEC")
+
 _MARK = "__ft_mark"
 _SLICE = "__ft_slice"
 _SALT = "__ft_salt"
@@ -54,8 +58,8 @@ def previous_trip(df: DataFrame, date_col: str = "TAG1_DT_FK", card_col: str = "
     ``PREV_TS_TYP_CD``, ``PREV_TAG2_DT_FK`` and ``PREV_TAG2_TM``. Order is
     (time, id) within a card and date; null times sort first, as in Spark's
     ascending order; trips tied on (time, id) are ordered by their carried
-    values (mode, tag-off date and time), so ties give one deterministic
-    answer. ``slice_chars`` cuts slices by a prefix of the time text
+    values (mode, tag-off date and time) and duration, so ties give one
+    deterministic answer. ``slice_chars`` cuts slices by a prefix of the time text
     (``5`` = minute); default: the whole time text (second).
     """
     carry_cols = ("TS_TYP_CD", "TAG2_DT_FK", "TAG2_TM")
@@ -104,9 +108,10 @@ def previous_trip(df: DataFrame, date_col: str = "TAG1_DT_FK", card_col: str = "
     both = rows.unionByName(carry, allowMissingColumns=True)
     # (time, id) and then the carried values: rows tied on all of them carry
     # the same values, so the result does not depend on how ties fall
+    extra = [c for c in TIE_ORDER if c in cols and c not in carry_cols]
     in_slice = Window.partitionBy(date_col, card_col, _SLICE, _SALT).orderBy(
         F.col(_MARK).asc(), F.col(time_col).asc_nulls_first(), F.col(tie_col).asc_nulls_first(),
-        *[F.col(c).asc_nulls_first() for c in carry_cols],
+        *[F.col(c).asc_nulls_first() for c in (*carry_cols, *extra)],
     )
     out = both.withColumns(
         {
@@ -126,8 +131,7 @@ def previous_trip_by_day(df: DataFrame) -> DataFrame:
     scale (see ``previous_trip``).
     """
     w = Window.partitionBy("TAG1_DT_FK").orderBy(
-        *[F.col(c).asc_nulls_first()
-          for c in ("CARD_FK", "TAG1_TM", "JRNY_ID", "TS_TYP_CD", "TAG2_DT_FK", "TAG2_TM")]
+        *[F.col(c).asc_nulls_first() for c in ("CARD_FK", "TAG1_TM", "JRNY_ID", *TIE_ORDER)]
     )
     prev_card = F.lag("CARD_FK").over(w)
     return df.withColumns(

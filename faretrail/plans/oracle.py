@@ -104,7 +104,8 @@ windowed AS (SELECT *,
     lag(TAG2_DT_FK) OVER w AS p_d2, lag(TAG2_TM) OVER w AS p_t2
   FROM repaired
   WINDOW w AS (PARTITION BY TAG1_DT_FK ORDER BY CARD_FK ASC NULLS FIRST, TAG1_TM ASC NULLS FIRST,
-               JRNY_ID ASC NULLS FIRST, TS_TYP_CD ASC NULLS FIRST, TAG2_DT_FK ASC NULLS FIRST, TAG2_TM ASC NULLS FIRST)),
+               JRNY_ID ASC NULLS FIRST, TS_TYP_CD ASC NULLS FIRST, TAG2_DT_FK ASC NULLS FIRST, TAG2_TM ASC NULLS FIRST,
+               JS_DURN_SEC ASC NULLS FIRST)),
 transfers AS (SELECT * EXCLUDE (p_card, p_mode, p_d2, p_t2) REPLACE (
     CASE WHEN JS_DURN_SEC > 0 AND CARD_FK = p_card AND TS_TYP_CD <> p_mode
           AND abs({_ts('TAG1_DT_FK', 'TAG1_TM')} - {_ts('p_d2', 'p_t2')}) < {cfg.max_transfer_gap_sec}
