@@ -58,6 +58,11 @@ def semi_join(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_RO
     return df.join(right, on, "left_semi")
 
 
+def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if its counted number of ``rows`` allows it."""
+    return F.broadcast(df) if rows <= limit else df
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of an id's decimal text, modulo; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

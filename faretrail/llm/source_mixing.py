@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faretrail.llm.common import Scratch
+from faretrail.llm.common import Scratch, small
 
 #: Words: runs of characters other than space and \t \n \v \f \r.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -56,7 +56,7 @@ def _uniform(seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def mix_sizes(rows: DataFrame, targets: DataFrame, max_copies: int = 3, seed: int = 7) -> DataFrame:
+def mix_sizes(rows: DataFrame, targets: DataFrame, sources: int, max_copies: int = 3, seed: int = 7) -> DataFrame:
     """Add ``copies`` to rows of (doc_id, source, size).
 
     A document is expected ``target / source_size`` times in the mix: the
@@ -65,12 +65,14 @@ def mix_sizes(rows: DataFrame, targets: DataFrame, max_copies: int = 3, seed: in
     are ranked by Pareto's variable, the odds of a uniform number over the
     inclusion odds; each source takes its documents in that order while they
     fit into the words it still needs, and one more document, the one that
-    comes nearest to closing the gap, if that brings it nearer.
+    comes nearest to closing the gap, if that brings it nearer. Tables of one
+    row per source are broadcast if their counted number (``sources``) is
+    small, so a hot source's documents stay where they are.
     """
     frac = F.col("ratio") - F.col("whole")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
     planned = (
-        rows.join(targets, rows["source"].eqNullSafe(targets["source"]))
+        rows.join(small(targets, sources), rows["source"].eqNullSafe(targets["source"]))
         .select(rows["doc_id"], rows["source"], rows["size"], "source_size", "target")
         .withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("whole", F.least(F.floor("ratio"), F.lit(max_copies)).cast("long"))
@@ -89,7 +91,7 @@ def mix_sizes(rows: DataFrame, targets: DataFrame, max_copies: int = 3, seed: in
         .groupBy("source").agg(F.min(F.struct("slot", F.expr("end - words").alias("base"))).alias("cut"))
         .select(F.col("source").alias("cut_source"), F.col("cut.slot").alias("cut_slot"), F.col("cut.base").alias("base"))
     )
-    placed = planned.join(slots, F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    placed = planned.join(small(slots, sources), F.col("source").eqNullSafe(F.col("cut_source")), "left")
     in_cut = F.col("slot") == F.col("cut_slot")
     edge = placed.where(in_cut).withColumn(
         "upto",
@@ -104,18 +106,18 @@ def mix_sizes(rows: DataFrame, targets: DataFrame, max_copies: int = 3, seed: in
     return inner.select(*cols).union(edge.select(*cols))
 
 
-def _close(chosen: DataFrame) -> DataFrame:
+def _close(chosen: DataFrame, sources: int) -> DataFrame:
     """One more document per source where that brings its words nearer to the target."""
     got = chosen.groupBy("source").agg(
         F.sum(F.col("size") * F.col("extra")).alias("got"), F.max("need").alias("need")
     ).select(F.col("source").alias("s"), (F.col("need") - F.col("got")).alias("gap"))
-    free = chosen.where("extra = 0 and z is not null").join(got, F.col("source").eqNullSafe(F.col("s")))
+    free = chosen.where("extra = 0 and z is not null").join(small(got, sources), F.col("source").eqNullSafe(F.col("s")))
     best = (
         free.withColumn("miss", F.abs(F.col("gap") - F.col("size"))).where(F.col("miss") < F.abs("gap"))
         .groupBy("source").agg(F.min(F.struct("miss", "z", F.coalesce("doc_id", F.lit(1 << 62)).alias("d"), "size")).alias("pick"))
         .select(F.col("source").alias("s"), F.col("pick.z").alias("pz"), F.col("pick.d").alias("pd"), F.col("pick.size").alias("ps"))
     )
-    marked = chosen.join(best, F.col("source").eqNullSafe(F.col("s")), "left").withColumn(
+    marked = chosen.join(small(best, sources), F.col("source").eqNullSafe(F.col("s")), "left").withColumn(
         "hit",
         F.coalesce(
             (F.col("extra") == 0) & (F.col("z") == F.col("pz")) & (F.col("size") == F.col("ps"))
@@ -151,8 +153,9 @@ def mix_sources(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
     )
     targets = scratch.keep(source_targets(rows, weights, max_copies))
-    chosen = scratch.keep(mix_sizes(rows, targets, max_copies, seed))
-    return _close(chosen).select(
+    sources = targets.count()
+    chosen = scratch.keep(mix_sizes(rows, targets, sources, max_copies, seed))
+    return _close(chosen, sources).select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("whole") + F.col("extra")).cast("long").alias("copies"),
     ).withColumn("taken", F.col("size") * F.col("copies"))
