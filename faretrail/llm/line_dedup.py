@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 
 from faretrail.llm import textops as X
 from faretrail.llm.common import Scratch, prepare, semi_join
-from faretrail.llm.prefix_filter import Rule, shared_prefix_counts
+from faretrail.llm.prefix_filter import Rule, rarest_first, rarity, shared_prefix_counts
 
-#: Cells that tokens are counted in to order them by rarity (4 bytes each).
-CELLS = 1 << 20
 #: Tokens to share per mille of a line's size in the first stage.
 FIRST_STAGE = 50
 _LAST = (1 << 63) - 1
@@ -64,52 +62,6 @@ def _set_rows(k: int):
     return run
 
 
-def _cell(tokens: np.ndarray) -> np.ndarray:
-    return (X.mix(tokens.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
-
-
-def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.int64)
-    for b in batches:
-        total += np.bincount(_cell(b.column(0).flatten().to_numpy()), minlength=CELLS)
-    for part, counts in enumerate(total.reshape(64, -1)):
-        if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["part", "counts"])
-
-
-def rarity(sets: DataFrame) -> np.ndarray:
-    """Tokens of all ``sets`` counted in ``CELLS`` cells: a fixed-size summary.
-    Any order that all tasks share keeps the join exact; this one puts tokens
-    of much-used cells last."""
-    parts = sets.select("toks").mapInArrow(_count_cells, "part long, counts array<long>")
-    width = CELLS // 64
-    sums = parts.select("part", F.posexplode("counts").alias("at", "c")).where("c > 0").groupBy("part", "at").agg(F.sum("c").alias("c"))
-    out = np.zeros(CELLS, np.int32)
-    got = sums.select((F.col("part") * width + F.col("at")).alias("cell"), F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
-    out[got.column("cell").to_numpy()] = got.column("c").to_numpy()
-    return out
-
-
-def _rarest_first(cells, rule: Rule):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = cells.value
-        for b in batches:
-            toks = b.column(b.schema.get_field_index("toks"))
-            size = toks.value_lengths().to_numpy()
-            flat = toks.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((flat, counts[_cell(flat)], owner))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            inside = place < rule.prefix(size.astype(np.int64))[owner]
-            who = pa.array(owner[inside])
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(b.schema.get_field_index(c)).take(who) for c in ("id", "n", "first", "copies")), pa.array(flat[order][inside]), pa.array(place[inside])],
-                names=["id", "n", "first", "copies", "tok", "pos"],
-            )
-
-    return run
-
-
 class _Join:
     """Which sets (id, n, toks, first, copies) match one with an earlier ``first``."""
 
@@ -131,11 +83,7 @@ class _Join:
         )
 
     def run(self) -> DataFrame:
-        spark = self.sets.sparkSession
-        cells = spark.sparkContext.broadcast(rarity(self.sets))
-        postings = self.sets.mapInArrow(
-            _rarest_first(cells, self.rule), "id long, n long, first struct<d:long,line:int>, copies long, tok long, pos long"
-        )
+        postings = rarest_first(self.sets, rarity(self.sets), self.rule, ["id", "n", "first", "copies"])
         again = postings.groupBy("tok").count().where("count > 1").select("tok")
         rows = self.scratch.keep(postings.join(again, "tok", "left_semi"))
         # first against each token's earliest and most copied line

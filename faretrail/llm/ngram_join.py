@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from faretrail.llm import textops as X
 from faretrail.llm.common import Scratch, prepare, semi_join
 from faretrail.llm.graph import connected_components
-from faretrail.llm.prefix_filter import Rule, shared_prefix_counts
+from faretrail.llm.prefix_filter import Rule, rarest_first, rarity, shared_prefix_counts
 
 #: Prefix lengths in turn, as tokens to share per mille of a set's size.
-BASE, WHOLE = 50, 1000
+BASE, LONG = 50, 250
 #: Candidate rows per prefix token up to which a document's partners are listed.
 CHEAP = 4
 #: Rounds in which each document is compared with its likeliest partner.
@@ -67,10 +67,13 @@ class _Join:
     def __init__(self, sets: DataFrame, rule: Rule, scratch: Scratch):
         self.sets, self.rule, self.scratch = sets, rule, scratch
         self.comps = scratch.keep(sets.select("id", F.col("id").alias("comp")))
+        self.cells = rarity(sets)
 
-    def _postings(self, ids: DataFrame | None, rule: Rule) -> DataFrame:
-        rows = self.sets if ids is None else self.sets.join(ids.select("id"), "id", "left_semi")
-        return rows.select("id", "n", F.explode(F.slice("toks", 1, rule.c_prefix(F.col("n")))).alias("tok"))
+    def _postings(self, sets: DataFrame, rule: Rule) -> DataFrame:
+        """Prefixes in rarity order (tok, id, n, pos), of tokens that two sets post."""
+        rows = rarest_first(sets, self.cells, rule, ["id", "n"])
+        again = rows.groupBy("tok").count().where("count > 1").select("tok")
+        return self.scratch.keep(rows.join(again, "tok", "left_semi"))
 
     def _foreign(self, postings: DataFrame) -> DataFrame:
         """Postings whose token another component posted too, with the number
@@ -97,7 +100,7 @@ class _Join:
             .where("ylo <= yhi")
         )
         # the smaller need lies at an end of the range of partner sizes, up to rounding
-        need = F.least(rule.c_need(n, lo), rule.c_need(n, hi)) - (0 if rule.per_mille == WHOLE else 2)
+        need = F.least(rule.c_need(n, lo), rule.c_need(n, hi)) - 2
         return per.where(F.col("m") >= need).select("id", "n", "m", "cost")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
@@ -143,45 +146,49 @@ class _Join:
 
     def _listed(self, foreign: DataFrame, able: DataFrame, rule: Rule, cheap: DataFrame) -> DataFrame:
         """Pairs of a cheap set and any other able set of another component
-        whose prefixes share enough tokens."""
-        rows = foreign.select("tok", "id", "n", "comp").join(able.select("id"), "id", "left_semi")
+        whose prefixes share enough tokens. A shared token at places i and j
+        leaves room for min(i, j) shared tokens before it and as many after it
+        as the shorter rest has; rows without room for a link are not made."""
+        rows = foreign.select("tok", "id", "n", "pos", "comp").join(able.select("id"), "id", "left_semi")
         marked = rows.join(cheap.select("id", F.lit(True).alias("cheap")), "id", "left").withColumn("cheap", F.coalesce("cheap", F.lit(False)))
         l, r = marked.where("cheap").alias("l"), marked.alias("r")
         once = ~F.col("r.cheap") | (F.col("l.id") < F.col("r.id"))
-        fits = rule.c_fits(F.col("l.n"), F.col("r.n"))
+        x, y, i, j = F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos")
+        room = F.least(i, j) + F.least(x - i, y - j) >= rule.c_overlap(x, y)
         return (
-            l.join(r, (F.col("l.tok") == F.col("r.tok")) & (F.col("l.comp") != F.col("r.comp")) & once & fits)
+            l.join(r, (F.col("l.tok") == F.col("r.tok")) & (F.col("l.comp") != F.col("r.comp")) & once & rule.c_fits(x, y) & room)
             .groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-            .agg(F.count("*").alias("c"), F.first(rule.c_need(F.col("l.n"), F.col("r.n"))).alias("need"))
+            .agg(F.count("*").alias("c"), F.first(rule.c_need(x, y)).alias("need"))
             .where("c >= need").select("a", "b")
         )
 
     def run(self) -> DataFrame:
         """(id, comp): short prefixes first; sets whose candidates would cost
         too much get longer ones, which must share more, until few are left."""
-        base, whole = Rule(self.rule.a, self.rule.b, BASE), Rule(self.rule.a, self.rule.b, WHOLE)
-        shared = self._postings(None, base)
-        again = shared.groupBy("tok").count().where("count > 1").select("tok")
-        postings = self.scratch.keep(shared.join(again, "tok", "left_semi"))
+        base, long = Rule(self.rule.a, self.rule.b, BASE), Rule(self.rule.a, self.rule.b, LONG)
+        postings = self._postings(self.sets, base)
         for _ in range(STARS):
             self._star(postings, base)
         foreign = self.scratch.keep(self._foreign(postings))
         able = self.scratch.keep(self._able(foreign, base))
         cheap = able.where(F.col("cost") <= base.c_prefix(F.col("n")) * CHEAP)
-        self._merge(self._listed(foreign, able, base, cheap))
         dear = self.scratch.keep(able.where(F.col("cost") > base.c_prefix(F.col("n")) * CHEAP).select("id"))
-        self.scratch.drop(foreign, able)
+        self._merge(self._listed(foreign, able, base, cheap))
+        self.scratch.drop(foreign, able, postings)
         left = dear.count()
-        while left:
-            fewer = self.scratch.keep(self._able(self._foreign(self._postings(dear, whole)), whole).select("id"))
+        if not left:
+            return self.comps
+        postings = self._postings(self.sets.join(dear, "id", "left_semi"), long)
+        while left:  # each set that is done may be what kept another one
+            foreign = self.scratch.keep(self._foreign(postings.join(dear, "id", "left_semi")))
+            fewer = self.scratch.keep(self._able(foreign, long).select("id"))
             now = fewer.count()
             self.scratch.drop(dear)
             dear, done, left = fewer, now == left, now
             if done:
+                self._merge(self._listed(foreign, dear, long, dear))
                 break
-        if left:
-            rest = self.scratch.keep(self._foreign(postings.join(dear, "id", "left_semi")))
-            self._merge(self._listed(rest, dear, base, dear))
+            self.scratch.drop(foreign)
         return self.comps
 
 
@@ -199,11 +206,13 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
 
     1. Every set posts a short prefix in hash order; sets that share fewer
        tokens with all others than a link needs are done (``prefix_filter``).
-    2. The rest is read again into a table of whole sets. Each is compared with
-       its likeliest partner, which joins cohesive groups.
+    2. The rest is read again into a table of whole sets, which post prefixes
+       in rarity order. Each set is compared with its likeliest partner, which
+       joins cohesive groups.
     3. Sets that can still link to another component list their candidates if
-       those are few. The others lengthen their prefix to the whole set, must
-       share correspondingly more, and list what is left.
+       that is estimated to take few rows. The others lengthen their prefix and
+       must share correspondingly more tokens of it; those that can't are done,
+       the rest list their candidates.
     Every listed pair is verified by its whole sets. No pair inside a component
     is listed, and no step gathers a bucket in one task.
 

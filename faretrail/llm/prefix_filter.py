@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faretrail.llm import textops as X
 from faretrail.llm.common import Scratch
 
 #: Packed arrays that one map task's postings are dealt to.
 BUCKETS = 512
 #: Postings that a map task holds before it sends them.
 HELD = 3_000_000
+#: Cells that tokens are counted in to order them by rarity (4 bytes each).
+CELLS = 1 << 20
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -190,3 +193,56 @@ def shared_prefix_counts(
     rows = out.where("count is null").drop("count")
     counts = out.where("count is not null").groupBy("owner").agg(F.sum("count").alias("shared"))
     return rows, counts
+
+
+# ------------------------------------------------------------- rarity order
+
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (X.mix(tokens.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CELLS, np.int64)
+    for b in batches:
+        total += np.bincount(_cell(b.column(0).flatten().to_numpy()), minlength=CELLS)
+    for part, counts in enumerate(total.reshape(64, -1)):
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["part", "counts"])
+
+
+def rarity(sets: DataFrame):
+    """A broadcast of the tokens of all ``sets`` (toks) counted in ``CELLS``
+    cells: its size is fixed. Any order that all tasks share keeps a join
+    exact; ``rarest_first`` puts tokens of much-used cells last."""
+    parts = sets.select("toks").mapInArrow(_count_cells, "part long, counts array<long>")
+    width = CELLS // 64
+    sums = parts.select("part", F.posexplode("counts").alias("at", "c")).where("c > 0").groupBy("part", "at").agg(F.sum("c").alias("c"))
+    out = np.zeros(CELLS, np.int32)
+    got = sums.select((F.col("part") * width + F.col("at")).alias("cell"), F.least("c", F.lit(2**31 - 1)).cast("int").alias("c")).toArrow()
+    out[got.column("cell").to_numpy()] = got.column("c").to_numpy()
+    return sets.sparkSession.sparkContext.broadcast(out)
+
+
+def rarest_first(sets: DataFrame, cells, rule: Rule, columns: list[str]) -> DataFrame:
+    """Each set's prefix in rarity order: ``columns``, ``tok`` and its place
+    ``pos`` from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = cells.value
+        for b in batches:
+            toks = b.column(b.schema.get_field_index("toks"))
+            size = toks.value_lengths().to_numpy().astype(np.int64)
+            flat = toks.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((flat, counts[_cell(flat)], owner))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            inside = place < rule.prefix(size)[owner]
+            who = pa.array(owner[inside])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(b.schema.get_field_index(c)).take(who) for c in columns), pa.array(flat[order][inside]), pa.array(place[inside])],
+                names=[*columns, "tok", "pos"],
+            )
+
+    kinds = dict(sets.dtypes)
+    own = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    return sets.select(*columns, "toks").mapInArrow(run, own + ", tok long, pos long")
