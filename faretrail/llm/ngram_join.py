@@ -16,7 +16,7 @@ from faretrail.llm.graph import connected_components
 from faretrail.llm.prefix_filter import Rule, rarest_first, rarity, shared_prefix_counts
 
 #: Prefix lengths in turn, as tokens to share per mille of a set's size.
-BASE, LONG = 50, 250
+BASE, LONG, WHOLE = 50, 250, 1000
 #: Candidate rows per prefix token up to which a document's partners are listed.
 CHEAP = 4
 #: Rounds in which each document is compared with its likeliest partner.
@@ -100,7 +100,7 @@ class _Join:
             .where("ylo <= yhi")
         )
         # the smaller need lies at an end of the range of partner sizes, up to rounding
-        need = F.least(rule.c_need(n, lo), rule.c_need(n, hi)) - 2
+        need = F.least(rule.c_need(n, lo), rule.c_need(n, hi)) - (0 if rule.per_mille == WHOLE else 2)
         return per.where(F.col("m") >= need).select("id", "n", "m", "cost")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
@@ -144,51 +144,64 @@ class _Join:
         self._merge(counted.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
         self.scratch.drop(foreign, able)
 
-    def _listed(self, foreign: DataFrame, able: DataFrame, rule: Rule, cheap: DataFrame) -> DataFrame:
-        """Pairs of a cheap set and any other able set of another component
-        whose prefixes share enough tokens. A shared token at places i and j
-        leaves room for min(i, j) shared tokens before it and as many after it
-        as the shorter rest has; rows without room for a link are not made."""
-        rows = foreign.select("tok", "id", "n", "pos", "comp").join(able.select("id"), "id", "left_semi")
-        marked = rows.join(cheap.select("id", F.lit(True).alias("cheap")), "id", "left").withColumn("cheap", F.coalesce("cheap", F.lit(False)))
-        l, r = marked.where("cheap").alias("l"), marked.alias("r")
-        once = ~F.col("r.cheap") | (F.col("l.id") < F.col("r.id"))
+    def _listed(self, rows: DataFrame, matches: int) -> DataFrame:
+        """Pairs of sets of different components that can be linked, at least
+        one of them ``cheap``, from rows (tok, id, n, pos, comp, cheap, cap).
+
+        Two sets that must share o tokens have ``matches`` of them among the
+        first n - o + matches of either. A row is made if its token stands
+        there in both, if neither set shares fewer tokens than o with others
+        (``cap``), and if the places leave room for o shared tokens: as many
+        before as stand before both, as many after as the shorter rest has.
+        """
+        l, r = rows.where("cheap").alias("l"), rows.alias("r")
         x, y, i, j = F.col("l.n"), F.col("r.n"), F.col("l.pos"), F.col("r.pos")
-        room = F.least(i, j) + F.least(x - i, y - j) >= rule.c_overlap(x, y)
+        o = self.rule.c_overlap(x, y)
+        once = ~F.col("r.cheap") | (F.col("l.id") < F.col("r.id"))
+        early = (i < x - o + matches) & (j < y - o + matches)
+        room = (F.least(i, j) + F.least(x - i, y - j) >= o) & (F.least("l.cap", "r.cap") >= o)
         return (
-            l.join(r, (F.col("l.tok") == F.col("r.tok")) & (F.col("l.comp") != F.col("r.comp")) & once & rule.c_fits(x, y) & room)
-            .groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-            .agg(F.count("*").alias("c"), F.first(rule.c_need(x, y)).alias("need"))
-            .where("c >= need").select("a", "b")
+            l.join(r, (F.col("l.tok") == F.col("r.tok")) & (F.col("l.comp") != F.col("r.comp")) & once & self.rule.c_fits(x, y) & early & room)
+            .groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b")).agg(F.count("*").alias("c"))
+            .where(F.col("c") >= matches).select("a", "b")
         )
 
+    def _prune(self, ids: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+        """(ids, postings): what is left of sets when they must share enough of
+        longer prefixes with each other; each one that is done may be what kept
+        another. ``ids`` get ``cap``, the tokens shared with other components."""
+        scratch = self.scratch
+        postings = self._postings(self.sets.join(ids, "id", "left_semi"), rule)
+        left = ids.count()
+        while True:
+            foreign = scratch.keep(self._foreign(postings.join(ids, "id", "left_semi")))
+            fewer = scratch.keep(self._able(foreign, rule).select("id", F.col("m").alias("cap")))
+            now = fewer.count()
+            scratch.drop(ids)
+            ids, same, left = fewer, now == left, now
+            if same or not left:
+                scratch.drop(postings)
+                return ids, foreign
+            scratch.drop(foreign)
+
     def run(self) -> DataFrame:
         """(id, comp): short prefixes first; sets whose candidates would cost
         too much get longer ones, which must share more, until few are left."""
-        base, long = Rule(self.rule.a, self.rule.b, BASE), Rule(self.rule.a, self.rule.b, LONG)
+        base, long, whole = (Rule(self.rule.a, self.rule.b, m) for m in (BASE, LONG, WHOLE))
         postings = self._postings(self.sets, base)
         for _ in range(STARS):
             self._star(postings, base)
         foreign = self.scratch.keep(self._foreign(postings))
-        able = self.scratch.keep(self._able(foreign, base))
-        cheap = able.where(F.col("cost") <= base.c_prefix(F.col("n")) * CHEAP)
-        dear = self.scratch.keep(able.where(F.col("cost") > base.c_prefix(F.col("n")) * CHEAP).select("id"))
-        self._merge(self._listed(foreign, able, base, cheap))
+        able = self.scratch.keep(self._able(foreign, base).withColumn("cheap", F.col("cost") <= base.c_prefix(F.col("n")) * CHEAP))
+        dear = self.scratch.keep(able.where("not cheap").select("id"))
+        rows = foreign.join(able.select("id", "cheap"), "id").withColumn("cap", F.col("n"))
+        self._merge(self._listed(rows, 1))
         self.scratch.drop(foreign, able, postings)
-        left = dear.count()
-        if not left:
-            return self.comps
-        postings = self._postings(self.sets.join(dear, "id", "left_semi"), long)
-        while left:  # each set that is done may be what kept another one
-            foreign = self.scratch.keep(self._foreign(postings.join(dear, "id", "left_semi")))
-            fewer = self.scratch.keep(self._able(foreign, long).select("id"))
-            now = fewer.count()
-            self.scratch.drop(dear)
-            dear, done, left = fewer, now == left, now
-            if done:
-                self._merge(self._listed(foreign, dear, long, dear))
-                break
-            self.scratch.drop(foreign)
+        for rule in (long, whole):
+            if dear.isEmpty():
+                return self.comps
+            dear, foreign = self._prune(dear, rule)
+        self._merge(self._listed(foreign.join(dear, "id").withColumn("cheap", F.lit(True)), 2))
         return self.comps
 
 
@@ -210,9 +223,9 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
        in rarity order. Each set is compared with its likeliest partner, which
        joins cohesive groups.
     3. Sets that can still link to another component list their candidates if
-       that is estimated to take few rows. The others lengthen their prefix and
-       must share correspondingly more tokens of it; those that can't are done,
-       the rest list their candidates.
+       that is estimated to take few rows. The others lengthen their prefix, at
+       last to the whole set, and must share correspondingly more tokens of it;
+       those that can't are done, the rest list their candidates.
     Every listed pair is verified by its whole sets. No pair inside a component
     is listed, and no step gathers a bucket in one task.
 
