@@ -167,21 +167,22 @@ class _Join:
         )
 
     def _prune(self, ids: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-        """(ids, postings): what is left of sets when they must share enough of
-        longer prefixes with each other; each one that is done may be what kept
-        another. ``ids`` get ``cap``, the tokens shared with other components."""
+        """(ids, foreign postings): what is left of sets that must share enough
+        of longer prefixes with each other. Each one that is done may be what
+        kept another, so this is repeated, on the postings that are left, while
+        it pays. ``ids`` get ``cap``, the tokens shared with other components."""
         scratch = self.scratch
-        postings = self._postings(self.sets.join(ids, "id", "left_semi"), rule)
+        rows = self._postings(self.sets.join(ids, "id", "left_semi"), rule)
         left = ids.count()
         while True:
-            foreign = scratch.keep(self._foreign(postings.join(ids, "id", "left_semi")))
+            foreign = scratch.keep(self._foreign(rows))
             fewer = scratch.keep(self._able(foreign, rule).select("id", F.col("m").alias("cap")))
             now = fewer.count()
-            scratch.drop(ids)
-            ids, same, left = fewer, now == left, now
-            if same or not left:
-                scratch.drop(postings)
-                return ids, foreign
+            scratch.drop(rows, ids)
+            if not now or now > 0.8 * left:
+                return fewer, foreign
+            rows = foreign.join(fewer.select("id"), "id", "left_semi").select("tok", "id", "n", "pos")
+            rows, ids, left = scratch.keep(rows), fewer, now
             scratch.drop(foreign)
 
     def run(self) -> DataFrame:
