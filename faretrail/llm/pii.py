@@ -51,17 +51,20 @@ def _passes(kind: Column, s: Column) -> Column:
 
 
 def _matches(text: Column, pattern: str, tag: str) -> Column:
-    """Matches in order with the text between them, which gives their places."""
+    """Matches in order with the text around them, which gives their places.
+    The arrays are zipped, not indexed, so each is made once per text."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    return F.when(
-        text.rlike(pattern),
-        F.transform(found, lambda m, i: F.struct(
-            F.lit(tag).alias("kind"), i.alias("i"), F.length(between[i]).alias("gap"), m.alias("s"),
-            F.substring(between[i], F.greatest(F.length(between[i]) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)).alias("before"),
-            F.substring(between[i + 1], F.lit(1), F.lit(CONTEXT)).alias("after"),
-        )),
-    ).otherwise(F.array())
+    zipped = F.zip_with(found, between, lambda m, gap: F.struct(
+        m.alias("s"), F.length(gap).alias("gap"), F.substring(gap, F.greatest(F.length(gap) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)).alias("before"),
+    ))
+    after = F.zip_with(zipped, F.slice(between, 2, 1 << 30), lambda x, gap: F.struct(
+        x["s"].alias("s"), x["gap"].alias("gap"), x["before"].alias("before"), F.substring(gap, F.lit(1), F.lit(CONTEXT)).alias("after"),
+    ))
+    numbered = F.transform(after, lambda x, i: F.struct(
+        F.lit(tag).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["s"].alias("s"), x["before"].alias("before"), x["after"].alias("after"),
+    ))
+    return F.when(text.rlike(pattern), F.filter(numbered, lambda x: x["s"].isNotNull())).otherwise(F.array())
 
 
 def _placed(rows: DataFrame, per: list[str]) -> DataFrame:
@@ -212,7 +215,8 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
     )
     by_start = Window.partitionBy("key").orderBy("start")
     to_here = by_start.rangeBetween(Window.unboundedPreceding, 0)
-    beyond = by_start.rangeBetween(1, Window.unboundedFollowing)
+    # from the far end, so that the frame only grows
+    beyond = Window.partitionBy("key").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
     is_base = F.col("kind").isNotNull()
     spot = Window.partitionBy("key", "start", "end")
     marked = (

@@ -32,7 +32,6 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_copies: int) ->
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     by_limit = Window.orderBy("ratio", "rank")
-    after = by_limit.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     before = by_limit.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     w = F.array(*[F.lit(int(x)) for x in weights])
@@ -43,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_copies: int) ->
         .withColumn("cap", F.col("source_size") * max_copies)
         .withColumn("ratio", F.col("cap").cast("double") / F.col("w"))
         .withColumn("rest", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("level", F.col("rest").cast("double") / F.sum("w").over(after))
+        .withColumn("level", F.col("rest").cast("double") / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0))))
         .withColumn("stop", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(every)["level"])
     )
     target = F.least(F.col("cap").cast("double"), F.coalesce("stop", F.lit(0.0)) * F.col("w"))
