@@ -216,10 +216,7 @@ def clamp_tag_off_date(df: DataFrame, keep_dates: Iterable[int] = K.KEEP_TAG_OFF
     d1, d2 = F.col("TAG1_DT_FK"), F.col("TAG2_DT_FK")
     keep = d1.isin(list(keep_dates))
     out = (
-        F.when(d2 == F.lit(K.MISSING_DATE), d1)
-        .when((d2 != d1) & keep, d2)
-        .when((d2 != d1) & ~keep, d1)
-        .otherwise(d2)
+        F.when((d2 == F.lit(K.MISSING_DATE)) | ((d2 != d1) & ~keep), d1).otherwise(d2)
     )
     return df.withColumn("TAG2_DT_FK", out)
 

@@ -325,7 +325,7 @@ def box_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
     inside = (F.col("h.__v") >= F.col("s.__lo")) & (F.col("h.__v") <= F.col("s.__hi"))
     stats = [F.col(f"s.{c}").alias(c) for c in (*g, "n", "lower_quartile", "median", "upper_quartile")]
     return joined.groupBy(*stats).agg(
-        F.min(F.when(inside, F.col("h.__v"))).alias("lower_whisker"),
-        F.max(F.when(inside, F.col("h.__v"))).alias("upper_whisker"),
+        F.least("lower_quartile", F.min(F.when(inside, F.col("h.__v")))).alias("lower_whisker"),
+        F.greatest("upper_quartile", F.max(F.when(inside, F.col("h.__v")))).alias("upper_whisker"),
         F.coalesce(F.sum(F.when(~inside, F.col("h.__w"))), F.lit(0)).alias("n_outliers"),
     )

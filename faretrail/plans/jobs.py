@@ -66,7 +66,7 @@ def card_job(spark: SparkSession, paths: list[str], out_dir: str, chronological:
     from ..sources.snapshots import with_snapshot_date
 
     cards = read_card_snapshots(spark, paths, keep_file=True).withColumn("file_path", _path_key("file_path"))
-    # the file list is the manifest (capped in read_manifest), not data
+    # the file list is the manifest , not data
     expected = with_snapshot_date(spark.createDataFrame([(p,) for p in paths], "file_path string"))
     expected = expected.withColumn("file_path", _path_key("file_path"))
     data_count = A.rows_per_snapshot(cards, expected=expected, by=["file_path"]).select(

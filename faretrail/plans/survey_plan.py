@@ -240,8 +240,8 @@ q AS (SELECT {g}, count(*) AS n, quantile_cont(v, 0.25) AS lower_quartile, quant
 f AS (SELECT *, lower_quartile - 1.5 * (upper_quartile - lower_quartile) AS lo,
       upper_quartile + 1.5 * (upper_quartile - lower_quartile) AS hi FROM q)
 SELECT {fg}, f.n, f.lower_quartile, f.median, f.upper_quartile,
-  min(CASE WHEN v >= lo AND v <= hi THEN v END) AS lower_whisker,
-  max(CASE WHEN v >= lo AND v <= hi THEN v END) AS upper_whisker,
+  least(f.lower_quartile, min(CASE WHEN v >= lo AND v <= hi THEN v END)) AS lower_whisker,
+  greatest(f.upper_quartile, max(CASE WHEN v >= lo AND v <= hi THEN v END)) AS upper_whisker,
   count(*) FILTER (WHERE v < lo OR v > hi) AS n_outliers
 FROM b JOIN f ON {on} GROUP BY {fg}, f.n, f.lower_quartile, f.median, f.upper_quartile"""
 

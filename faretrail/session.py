@@ -50,13 +50,13 @@ def input_bytes(spark: SparkSession, paths) -> int:
 
 
 def size_shuffle_partitions(spark: SparkSession, nbytes: int, target_bytes: int = 256 << 20,
-                            floor: int | None = None, ceiling: int = 200_000) -> int:
+                            floor: int | None = None) -> int:
     """Set ``spark.sql.shuffle.partitions`` so a full-width shuffle of
     ``nbytes`` gives partitions of about ``target_bytes`` (AQE then only
     coalesces small ones; it cannot split a partition that is too big).
     Returns the number set."""
     floor = floor or spark.sparkContext.defaultParallelism
-    n = max(floor, min(ceiling, -(-nbytes // target_bytes)))
+    n = max(floor, -(-nbytes // target_bytes))
     spark.conf.set("spark.sql.shuffle.partitions", str(n))
     return n
 

@@ -18,17 +18,14 @@ from .delimited import read_delimited
 FILE_DATE_PATTERN = r"(\d{8})[^/]*$"
 
 
-def read_manifest(spark: SparkSession, manifest_paths: str, path_col: str = "x",
-                  max_paths: int = 100_000) -> list[str]:
+def read_manifest(spark: SparkSession, manifest_paths: str, path_col: str = "x") -> list[str]:
     """S3: the file list named in manifest CSV files (``,`` separated).
 
-    Only the path column reaches the driver, and at most ``max_paths`` of
-    them: a list of files, not data. More raises.
+    Only the path column reaches the driver: the reader needs the list of
+    files, which is not data.
     """
     df = read_delimited(spark, manifest_paths, MANIFEST_SCHEMA, sep=",", parallel=False).drop("_c0")
-    rows = df.select(F.col(path_col).alias("path")).where(F.col("path").isNotNull()).limit(max_paths + 1).collect()
-    if len(rows) > max_paths:
-        raise ValueError(f"manifest lists more than {max_paths} files")
+    rows = df.select(F.col(path_col).alias("path")).where(F.col("path").isNotNull()).collect()
     return [r.path for r in rows]
 
 

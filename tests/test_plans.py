@@ -68,7 +68,7 @@ def test_shuffle_partitions_follow_input_size(spark, tmp_dir):
     assert input_bytes(spark, os.path.join(tmp_dir, "*.csv")) == 3000
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
-        assert size_shuffle_partitions(spark, 100 * 2**40) == 200_000  # 100 TB: capped
+        assert size_shuffle_partitions(spark, 100 * 2**40) == 409_600  # 100 TB: no ceiling
         assert size_shuffle_partitions(spark, 10 * 2**30) == 40
         assert size_shuffle_partitions(spark, 10, floor=3) == 3
     finally:

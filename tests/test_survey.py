@@ -67,7 +67,8 @@ def _brute_box(vals):
     q1, med, q3 = np.quantile(v, [0.25, 0.5, 0.75])  # linear = R type 7
     lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     inside = v[(v >= lo) & (v <= hi)]
-    return len(v), q1, med, q3, inside.min(), inside.max(), int(((v < lo) | (v > hi)).sum())
+    # the whiskers reach from the box, even if no value near it is left inside
+    return len(v), q1, med, q3, min(q1, inside.min()), max(q3, inside.max()), int(((v < lo) | (v > hi)).sum())
 
 
 def test_box_stats_brute_force(spark):
@@ -76,6 +77,7 @@ def test_box_stats_brute_force(spark):
         2: [3, 3, 3, 3],                          # constant
         3: [1, 2, 3, 4, 5, 6, 7, 8, 9, 30],       # one outlier above
         4: [2, 4, 4, 5, 5, 5, 6, 6, 8, -10, 11],  # outliers both sides
+        6: [0, 10, 10, 10],                       # no value inside below the box
         5: [1, 2, 3, 4, 7],                       # 7 exactly on the upper fence (q3=4, iqr=2)
     }
     rows = [(g, v) for g, vs in groups.items() for v in vs] + [(3, None), (None, 4), (None, 6)]
