@@ -125,7 +125,7 @@ def patterns_of(spans: DataFrame) -> DataFrame:
 
     ``S`` its shape (every digit as 9, runs of letters as a); ``L`` and ``R``
     the word before or after it with its coarse shape (runs of digits as 9);
-    ``B`` both neighbouring words.
+    ``B`` both neighbouring words with its coarse shape.
     """
     shape = F.regexp_replace(F.regexp_replace("s", "[0-9]", "9"), "[A-Za-z]++", "a")
     coarse = F.regexp_replace(shape, "9++", "9")
@@ -136,7 +136,7 @@ def patterns_of(spans: DataFrame) -> DataFrame:
             F.concat(F.lit("S "), shape),
             F.concat_ws(" ", F.lit("L"), left, coarse),
             F.concat_ws(" ", F.lit("R"), coarse, right),
-            F.concat_ws(" ", F.lit("B"), left, F.lit("_"), right),
+            F.concat_ws(" ", F.lit("B"), left, coarse, right),
         )).alias("pattern"),
     ).distinct()
 
