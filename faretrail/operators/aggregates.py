@@ -138,14 +138,18 @@ def rows_per_snapshot(df: DataFrame, date_col: str = "snapshot_date", count_col:
     """Rows per snapshot (and per ``by`` columns, e.g. the file: two
     files of one date are two entries, as the reference counts per file).
     ``expected`` (columns ``by`` + ``date_col``) keeps snapshots with no
-    rows as 0."""
+    rows as 0; a counted snapshot that is not expected raises."""
     keys = [*by, date_col]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
     if expected is None:
         return counts
-    cond = [expected[k].eqNullSafe(counts[k]) for k in keys]
-    return expected.join(counts, cond, "left").select(
-        *[expected[k] for k in keys], F.coalesce(counts[count_col], F.lit(0)).alias(count_col)
+    listed = expected.withColumn("__listed", F.lit(True))
+    cond = [listed[k].eqNullSafe(counts[k]) for k in keys]
+    stray = F.raise_error(F.concat_ws(" ", F.lit("rows of a snapshot that is not listed:"),
+                                      *[counts[k].cast("string") for k in keys])).cast("long")
+    return listed.join(counts, cond, "full").select(
+        *[listed[k] for k in keys],
+        F.when(F.col("__listed"), F.coalesce(counts[count_col], F.lit(0))).otherwise(stray).alias(count_col),
     )
 
 

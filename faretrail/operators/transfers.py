@@ -95,13 +95,13 @@ def previous_trip(df: DataFrame, date_col: str = "TAG1_DT_FK", card_col: str = "
         card_col,
         _SLICE,
         F.lag(_LAST).over(per_card_day).alias(_PREV),
-    ).select(
+    ).where(F.col(_PREV).isNotNull()).select(  # a card's first slice of a day needs no carry
         F.col(date_col),
         F.col(card_col),
         F.col(_SLICE),
         F.lit(0).alias(_MARK),
         F.lit(None).cast("long").alias(_SALT),
-        F.when(F.col(_PREV).isNotNull(), F.col(card_col)).alias(_PCARD),
+        F.col(card_col).alias(_PCARD),
         *[F.col(f"{_PREV}.{c}").alias(c) for c in carry_cols],
     )
 

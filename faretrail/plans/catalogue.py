@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import sinks
 from ..config import JourneyConfig
 from ..operators import aggregates as A
 from ..operators import cleaning as C
@@ -107,7 +108,8 @@ def journey_rule_sql(cfg: JourneyConfig) -> dict[str, str]:
 
 def _report_query(key: str, cfg: JourneyConfig) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return JR.JourneySuite(AD.journeys(spark, d), cfg).report(key)
+        report = JR.BY_KEY[key]
+        return JR.report_df(report, JR.bases(_selected(spark, d, cfg), cfg)[report.base], cfg)
 
     return run
 
@@ -141,15 +143,58 @@ def card_sql_head() -> str:
     )
 
 
+FILE_TABLES = ("region", "nation", "supplier", "orders")
+
+
 def _file_row_counts(spark: SparkSession, d: str) -> DataFrame:
-    """S2 + S4 + A6: rows per input file, all files in one scan.
+    """Rows per input file, all files in one scan, against the list of
+    expected files (one of them is not among the files read and counts 0).
 
     A one-column placeholder schema reads no data pages, only row counts;
     the file comes from the hidden ``_metadata`` column.
     """
-    paths = [os.path.join(d, f"{t}.parquet") for t in ("region", "nation", "supplier", "orders")]
-    df = spark.read.schema("__placeholder INT").parquet(*paths)
-    return df.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("cardCount"))
+    paths = [os.path.join(d, f"{t}.parquet") for t in FILE_TABLES]
+    rows = spark.read.schema("__placeholder INT").parquet(*paths).select(F.col("_metadata.file_name").alias("file_name"))
+    listed = spark.range(1).select(F.explode(F.array(
+        *[F.lit(f"{t}.parquet") for t in (*FILE_TABLES, "part")])).alias("file_name"))
+    return A.rows_per_snapshot(rows, "file_name", expected=listed)
+
+
+def _info_documents(spark: SparkSession, d: str) -> DataFrame:
+    """K1 with O1 and O2: both card reports and one without records as
+    documents, rows (report, position, line)."""
+    cards = AD.cards(spark, d)
+    data = A.rows_per_snapshot(cards).select(snapshot_text().alias("date"), "cardCount")
+    types = A.card_type_counts(T.clean_cards(cards)).select(
+        snapshot_text().alias("date"), F.col("CARD_TYP_CD").alias("type"), "typeCount")
+    none = data.where(F.col("cardCount") < 0)
+    text = F.lit("")
+    lines = (
+        data.select(F.lit("dataCount").alias("report"), F.col("cardCount").alias("n"), text.alias("d"), text.alias("t"),
+                    F.to_json(F.struct("date", "cardCount")).alias("line"))
+        .unionByName(types.select(F.lit("cardCount").alias("report"), F.lit(0).cast("long").alias("n"),
+                                  F.col("date").alias("d"), F.col("type").alias("t"),
+                                  F.to_json(F.struct("date", "type", "typeCount")).alias("line")))
+        .unionByName(none.select(F.lit("noCount").alias("report"), F.col("cardCount").alias("n"), text.alias("d"),
+                                 text.alias("t"), F.to_json(F.struct("date", "cardCount")).alias("line")))
+    )
+    return sinks.document_rows(lines, ["dataCount", "cardCount", "noCount"], order_by=["n", "d", "t"])[0]
+
+
+def _info_documents_sql() -> str:
+    return card_sql_head() + """, dc AS (SELECT strftime(snapshot_date, '%d-%b-%Y') AS date, count(*) AS cardCount
+  FROM cards_raw GROUP BY snapshot_date),
+cc AS (SELECT strftime(snapshot_date, '%d-%b-%Y') AS date, CARD_TYP_CD AS type, count(*) AS typeCount
+  FROM cards GROUP BY snapshot_date, CARD_TYP_CD),
+l AS (SELECT 'dataCount' AS report, cardCount AS n, '' AS d, '' AS t,
+    CAST(to_json({'date': date, 'cardCount': cardCount}) AS VARCHAR) AS line FROM dc
+  UNION ALL SELECT 'cardCount', 0, date, type,
+    CAST(to_json({'date': date, 'type': type, 'typeCount': typeCount}) AS VARCHAR) FROM cc),
+p AS (SELECT report, row_number() OVER (PARTITION BY report ORDER BY n, d, t, line) AS position, line FROM l),
+names AS (SELECT unnest(['dataCount', 'cardCount', 'noCount']) AS report)
+SELECT report, position, CASE WHEN position > 1 THEN ',' || line ELSE line END AS line FROM p
+UNION ALL SELECT report, 0, '{"Info":[' FROM names
+UNION ALL SELECT names.report, coalesce(max(position), 0) + 1, ']}' FROM names LEFT JOIN p ON p.report = names.report GROUP BY names.report"""
 
 
 def card_queries() -> dict[str, Query]:
@@ -164,6 +209,7 @@ def card_queries() -> dict[str, Query]:
             snapshot_text().alias("date"), F.col("CARD_TYP_CD").alias("type"), "typeCount"),
         "latest_snapshot": lambda s, d: C.fold_single_trip(latest_snapshot(AD.cards(s, d))).select(*CARD_COLS),
         "file_row_counts": _file_row_counts,
+        "info_documents": _info_documents,
     }
 
 
@@ -181,8 +227,9 @@ def card_sql(sf_dir_hint: str | None = None) -> dict[str, str]:
                                "FROM cards_raw WHERE snapshot_date = (SELECT max(snapshot_date) FROM cards_raw)",
         "file_row_counts": " UNION ALL ".join(
             f"SELECT '{t}.parquet' AS file_name, count(*) AS cardCount FROM {t}"
-            for t in ("region", "nation", "supplier", "orders")
-        ),
+            for t in FILE_TABLES
+        ) + " UNION ALL SELECT 'part.parquet', 0",
+        "info_documents": _info_documents_sql(),
     }
 
 

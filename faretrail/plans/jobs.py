@@ -20,7 +20,9 @@ from ..operators import transfers as T
 from ..schemas import JOURNEY_SCHEMA, SURVEY_SCHEMA
 from ..session import get_session, input_bytes, size_shuffle_partitions
 from ..sources.delimited import read_delimited
-from ..sources.snapshots import read_card_snapshots, read_manifest, snapshot_text
+from ..sources.snapshots import (
+    path_key, qualified_paths, read_card_snapshots, read_manifest, snapshot_text, with_snapshot_date,
+)
 from .journey_reports import REPORTS, JourneySuite
 from .survey_plan import BOXED, Q9_ASPECT_MAP, Q10_ASPECT_MAP, SurveyPlan
 
@@ -38,8 +40,8 @@ def journey_job(raw: DataFrame, out_dir: str, cfg: JourneyConfig | None = None,
     if show_kpis:
         suite.report("r47_offpeak_kpis").show()
         suite.report("r48_peak_kpis").show()
-    written = {"documents": sinks.write_documents_from_lines(suite.document_lines(),
-                                                              os.path.join(out_dir, "documents"))}
+    written = {"documents": sinks.write_documents_from_lines(
+        suite.document_lines(), os.path.join(out_dir, "documents"), suite.document_names())}
     for r in REPORTS:
         if r.sink == "csv":
             written[r.name] = os.path.join(out_dir, r.name + ".csv")
@@ -51,24 +53,18 @@ def journey_job(raw: DataFrame, out_dir: str, cfg: JourneyConfig | None = None,
     return written
 
 
-def _path_key(col: str):
-    """A file path without scheme and URL escapes, so the scan's
-    ``_metadata.file_path`` URI and a manifest's plain path compare equal."""
-    return F.regexp_replace(F.url_decode(F.col(col)), r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
-
-
 def card_job(spark: SparkSession, paths: list[str], out_dir: str, chronological: bool = False) -> dict[str, str]:
     """Rows per snapshot file (R49, by count ascending) and rows per file and
     card type after C11 (R50, by date text then type, or by date with
     ``chronological``). Every listed file in one scan; a file with no rows
     counts 0; two files of one date are two entries, as the reference counts
-    file by file."""
-    from ..sources.snapshots import with_snapshot_date
-
-    cards = read_card_snapshots(spark, paths, keep_file=True).withColumn("file_path", _path_key("file_path"))
-    # the file list is the manifest , not data
-    expected = with_snapshot_date(spark.createDataFrame([(p,) for p in paths], "file_path string"))
-    expected = expected.withColumn("file_path", _path_key("file_path"))
+    file by file. Paths may be relative or without a scheme; rows of a file
+    that is not listed raise."""
+    paths = qualified_paths(spark, paths)
+    cards = read_card_snapshots(spark, paths, keep_file=True).withColumn("file_path", path_key())
+    # the file list is the manifest, not data
+    expected = with_snapshot_date(spark.createDataFrame([(p,) for p in paths], "file_path string")).withColumn(
+        "file_path", path_key(encoded=False))
     data_count = A.rows_per_snapshot(cards, expected=expected, by=["file_path"]).select(
         snapshot_text().alias("date"), "cardCount")
     card_count = A.card_type_counts(T.clean_cards(cards), by=["file_path"]).select(
@@ -152,11 +148,12 @@ def main(argv=None) -> None:
     args = ap.parse_args(argv)
     spark = get_session()
     # size the shuffles to the input (metadata only; nothing is read)
-    size_shuffle_partitions(spark, input_bytes(spark, args.input or args.manifest))
+    listed = args.input or read_manifest(spark, args.manifest)
+    size_shuffle_partitions(spark, input_bytes(spark, listed))
     if args.job == "journey":
         journey_job(read_delimited(spark, args.input, JOURNEY_SCHEMA, sep="|"), args.out)
     elif args.job == "cards":
-        card_job(spark, read_manifest(spark, args.manifest), args.out)
+        card_job(spark, listed, args.out)
     else:
         from ..operators.cleaning import drop_positions, keep_positions
 

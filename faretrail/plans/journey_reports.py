@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,9 +125,8 @@ def all_of(names, cfg: JourneyConfig) -> Column | None:
     return cond
 
 
-def bases(raw: DataFrame, cfg: JourneyConfig, slice_chars: int | None = None) -> dict[str, DataFrame]:
-    """The three base tables of the reports, lazily, from raw journey rows."""
-    selected = T.select_journeys(raw, cfg)
+def bases(selected: DataFrame, cfg: JourneyConfig, slice_chars: int | None = None) -> dict[str, DataFrame]:
+    """The three base tables of the reports, lazily, from selected journey rows."""
     return {
         "selected": selected,
         "journey": T.clean_journeys(selected, cfg, slice_chars),
@@ -153,47 +151,46 @@ def report_df(r: Report, base: DataFrame, cfg: JourneyConfig) -> DataFrame:
 class JourneySuite:
     """All journey reports from a few fused aggregates.
 
-    ``materialize_bases=True`` writes the cleaned and unknown tables once as
-    Parquet in the shared folder (``spark.checkpoint.dir``), so the window
-    runs once and a lost executor never recomputes it; each family then
-    reads only the columns it groups by.
+    ``materialize_bases=True`` parses the raw rows once: the selected, cleaned
+    and unknown tables and the aggregates that several reports are picked
+    from (``SHARED``) are written once as Parquet in the shared folder
+    (``spark.checkpoint.dir``), so the window runs once, a lost executor
+    never recomputes it, and each aggregate reads only the columns it groups by.
     """
 
+    #: Aggregates read by several branches or jobs.
+    SHARED = ("intermodal", "passenger", "card_time", "station_time", "kpis")
+
     def __init__(self, raw: DataFrame, cfg: JourneyConfig | None = None,
-                 materialize_bases: bool = False, slice_chars: int | None = None,
-                 cache_families: bool = False):
+                 materialize_bases: bool = False, slice_chars: int | None = None):
         self.cfg = cfg or JourneyConfig()
-        b = bases(raw, self.cfg, slice_chars)
+        self._materialized = materialize_bases
         self._written: list[str] = []
-        if materialize_bases:
-            b["journey"], p1 = materialize_at(b["journey"], "journey")
-            b["unknowns"], p2 = materialize_at(b["unknowns"], "unknowns")
-            self._written = [p1, p2]
-        self.bases = b
-        self.cache_families = cache_families
         self._families: dict[str, DataFrame] = {}
+        selected = self._keep(T.select_journeys(raw, self.cfg), "selected")
+        self.bases = {name: df if df is selected else self._keep(df, name)
+                      for name, df in bases(selected, self.cfg, slice_chars).items()}
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        if not self._materialized:
+            return df
+        df, path = materialize_at(df, name)
+        self._written.append(path)
+        return df
 
     # -- fused families -------------------------------------------------
     def family(self, name: str) -> DataFrame:
-        """A fused aggregate; with ``cache_families`` it is kept (memory, then
-        disk) so that all reports picked from it share one computation. It is
-        one row per group, and a lost block recomputes from a short lineage."""
+        """A fused aggregate; the shared ones are written once."""
         if name not in self._families:
             fam = self._build(name)
-            if self.cache_families:
-                fam = fam.persist(StorageLevel.MEMORY_AND_DISK)
-            self._families[name] = fam
+            self._families[name] = self._keep(fam, name) if name in self.SHARED else fam
         return self._families[name]
 
-    def close(self, drop_written: bool = True) -> None:
-        """Unpersist cached families and delete the written base tables."""
-        for fam in self._families.values():
-            if self.cache_families:
-                fam.unpersist()
+    def close(self) -> None:
+        """Delete the written tables."""
         self._families.clear()
-        if drop_written and self._written:
-            release(self.bases["journey"].sparkSession, self._written)
-            self._written = []
+        release(self.bases["selected"].sparkSession, self._written)
+        self._written = []
 
     def _build(self, name: str) -> DataFrame:
         c = lambda n: condition(n, self.cfg)
@@ -302,6 +299,10 @@ class JourneySuite:
         return {r.key: self.report(r.key) for r in REPORTS}
 
     # -- every document report as (report, JSON record), one branch per aggregate
+    def document_names(self, sinks_: tuple[str, ...] = ("info_json", "console")) -> list[str]:
+        """Names of the reports that ``document_lines`` holds the records of."""
+        return [r.name for r in REPORTS if r.sink in sinks_]
+
     def document_lines(self, sinks_: tuple[str, ...] = ("info_json", "console")) -> DataFrame:
         """All reports written as JSON documents, as rows (report, line).
 

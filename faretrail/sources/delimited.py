@@ -21,14 +21,14 @@ from .parallel import ensure_parallelism
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType | None = None,
                    sep: str = "|", infer_schema: bool = False, with_file_path: bool = False,
-                   parallel: bool = True) -> DataFrame:
+                   parallel: int | None = None) -> DataFrame:
     """Read one path, a glob (S2) or a list of paths as one table.
 
     ``schema`` columns are looked up by header name and cast with
     ``try_cast``; a column missing from the files raises at analysis time.
     ``with_file_path`` adds ``file_path`` from the hidden ``_metadata``
-    column (for S4). ``parallel`` spreads a one-split input over all cores
-    (off where file order matters, e.g. a manifest).
+    column (for S4). ``parallel`` spreads an input of fewer splits, such as one
+    gzip file, over that many partitions (a shuffle of every row; off by default).
     """
     reader = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
     if infer_schema and schema is None:
@@ -46,4 +46,4 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], schema: T.St
             *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields],
             *extra,
         )
-    return ensure_parallelism(out) if parallel else out
+    return ensure_parallelism(out, parallel) if parallel else out

@@ -7,7 +7,9 @@ each row's file path through the hidden ``_metadata`` column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,11 +26,28 @@ def read_manifest(spark: SparkSession, manifest_paths: str, path_col: str = "x")
     Only the path column reaches the driver: the reader needs the list of
     files, which is not data.
     """
-    df = read_delimited(spark, manifest_paths, MANIFEST_SCHEMA, sep=",", parallel=False).drop("_c0")
+    df = read_delimited(spark, manifest_paths, MANIFEST_SCHEMA, sep=",").drop("_c0")
     rows = df.select(F.col(path_col).alias("path")).where(F.col("path").isNotNull()).collect()
     return [r.path for r in rows]
 
 
+def qualified_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """``paths`` with the scheme, authority and folder that their file system
+    gives them, so that each names a file as the scan does."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    found = [hadoop.Path(p) for p in paths]
+    return [p.getFileSystem(conf).makeQualified(p).toString() for p in found]
+
+
+def path_key(col: str = "file_path", encoded: bool = True) -> Column:
+    """One spelling of a qualified file name: ``encoded`` undoes the escapes of
+    the scan's ``_metadata.file_path``, and an empty authority is left out."""
+    path = F.col(col)
+    if encoded:  # in a URI path "+" is a plus sign
+        path = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*):///", "$1:/")
+
+
 def with_snapshot_date(df: DataFrame, path_col: str = "file_path",
                        pattern: str = FILE_DATE_PATTERN,
                        fmt: str = K.SNAPSHOT_FILE_DATE_FORMAT) -> DataFrame:

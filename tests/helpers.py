@@ -46,3 +46,12 @@ def journeys(spark, rows):
 
 def by_id(df, col):
     return {r["JRNY_ID"]: r[col] for r in df.select("JRNY_ID", col).collect()}
+
+
+def document(folder):
+    """The records of an ``{"Info":[...]}`` document: its parts in name order."""
+    import json
+    import os
+
+    parts = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
+    return json.loads("".join(open(os.path.join(folder, f)).read() for f in parts))["Info"]

@@ -1,10 +1,10 @@
 """The three applications from delimited files on disk, through the CLI entry."""
 
 import glob
-import json
 import os
 
 from conftest import SF0001
+from helpers import document
 
 from faretrail.plans import jobs
 from faretrail.plans import journey_reports as JR
@@ -12,11 +12,6 @@ from faretrail.schemas import SURVEY_QUESTION_COLUMNS
 from faretrail.sources import adapters as AD
 
 
-def _doc(folder):
-    part = [f for f in os.listdir(folder) if f.startswith("part-")][0]
-    return json.load(open(os.path.join(folder, part)))["Info"]
-
-
 def test_journey_cli_from_csv(spark, tmp_dir):
     src = os.path.join(tmp_dir, "Journey")
     # journeys as the operator delivers them: '|' text files with a header, two files
@@ -24,7 +19,7 @@ def test_journey_cli_from_csv(spark, tmp_dir):
     out = os.path.join(tmp_dir, "out")
     jobs.main(["journey", "--input", os.path.join(src, "*.csv"), "--out", out])
     # the default calendar is the reference's; the report itself does not depend on it
-    doc = _doc(os.path.join(out, "documents", "report=transportMode"))
+    doc = document(os.path.join(out, "documents", "report=transportMode"))
     want = JR.JourneySuite(AD.journeys(spark, SF0001)).report("r20_transport_mode").collect()
     assert sorted((d["TS_TYP_CD"], d["count"]) for d in doc) == sorted((r.TS_TYP_CD, r["count"]) for r in want)
     assert glob.glob(os.path.join(out, "timeStation.csv", "part-*"))
@@ -73,7 +68,7 @@ def test_cards_cli_from_manifest(spark, tmp_dir):
         f.write('"","x"\n' + "".join(f'"{i}","{p}"\n' for i, p in enumerate(paths, 1)))
     out = os.path.join(tmp_dir, "out")
     jobs.main(["cards", "--manifest", man, "--out", out])
-    data = _doc(out + "/dataCount.json")
+    data = document(out + "/dataCount.json")
     counts = [d["cardCount"] for d in data]
     assert counts == sorted(counts) and len(counts) == 3
     assert sorted(d["date"] for d in data) == sorted(f"{m:%d-%b-%Y}" for m in months)

@@ -42,12 +42,30 @@ def test_filters_reach_the_scan(spark, journey_parquet):
     assert len(full_width) == 1
 
 
+def _read_schemas(df):
+    return [ln.split("ReadSchema: ")[1] for ln in _plan(df).split("\n") if "ReadSchema" in ln]
+
+
 def test_reports_read_only_their_columns(spark):
     suite = JR.JourneySuite(AD.journeys(spark, SF0001), CFG, materialize_bases=True)
-    plan = _plan(suite.report("r18_passenger"))
-    schemas = [ln for ln in plan.split("\n") if "ReadSchema" in ln]
-    assert schemas and all("struct<PSNGR_TYP_CD:string,CARD_TYP_CD:string,DISC_ENT_DESC:string>" in s
-                           for s in schemas)
+    # the aggregate reads its keys and the date of the cleaned table, its reports read the written aggregate
+    (schema,) = _read_schemas(suite._build("passenger"))
+    assert {f.split(":")[0] for f in schema[len("struct<"):-1].split(",")} == {
+        "TAG1_DT_FK", "PSNGR_TYP_CD", "CARD_TYP_CD", "DISC_ENT_DESC"}
+    assert _read_schemas(suite.report("r18_passenger")) == ["struct<PSNGR_TYP_CD:string,all:bigint>"]
+    suite.close()
+
+
+@pytest.mark.parametrize("key", ["r18_passenger", "r20_transport_mode", "r43_time_mode", "r45_time_station"])
+def test_single_report_is_one_aggregate(spark, journey_parquet, key):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        report = JR.BY_KEY[key]
+        base = spark.read.parquet(journey_parquet)  # stands for a written cleaned table
+        plan = _plan(JR.report_df(report, base, CFG))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(ln.startswith("Arguments: hashpartitioning") for ln in plan.split("\n")) == 1
 
 
 def test_ensure_parallelism_only_spreads_small_splits(spark, tmp_dir):

@@ -71,14 +71,14 @@ def test_journey_job_writes_documents(spark, tmp_dir):
     import json
     import os
 
+    from helpers import document
+
     from faretrail.plans.jobs import journey_job
 
     out = journey_job(AD.journeys(spark, SF0001), os.path.join(tmp_dir, "out"), CFG)
     folder = os.path.join(out["documents"], "report=departureIntermodal")
-    part = [f for f in os.listdir(folder) if f.startswith("part-")][0]
-    doc = json.load(open(os.path.join(folder, part)))
     direct = JR.JourneySuite(AD.journeys(spark, SF0001), CFG).report("r13_departure_intermodal")
-    assert sorted(json.dumps(x, sort_keys=True) for x in doc["Info"]) == sorted(
+    assert sorted(json.dumps(x, sort_keys=True) for x in document(folder)) == sorted(
         json.dumps(r.asDict(), sort_keys=True) for r in direct.collect())
     assert os.path.isdir(out["timeStation"]) and os.path.isdir(out["timeMode"])
 
