@@ -42,40 +42,48 @@ def level_codes(df: DataFrame, col: str, n_labels: int) -> list:
 
 
 def level_maps(df: DataFrame, labels_by_col: Mapping[str, Sequence[str]]) -> dict[str, dict]:
-    """V1 for several columns with ONE job: distinct (column, code) pairs,
-    at most (sum of label counts + 1) of them reach the driver; each column
-    must have exactly as many codes as labels."""
-    cols = list(labels_by_col)
-    if len(cols) == 1:
-        c = cols[0]
-        return {c: level_map(df, c, labels_by_col[c])}
+    """V1 for several columns: integer columns in ONE job (distinct pairs of
+    column and code, at most the sum of their label counts + 1 of them reach
+    the driver), any other column in its own type by ``level_map``. Each
+    column must have exactly as many codes as labels."""
+    cols = [c for c in labels_by_col if _integral(df, [c])]
+    out = {c: level_map(df, c, labels) for c, labels in labels_by_col.items() if c not in cols}
+    if not cols:
+        return out
     stacked = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(c).cast("long").alias("code")) for c in cols
     ]))).where(F.col("code").isNotNull()).distinct()
-    cap = sum(len(v) for v in labels_by_col.values())
+    cap = sum(len(labels_by_col[c]) for c in cols)
     rows = stacked.limit(cap + 1).collect()
+    if len(rows) > cap:
+        raise ValueError(f"{', '.join(cols)}: more than {cap} distinct codes for {cap} labels")
     found: dict[str, list] = {c: [] for c in cols}
     for r in rows:
         found[r["col"]].append(r["code"])
-    out = {}
-    for c in cols:
-        codes = sorted(found[c])
-        if len(codes) != len(labels_by_col[c]):
-            raise ValueError(f"{c}: {len(codes)}{'+' if len(rows) > cap else ''} distinct codes "
-                             f"for {len(labels_by_col[c])} labels")
-        out[c] = dict(zip(codes, labels_by_col[c]))
-    return out
+    return out | {c: level_map(df, c, labels_by_col[c], sorted(found[c])) for c in cols}
 
 
-def encode_many(df: DataFrame, labels_by_col: Mapping[str, Sequence[str]]) -> DataFrame:
-    """V1 on several columns (one job to read their codes, then map lookups)."""
-    maps = level_maps(df, labels_by_col)
+def code_label(col: str | Column, labels: Mapping) -> Column:
+    """The label of a code, null for a null or unlisted code."""
+    lookup = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.try_element_at(lookup, F.col(col) if isinstance(col, str) else col)
+
+
+def encode_maps(df: DataFrame, maps: Mapping[str, Mapping]) -> DataFrame:
+    """V1 on several columns from code-to-label maps (literal lookups, no join)."""
+    integral = {c: _integral(df, [c]) for c in maps}
     return df.withColumns({
-        c: F.try_element_at(F.create_map(*[F.lit(x) for kv in m.items() for x in kv]), F.col(c).cast("long"))
+        c: code_label(F.col(c).cast("long") if integral[c] else F.col(c),
+                      m)
         for c, m in maps.items()
     })
 
 
+def encode_many(df: DataFrame, labels_by_col: Mapping[str, Sequence[str]]) -> DataFrame:
+    """V1 on several columns (their codes are read once, then map lookups)."""
+    return encode_maps(df, level_maps(df, labels_by_col))
+
+
 def level_map(df: DataFrame, col: str, labels: Sequence[str], codes: Sequence | None = None) -> dict:
     """V1: code -> label, the i-th smallest distinct code taking the i-th label.
 
@@ -92,8 +100,7 @@ def encode_levels(df: DataFrame, col: str, labels: Sequence[str], codes: Sequenc
     """V1: replace integer codes by their labels (a literal map lookup,
     no join). Null stays null."""
     mapping = level_map(df, col, labels, codes)
-    lookup = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return df.withColumn(out_col or col, F.try_element_at(lookup, F.col(col)))
+    return df.withColumn(out_col or col, code_label(col, mapping))
 
 
 def level_label(labels: Sequence[str], level: int) -> str:
@@ -132,42 +139,38 @@ def crosstab_wide(df: DataFrame, row: str, col: str, levels: Sequence[str]) -> D
     return df.groupBy(row).pivot(col, list(levels)).agg(F.count(F.lit(1))).na.fill(0, subset=list(levels))
 
 
-def frequency_table(df: DataFrame, col: str, labels: Sequence[str] | None = None,
-                    first_codes: int | None = None, digits: int = 2) -> DataFrame:
+def frequency_table(df: DataFrame, col: str, labels: Mapping, digits: int = 2) -> DataFrame:
     """Count and percentage per level: ``round(100 * n / sum(n), digits)``.
 
-    ``labels`` names the sorted codes (all levels kept, zero counts too).
-    ``first_codes`` keeps only the first k sorted codes, whose counts alone
-    form the denominator (the survey's transport-mode chart does that).
-    Nulls are not counted.
+    ``labels`` maps each code to its label, in level order; a level without
+    rows counts 0 and any other code raises. Nulls are not counted.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("code")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # The count table has one row per level: a global window over it is tiny.
-    ordered = Window.orderBy("code")
-    if first_codes is not None:
-        counts = counts.withColumn("level", F.row_number().over(ordered)).where(F.col("level") <= first_codes)
-    else:
-        counts = counts.withColumn("level", F.row_number().over(ordered))
-    if labels is not None:
-        names = F.array(*[F.lit(x) for x in labels])
-        counts = counts.withColumn("label", F.try_element_at(names, F.col("level").cast("int")))
-        if first_codes is None:
-            # keep levels with no respondents: a declared-size level table
-            levels = df.sparkSession.range(1, len(labels) + 1).select(
-                F.col("id").cast("int").alias("level"),
-                F.try_element_at(names, F.col("id").cast("int")).alias("label"),
-            )
-            # both sides have one row per level; AQE picks the join from their real sizes
-            counts = levels.join(counts.drop("label"), "level", "left").select(
-                "level", "label", "code", F.coalesce("n", F.lit(0)).alias("n")
-            )
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.withColumns({
-        "level": F.col("level").cast("bigint"),
-        "pct": F.round(F.lit(100) * F.col("n") / total, digits),
-    })
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    levels = df.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("level"), F.lit(label).alias("label"),
+                 F.lit(code).cast(df.schema[col].dataType).alias("known"))
+        for i, (code, label) in enumerate(labels.items(), 1)
+    ])))
+    stray = F.raise_error(F.concat(F.lit(f"{col}: no label for code "), F.col("code").cast("string"))).cast("bigint")
+    n = F.when(F.col("known").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(stray)
+    # one row per level: the global window over them is tiny
+    return levels.join(counts, F.col("known") == F.col("code"), "full").select(
+        "level", "label", "code", n.alias("n")).withColumn("pct", _percent(digits))
+
+
+def frequency_of_first(df: DataFrame, col: str, labels: Sequence[str], digits: int = 2) -> DataFrame:
+    """A11 as the transport-mode chart takes it: the smallest codes only, as
+    many as there are labels, whose counts alone form the denominator."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    first = counts.orderBy("code").limit(len(labels))
+    level = F.row_number().over(Window.orderBy("code"))  # over as many rows as labels
+    return first.select(level.cast("bigint").alias("level"), "code", "n").select(
+        "level", F.try_element_at(F.array(*[F.lit(x) for x in labels]), F.col("level").cast("int")).alias("label"),
+        "code", "n").withColumn("pct", _percent(digits))
+
+
+def _percent(digits: int) -> Column:
+    return F.round(F.lit(100) * F.col("n") / F.sum("n").over(Window.partitionBy()), digits)
 
 
 # ---------------------------------------------------------------------------
@@ -288,44 +291,53 @@ def relabel(df: DataFrame, col: str, mapping: Mapping[str, str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def box_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
-              whisker: float = K.WHISKER_IQR) -> DataFrame:
-    """Per group n, quartiles (linear interpolation, R's type 7),
-    whisker ends (most extreme values within ``whisker`` IQRs of the
-    quartiles) and the number of outliers beyond them. Nulls are ignored.
-
-    Plan: one partial aggregate to a (group, value, weight) histogram, then
-    ``percentile(value, p, weight)`` per group and a join of the histogram
-    with its group's fences. The raw rows are read once; everything after
-    works on the histogram, whose size is groups x distinct values (tiny
-    for ratings). Nothing gathers a group's rows.
+def _fenced(df: DataFrame, g: Sequence[str], value_col: str, whisker: float) -> DataFrame:
+    """The (group, value, weight) histogram with its group's quartiles and
+    whether the value is within ``whisker`` IQRs of them.
+
+    One partial aggregate over the rows, then ``percentile(value, p, weight)``
+    per group and a join of the histogram with its group's fences. The rows
+    are read once and never gathered; a group's distinct values are (its
+    percentile buffer), which suits ratings and other columns of few values.
     """
-    g = list(group_cols)
-    v = F.col(value_col).cast("double")
     hist = (
         df.where(F.col(value_col).isNotNull())
-        .groupBy(*g, v.alias("__v"))
+        .groupBy(*g, F.col(value_col).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__w"))
     )
     q = hist.groupBy(*g).agg(
         F.sum("__w").alias("n"),
         F.percentile(F.col("__v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__w")).alias("__q"),
-    )
-    q = q.select(
+    ).select(
         *g, "n",
-        F.col("__q")[0].alias("lower_quartile"), F.col("__q")[1].alias("median"),
-        F.col("__q")[2].alias("upper_quartile"),
+        F.col("__q")[0].alias("lower_quartile"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("upper_quartile"),
     )
-    lq, uq = F.col("lower_quartile"), F.col("upper_quartile")
-    q = q.withColumns({"__lo": lq - F.lit(whisker) * (uq - lq), "__hi": uq + F.lit(whisker) * (uq - lq)})
-    h = hist.alias("h")
-    s = q.alias("s")
+    h, s = hist.alias("h"), q.alias("s")
     cond = [F.col(f"h.{c}").eqNullSafe(F.col(f"s.{c}")) for c in g]
-    joined = h.join(s, cond, "inner")
-    inside = (F.col("h.__v") >= F.col("s.__lo")) & (F.col("h.__v") <= F.col("s.__hi"))
-    stats = [F.col(f"s.{c}").alias(c) for c in (*g, "n", "lower_quartile", "median", "upper_quartile")]
-    return joined.groupBy(*stats).agg(
-        F.least("lower_quartile", F.min(F.when(inside, F.col("h.__v")))).alias("lower_whisker"),
-        F.greatest("upper_quartile", F.max(F.when(inside, F.col("h.__v")))).alias("upper_whisker"),
-        F.coalesce(F.sum(F.when(~inside, F.col("h.__w"))), F.lit(0)).alias("n_outliers"),
+    lq, uq, v = F.col("lower_quartile"), F.col("upper_quartile"), F.col("__v")
+    reach = F.lit(whisker) * (uq - lq)
+    return h.join(s, cond, "inner").select(
+        *[F.col(f"s.{c}").alias(c) for c in g], "n", "lower_quartile", "median", "upper_quartile", "__v", "__w",
+        ((v >= lq - reach) & (v <= uq + reach)).alias("__inside"))
+
+
+def box_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
+              whisker: float = K.WHISKER_IQR) -> DataFrame:
+    """Per group n, quartiles (linear interpolation, R's type 7),
+    whisker ends (the range of the quartiles and the values within
+    ``whisker`` IQRs of them) and the number of outliers beyond them.
+    Nulls are ignored."""
+    g, inside = list(group_cols), F.col("__inside")
+    return _fenced(df, g, value_col, whisker).groupBy(*g, "n", "lower_quartile", "median", "upper_quartile").agg(
+        F.least("lower_quartile", F.min(F.when(inside, F.col("__v")))).alias("lower_whisker"),
+        F.greatest("upper_quartile", F.max(F.when(inside, F.col("__v")))).alias("upper_whisker"),
+        F.coalesce(F.sum(F.when(~inside, F.col("__w"))), F.lit(0)).alias("n_outliers"),
     )
+
+
+def box_outliers(df: DataFrame, group_cols: Sequence[str], value_col: str,
+                 whisker: float = K.WHISKER_IQR) -> DataFrame:
+    """A8, the points a box plot draws on their own: per group each value
+    beyond the fences and its number of rows."""
+    return _fenced(df, list(group_cols), value_col, whisker).where(~F.col("__inside")).select(
+        *group_cols, F.col("__v").alias("value"), F.col("__w").alias("count"))

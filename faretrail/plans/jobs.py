@@ -24,7 +24,7 @@ from ..sources.snapshots import (
     path_key, qualified_paths, read_card_snapshots, read_manifest, snapshot_text, with_snapshot_date,
 )
 from .journey_reports import REPORTS, JourneySuite
-from .survey_plan import BOXED, Q9_ASPECT_MAP, Q10_ASPECT_MAP, SurveyPlan
+from .survey_plan import Q9_ASPECT_MAP, Q10_ASPECT_MAP, SurveyPlan
 
 
 def journey_job(raw: DataFrame, out_dir: str, cfg: JourneyConfig | None = None,
@@ -77,33 +77,11 @@ def card_job(spark: SparkSession, paths: list[str], out_dir: str, chronological:
     return out
 
 
-def survey_results(raw: DataFrame) -> dict[str, DataFrame]:
-    """Every survey result by name (the data behind each chart)."""
-    p = SurveyPlan(raw)
-    res = {
-        "q9_cov": p.covariance(p.cfg.q9),
-        "q10_cov": p.covariance(p.cfg.q10),
-        "q9_reliability": p.reliability(p.cfg.q9, "Q9"),
-        "q10_reliability": p.reliability(p.cfg.q10, "Q10"),
-        "non_commuters": p.non_commuters,
-        "bar_occupation": p.bars(),
-        "box_melted_q9": p.box_melted(p.cfg.q9, Q9_ASPECT_MAP),
-        "box_melted_q10": p.box_melted(p.cfg.q10, Q10_ASPECT_MAP),
-    }
-    for col in ("Q1", "Q2", "Q3", "Q4", "Q5"):
-        res[f"freq_{col.lower()}"] = p.frequency(col)
-    for a, b in (("Q1", "Q3"), ("Q2", "Q3"), ("Q3", "Q4"), ("Q3", "Q5")):
-        res[f"crosstab_{a.lower()}_{b.lower()}"] = p.crosstab(a, b)
-    for col in BOXED:
-        res[f"box_{col.lower()}"] = p.box(col)
-    return res
-
-
 def survey_tables(p: SurveyPlan) -> dict[str, DataFrame]:
     """Every survey result, grouped into one table per statistic family
-    (a column names the block, question or cross-tab): 7 tables instead of
-    ~30 results, so writing them takes 7 jobs. The 14 per-rating box plots
-    and both melted blocks come from one histogram pass."""
+    (a column names the block, question or cross-tab), and the labelled and
+    melted respondent tables of the session. The 14 per-rating box plots and
+    both melted blocks come from one histogram pass."""
     cfg = p.cfg
     cov = p.covariance(cfg.q9).withColumn("block", F.lit("Q9")).unionByName(
         p.covariance(cfg.q10).withColumn("block", F.lit("Q10")))
@@ -123,7 +101,9 @@ def survey_tables(p: SurveyPlan) -> dict[str, DataFrame]:
         "aspect", F.try_element_at(F.create_map(*[F.lit(x) for kv in aspects.items() for x in kv]), F.col("rating")))
     return {
         "covariance": cov, "reliability": rel, "frequency": freq, "crosstab": xt,
-        "box_by_occupation": boxes, "bar_occupation": p.bars(), "non_commuters": p.non_commuters,
+        "box_by_occupation": boxes, "box_outliers": p.outliers(), "bar_occupation": p.bars(),
+        "data": p.data, "commuters": p.commuters_labelled(), "non_commuters": p.non_commuters,
+        "melt_q9": p.melted(cfg.q9, Q9_ASPECT_MAP), "melt_q10": p.melted(cfg.q10, Q10_ASPECT_MAP),
     }
 
 

@@ -45,7 +45,8 @@ class SurveyPlan:
             raw, path = materialize_at(raw, "survey")
             self._written = [path]
         self.raw = raw
-        data = S.encode_many(raw, PROFILE_LABELS)
+        self.levels = S.level_maps(raw, PROFILE_LABELS)
+        data = S.encode_maps(raw, self.levels)
         self.data = data
         self.commuters1, self.non_commuters = S.split_commuters(
             data, self.cfg.frequency, K.FREQUENCY_LABELS, self.cfg.non_commuter_level
@@ -66,11 +67,16 @@ class SurveyPlan:
             self._commuters = S.encode_levels(self.commuters1, self.cfg.mode, K.MODE_LABELS)
         return self._commuters
 
+    def commuters_labelled(self) -> DataFrame:
+        """Commuters with the mode and all ratings labelled, as the script
+        leaves them (the level codes of all columns are read in one job)."""
+        return S.encode_many(self.commuters1, {self.cfg.mode: K.MODE_LABELS, **K.RATING_LABELS})
+
     def frequency(self, col: str) -> DataFrame:
         if col == self.cfg.mode:
             # all respondents, raw codes, the first four codes form the total
-            return S.frequency_table(self.raw, col, K.MODE_LABELS, first_codes=len(K.MODE_LABELS))
-        return S.frequency_table(self.raw, col, PROFILE_LABELS[col])
+            return S.frequency_of_first(self.raw, col, K.MODE_LABELS)
+        return S.frequency_table(self.raw, col, self.levels[col])
 
     def crosstab(self, row: str, col: str) -> DataFrame:
         return S.crosstab_counts(self.commuters(), row, col)
@@ -95,6 +101,12 @@ class SurveyPlan:
         long = S.melt(self.commuters1.select(occ, *value_cols), [occ], value_cols, "rating", "__value")
         return S.box_stats(long, [occ, "rating"], "__value")
 
+    def outliers(self, value_cols: tuple[str, ...] = BOXED) -> DataFrame:
+        """The outlying ratings of all box plots by occupation."""
+        occ = self.cfg.occupation
+        long = S.melt(self.commuters1.select(occ, *value_cols), [occ], value_cols, "rating", "__value")
+        return S.box_outliers(long, [occ, "rating"], "__value")
+
     def box_from(self, fused: DataFrame, value_col: str) -> DataFrame:
         """One column's box statistics out of ``boxes()``."""
         return fused.filter(F.col("rating") == F.lit(value_col)).drop("rating")
@@ -124,7 +136,9 @@ def _plan(spark: SparkSession, d: str) -> SurveyPlan:
 def survey_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "survey_labelled": lambda s, d: _plan(s, d).data,
+        "commuters_labelled": lambda s, d: _plan(s, d).commuters_labelled(),
         "non_commuters": lambda s, d: _plan(s, d).non_commuters,
+        "box_outliers": lambda s, d: _plan(s, d).outliers(),
         "freq_gender": lambda s, d: _plan(s, d).frequency("Q1"),
         "freq_age": lambda s, d: _plan(s, d).frequency("Q2"),
         "freq_occupation": lambda s, d: _plan(s, d).frequency("Q3"),
@@ -157,14 +171,15 @@ _SURVEY_SQL = """survey AS (SELECT
   CAST(1 + l_suppkey % 2 AS INTEGER) AS Q1, CAST(1 + l_partkey % 6 AS INTEGER) AS Q2,
   CAST(1 + l_partkey % 9 AS INTEGER) AS Q3, CAST(1 + l_orderkey % 5 AS INTEGER) AS Q4,
   CAST(1 + l_suppkey % 4 AS INTEGER) AS Q5,
-  CAST(1 + l_quantity % 9 AS INTEGER) AS Q9_A, CAST(1 + round(l_discount * 100) % 9 AS INTEGER) AS Q9_B,
-  CAST(1 + round(l_tax * 100) % 9 AS INTEGER) AS Q9_C, CAST(1 + l_linenumber % 9 AS INTEGER) AS Q9_D,
-  CAST(1 + (l_quantity + round(l_tax * 100)) % 9 AS INTEGER) AS Q9_E,
-  CAST(1 + (l_quantity + l_linenumber) % 9 AS INTEGER) AS Q9_F, CAST(1 + l_suppkey % 9 AS INTEGER) AS Q9_G,
-  CAST(1 + floor(l_extendedprice) % 9 AS INTEGER) AS Q10_A, CAST(1 + l_quantity % 8 AS INTEGER) AS Q10_B,
-  CAST(1 + round(l_discount * 100) % 8 AS INTEGER) AS Q10_C, CAST(1 + round(l_tax * 100) % 8 AS INTEGER) AS Q10_D,
-  CAST(1 + l_linenumber % 8 AS INTEGER) AS Q10_E, CAST(1 + (l_quantity + round(l_tax * 100)) % 8 AS INTEGER) AS Q10_F,
-  CAST(1 + l_orderkey % 5 AS INTEGER) AS Q12
+  CAST(1 + l_quantity % 9 AS INTEGER) AS Q9_A, CAST(1 + round(l_discount * 100) % 8 AS INTEGER) AS Q9_B,
+  CAST(1 + round(l_tax * 100) % 9 AS INTEGER) AS Q9_C, CAST(1 + (l_quantity + l_linenumber) % 9 AS INTEGER) AS Q9_D,
+  CAST(1 + (l_quantity + round(l_tax * 100)) % 8 AS INTEGER) AS Q9_E,
+  CAST(1 + (l_quantity + l_linenumber) % 8 AS INTEGER) AS Q9_F, CAST(1 + l_suppkey % 8 AS INTEGER) AS Q9_G,
+  CAST(1 + floor(l_extendedprice) % 9 AS INTEGER) AS Q10_A, CAST(1 + l_quantity % 9 AS INTEGER) AS Q10_B,
+  CAST(1 + round(l_discount * 100) % 8 AS INTEGER) AS Q10_C, CAST(1 + round(l_tax * 100) % 9 AS INTEGER) AS Q10_D,
+  CAST(1 + (l_linenumber + round(l_discount * 100)) % 8 AS INTEGER) AS Q10_E,
+  CAST(1 + (l_quantity + round(l_tax * 100)) % 9 AS INTEGER) AS Q10_F,
+  CASE l_quantity WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 49 THEN 4 WHEN 50 THEN 5 ELSE 3 END AS Q12
 FROM lineitem)"""
 
 
@@ -253,10 +268,30 @@ long AS (SELECT * FROM mblock UNPIVOT INCLUDE NULLS (Ratings FOR Aspects IN ({',
 melted AS (SELECT Q3 AS Occupation, CASE Aspects {case} ELSE Aspects END AS Aspects, Ratings FROM long)"""
 
 
+def _labelled_sql() -> str:
+    """Commuters with every rating labelled (Q5 already is in ``commuters``)."""
+    levels = ", ".join(_levels_cte(f"lv_{c}", "commuters1", c) for c in K.RATING_LABELS)
+    repl = ", ".join(f"{_list(lab)}[lv_{c}.i] AS {c}" for c, lab in K.RATING_LABELS.items())
+    joins = " ".join(f"LEFT JOIN lv_{c} ON c.{c} = lv_{c}.code" for c in K.RATING_LABELS)
+    return f", {levels} SELECT c.* REPLACE ({repl}) FROM commuters c {joins}"
+
+
+def _outliers_sql() -> str:
+    return f""", long AS (SELECT * FROM (SELECT Q3, {', '.join(BOXED)} FROM commuters1)
+  UNPIVOT (v FOR rating IN ({', '.join(BOXED)}))),
+f AS (SELECT Q3, rating, quantile_cont(CAST(v AS DOUBLE), 0.25) AS lq, quantile_cont(CAST(v AS DOUBLE), 0.75) AS uq
+  FROM long GROUP BY Q3, rating)
+SELECT long.Q3, long.rating, CAST(v AS DOUBLE) AS value, count(*) AS "count" FROM long JOIN f
+  ON long.Q3 = f.Q3 AND long.rating = f.rating
+WHERE v < lq - 1.5 * (uq - lq) OR v > uq + 1.5 * (uq - lq) GROUP BY long.Q3, long.rating, v"""
+
+
 def survey_sql() -> dict[str, str]:
     h = survey_head()
     out = {
         "survey_labelled": h + "SELECT * FROM data",
+        "commuters_labelled": h + _labelled_sql(),
+        "box_outliers": h + _outliers_sql(),
         "non_commuters": h + "SELECT Q1, Q2, Q3, Q4 FROM data WHERE Q4 = 'Never use PT'",
         "freq_gender": h + ", " + _freq_sql("Q1", K.GENDER_LABELS, None),
         "freq_age": h + ", " + _freq_sql("Q2", K.AGE_LABELS, None),

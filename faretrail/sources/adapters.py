@@ -114,11 +114,13 @@ def survey_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
     cols = {
         "Q1": r(sk, 2), "Q2": r(pk, 6), "Q3": r(pk, 9), "Q4": r(ok, 5), "Q5": r(sk, 4),
-        "Q9_A": r(q, 9), "Q9_B": r(disc, 9), "Q9_C": r(tax, 9), "Q9_D": r(ln, 9),
-        "Q9_E": r(q + tax, 9), "Q9_F": r(q + ln, 9), "Q9_G": r(sk, 9),
+        # as many codes as the reference has labels for the column
+        "Q9_A": r(q, 9), "Q9_B": r(disc, 8), "Q9_C": r(tax, 9), "Q9_D": r(q + ln, 9),
+        "Q9_E": r(q + tax, 8), "Q9_F": r(q + ln, 8), "Q9_G": r(sk, 8),
         "Q10_A": r(F.floor(F.col("l_extendedprice")), 9),
-        "Q10_B": r(q, 8), "Q10_C": r(disc, 8), "Q10_D": r(tax, 8), "Q10_E": r(ln, 8), "Q10_F": r(q + tax, 8),
-        "Q12": r(ok, 5),
+        "Q10_B": r(q, 9), "Q10_C": r(disc, 8), "Q10_D": r(tax, 9), "Q10_E": r(ln + disc, 8), "Q10_F": r(q + tax, 9),
+        # mostly one answer, so that box plots have outliers
+        "Q12": F.when(q == 1, 1).when(q == 2, 2).when(q == 49, 4).when(q == 50, 5).otherwise(3),
     }
     return lineitem.select(*[cols[c].alias(c) for c in SURVEY_QUESTION_COLUMNS])
 

@@ -29,13 +29,13 @@ def test_survey_cli_from_csv(spark, tmp_dir):
     answers = AD.survey(spark, SF0001)
     # raw file: 24 columns, the script drops positions 1, 7, 8, 9 and 23
     q = list(SURVEY_QUESTION_COLUMNS)
-    raw_cols = ["id"] + q[:5] + ["u7", "u8", "u9"] + q[5:19] + ["u23", "u24"]
+    raw_cols = ["id"] + q[:5] + ["u7", "u8", "u9"] + q[5:18] + ["u23", "Q12"]
     from pyspark.sql import functions as F
 
     raw = answers.select(
         F.monotonically_increasing_id().alias("id"), *[F.col(c) for c in q[:5]],
         F.lit(0).alias("u7"), F.lit(0).alias("u8"), F.lit(0).alias("u9"),
-        *[F.col(c) for c in q[5:19]], F.lit(0).alias("u23"), F.lit(0).alias("u24"))
+        *[F.col(c) for c in q[5:18]], F.lit(0).alias("u23"), F.col("Q12"))
     assert raw.columns == raw_cols
     src = os.path.join(tmp_dir, "survey")
     raw.coalesce(1).write.option("header", True).csv(src)
@@ -46,6 +46,11 @@ def test_survey_cli_from_csv(spark, tmp_dir):
     boxes = spark.read.parquet(os.path.join(out, "results", "box_by_occupation"))
     assert boxes.select("rating").distinct().count() == 14
     assert boxes.where("aspect = 'Toilet fac.'").count() == 9
+    tables = {t: spark.read.parquet(os.path.join(out, "results", t)) for t in ("data", "commuters", "melt_q9", "melt_q10")}
+    n = tables["commuters"].count()
+    assert 0 < n < tables["data"].count() and tables["melt_q9"].count() == 7 * n
+    assert tables["commuters"].where("Q12 = 'Average'").count() > 0
+    assert spark.read.parquet(os.path.join(out, "results", "box_outliers")).count() > 0
     lines = open(glob.glob(os.path.join(out, "Q9_cov.csv", "part-*"))[0]).read().splitlines()
     assert lines[0] == "row,col1,col2,covariance" and lines[1].startswith("1,Q9_A,Q9_B,")
 

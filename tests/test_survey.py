@@ -90,14 +90,36 @@ def test_box_stats_brute_force(spark):
             == (n, q1, med, q3, lw, uw, no), g
 
 
-def test_frequency_table_zero_level_and_first_codes(spark):
-    df = _df(spark, ["q"], [(1,), (1,), (2,), (None,)])
-    out = {r.level: r for r in S.frequency_table(df, "q", ["a", "b", "c"]).collect()}
-    assert [(out[i].label, out[i].n, out[i].pct) for i in (1, 2, 3)] == [
-        ("a", 2, 66.67), ("b", 1, 33.33), ("c", 0, 0.0)]
+def test_frequency_table_zero_level_and_unknown_code(spark):
+    df = _df(spark, ["q"], [(1,), (1,), (4,), (None,)])
+    out = {r.level: r for r in S.frequency_table(df, "q", {1: "a", 2: "b", 4: "c"}).collect()}
+    assert [(out[i].label, out[i].code, out[i].n, out[i].pct) for i in (1, 2, 3)] == [
+        ("a", 1, 2, 66.67), ("b", None, 0, 0.0), ("c", 4, 1, 33.33)]
+    with pytest.raises(Exception, match="no label for code 4"):
+        S.frequency_table(df, "q", {1: "a", 2: "b"}).collect()
+
+
+def test_frequency_of_the_first_codes(spark):
     df5 = _df(spark, ["q"], [(1,), (2,), (3,), (4,), (5,), (5,)])
-    first4 = S.frequency_table(df5, "q", ["w", "x", "y", "z"], first_codes=4).collect()
-    assert sorted((r.code, r.pct) for r in first4) == [(1, 25.0), (2, 25.0), (3, 25.0), (4, 25.0)]
+    first4 = S.frequency_of_first(df5, "q", ["w", "x", "y", "z"]).collect()
+    assert sorted((r.code, r.label, r.pct) for r in first4) == [
+        (1, "w", 25.0), (2, "x", 25.0), (3, "y", 25.0), (4, "z", 25.0)]
+
+
+def test_codes_keep_their_type(spark):
+    df = spark.createDataFrame([(1.0, 1), (1.5, 2), (2.0, 2)], "a double, b int")
+    out = S.encode_many(df, {"a": ["x", "y", "z"], "b": ["p", "q"]}).collect()
+    assert sorted(map(tuple, out)) == [("x", "p"), ("y", "q"), ("z", "q")]
+    with pytest.raises(ValueError):
+        S.encode_many(df, {"a": ["x", "y"], "b": ["p", "q"]})
+
+
+def test_box_outliers_lists_values_beyond_the_fences(spark):
+    rows = [(1, v) for v in (3, 3, 3, 3, 3, 3, 5, 5, -2)] + [(None, 1), (None, 2), (1, None)]
+    df = spark.createDataFrame(rows, "g int, v int")
+    got = sorted(tuple(r) for r in S.box_outliers(df, ["g"], "v").collect())
+    q1, q3 = np.quantile([3, 3, 3, 3, 3, 3, 5, 5, -2], [0.25, 0.75])
+    assert (q1, q3) == (3, 3) and got == [(1, -2.0, 1), (1, 5.0, 2)]
 
 
 def test_melt_and_relabel(spark):
