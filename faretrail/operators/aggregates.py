@@ -45,18 +45,6 @@ def peak_split_count(df: DataFrame, keys: Sequence[str], flag: str = "TAG1_OFF_P
     return fused_counts(df, keys, {"total": None, "off_peak": f == F.lit(True), "peak": f == F.lit(False)})
 
 
-def day_class_count(df: DataFrame, keys: Sequence[str], date_col: str = "TAG1_DT_FK", cfg=None) -> DataFrame:
-    """A3: all / Sunday / Saturday / weekday counts for one key set, one pass."""
-    from .cleaning import day_class_condition
-
-    return fused_counts(df, keys, {
-        "total": None,
-        "sunday": day_class_condition("sunday", date_col, cfg),
-        "saturday": day_class_condition("saturday", date_col, cfg),
-        "weekday": day_class_condition("weekday", date_col, cfg),
-    })
-
-
 def pick_count(fused: DataFrame, keys: Sequence[str], col: str, count_col: str = "count") -> DataFrame:
     """One report out of a fused aggregate: its keys and its non-zero count."""
     return fused.select(*keys, F.col(col).alias(count_col)).filter(F.col(count_col) > 0)

@@ -30,11 +30,6 @@ def select_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*names)
 
 
-def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Rename columns (others unchanged)."""
-    return df.withColumnsRenamed(mapping)
-
-
 def drop_positions(df: DataFrame, positions: Iterable[int]) -> DataFrame:
     """Drop columns by 1-based position (resolved at plan time)."""
     drop = set(positions)
@@ -80,9 +75,9 @@ def positive_duration(df: DataFrame) -> DataFrame:
     return df.filter(F.col("JS_DURN_SEC") > 0)
 
 
-def peak_filter(df: DataFrame, off_peak: bool, end: str = "TAG1") -> DataFrame:
-    """off-peak (``off_peak=True``) or peak trips, judged at tag-on or tag-off."""
-    return df.filter(F.col(f"{end}_OFF_PEAK_IND") == F.lit(off_peak))
+def off_peak_condition(off_peak: bool, end: str = "TAG1") -> Column:
+    """F5 predicate: off-peak or peak trips, judged at tag-on or tag-off."""
+    return F.col(f"{end}_OFF_PEAK_IND") == F.lit(off_peak)
 
 
 def day_class_condition(which: str, date_col: str = "TAG1_DT_FK", cfg: JourneyConfig | None = None) -> Column:
@@ -114,14 +109,14 @@ def day_class_filter(df: DataFrame, which: str, date_col: str = "TAG1_DT_FK",
     return df.filter(day_class_condition(which, date_col, cfg))
 
 
-def transfers_only(df: DataFrame) -> DataFrame:
-    """F8: trips that are an inter-modal transfer."""
-    return df.filter(F.col("IMTT_DESC") != F.lit(K.NO_TRANSFER))
+def intermodal_condition() -> Column:
+    """F8 predicate: trips that are an inter-modal transfer."""
+    return F.col("IMTT_DESC") != F.lit(K.NO_TRANSFER)
 
 
-def known_routes(df: DataFrame) -> DataFrame:
-    """trips with a known route (the reference's SQL predicate text)."""
-    return df.filter(F.expr(f"ROUTE_val_ID != {K.NO_ROUTE}"))
+def known_route_condition() -> Column:
+    """F10 predicate: trips with a known route (the reference's SQL predicate text)."""
+    return F.expr(f"ROUTE_val_ID != {K.NO_ROUTE}")
 
 
 # ---------------------------------------------------------------------------

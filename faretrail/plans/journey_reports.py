@@ -14,10 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..config import JourneyConfig
-from ..operators.cleaning import day_class_condition
 from ..operators import aggregates as A
+from ..operators import cleaning as C
 from ..operators import transfers as T
 from ..schemas import DEPARTURE_KEYS as DEP
 from ..schemas import DESTINATION_KEYS as DST
@@ -104,16 +103,15 @@ BY_KEY = {r.key: r for r in REPORTS}
 def condition(name: str, cfg: JourneyConfig) -> Column:
     """The filter vocabulary of the catalogue (three-valued, as the reference)."""
     if name in ("offpeak1", "peak1", "offpeak2", "peak2"):
-        end = "TAG1" if name.endswith("1") else "TAG2"
-        return F.col(f"{end}_OFF_PEAK_IND") == F.lit(name.startswith("off"))
+        return C.off_peak_condition(name.startswith("off"), "TAG1" if name.endswith("1") else "TAG2")
     if name == "transfer":
-        return F.col("IMTT_DESC") != F.lit(K.NO_TRANSFER)
+        return C.intermodal_condition()
     if name == "route":
-        return F.expr(f"ROUTE_val_ID != {K.NO_ROUTE}")
+        return C.known_route_condition()
     for cls in ("sunday", "saturday", "weekday"):
         if name.startswith(cls):
             date_col = "TAG1_DT_FK" if name.endswith("1") else "TAG2_DT_FK"
-            return day_class_condition(cls, date_col, cfg)
+            return C.day_class_condition(cls, date_col, cfg)
     raise KeyError(name)
 
 

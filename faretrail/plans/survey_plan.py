@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .. import sinks
 from ..config import SurveyConfig
 from ..operators import aggregates as A
 from ..operators import survey as S
@@ -148,6 +149,10 @@ def survey_queries() -> dict[str, Query]:
         "crosstab_age_occupation": lambda s, d: _plan(s, d).crosstab("Q2", "Q3"),
         "crosstab_occupation_frequency": lambda s, d: _plan(s, d).crosstab("Q3", "Q4"),
         "crosstab_occupation_mode": lambda s, d: _plan(s, d).crosstab("Q3", "Q5"),
+        "crosstab_wide_occupation_mode": lambda s, d: S.crosstab_wide(
+            _plan(s, d).commuters(), "Q3", "Q5", K.MODE_LABELS),
+        "indexed_covariance_q9": lambda s, d: sinks.with_row_index(
+            _plan(s, d).covariance(K.Q9_COLUMNS), ["col1", "col2"]),
         "covariance_q9": lambda s, d: _plan(s, d).covariance(K.Q9_COLUMNS),
         "covariance_q10": lambda s, d: _plan(s, d).covariance(K.Q10_COLUMNS),
         "cronbach_q9": lambda s, d: _plan(s, d).reliability(K.Q9_COLUMNS, "Q9"),
@@ -302,6 +307,10 @@ def survey_sql() -> dict[str, str]:
         "crosstab_age_occupation": h + 'SELECT Q2, Q3, count(*) AS "count" FROM commuters GROUP BY Q2, Q3',
         "crosstab_occupation_frequency": h + 'SELECT Q3, Q4, count(*) AS "count" FROM commuters GROUP BY Q3, Q4',
         "crosstab_occupation_mode": h + 'SELECT Q3, Q5, count(*) AS "count" FROM commuters GROUP BY Q3, Q5',
+        "crosstab_wide_occupation_mode": h + "SELECT Q3, " + ", ".join(
+            f"count(*) FILTER (WHERE Q5 = '{m}') AS \"{m}\"" for m in K.MODE_LABELS) + " FROM commuters GROUP BY Q3",
+        "indexed_covariance_q9": h + "SELECT row_number() OVER (ORDER BY col1, col2) AS row, * FROM ("
+        + _cov_sql(K.Q9_COLUMNS) + ")",
         "covariance_q9": h + _cov_sql(K.Q9_COLUMNS),
         "covariance_q10": h + _cov_sql(K.Q10_COLUMNS),
         "cronbach_q9": h + ", " + _alpha_sql(K.Q9_COLUMNS, "Q9"),

@@ -36,8 +36,6 @@ JOURNEY_SCHEMA = T.StructType(
 
 # Columns the journey job keeps (plus the two route columns its route report needs).
 JOURNEY_COLUMNS = tuple(f.name for f in JOURNEY_SCHEMA.fields)
-JOURNEY_CORE_COLUMNS = JOURNEY_COLUMNS[:-2]
-ROUTE_COLUMNS = ("ROUTE_val_ID", "ROUTE_val_NM")
 
 CARD_SCHEMA = T.StructType(
     [
