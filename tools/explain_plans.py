@@ -44,7 +44,7 @@ def main() -> None:
         ("C10: cleaned journeys with the split transfer window (W1, T1-T3)",
          T.clean_journeys(T.select_journeys(raw, cfg), cfg)),
         ("R01-R03 + R21-R23: one fused aggregate, one report picked from it", suite.report("r02_departure_offpeak")),
-        ("R18: rolled up from the passenger/card/discount aggregate", suite.report("r18_passenger")),
+        ("R18: one aggregate over the cleaned rows", JR.report_df(JR.BY_KEY["r18_passenger"], suite.bases["journey"], cfg)),
         ("A8: box plot by occupation from a weighted histogram", survey.box("Q9_A")),
         ("A12: covariance of a rating block, one aggregate", survey.covariance(survey.cfg.q9)),
     ]
