@@ -24,8 +24,16 @@ _PART = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SPACE = r"\x20\x09-\x0D"
 _WORD = rf"[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 RUN = rf"(?<![^{_SPACE}]){_WORD}(?: {_WORD})*+"
-#: Words of a candidate at most, and characters looked at on either side.
-LONGEST, CONTEXT = 4, 48
+#: Numbers of words that candidates always have, and characters looked at on either side.
+USUAL, CONTEXT = (1, 2, 3, 4), 48
+#: Digits of an identifier at most (a card's). Each word of a candidate holds a
+#: digit or an at sign, so longer stretches of words hold no single identifier.
+MOST_DIGITS = 19
+_OPEN, _CLOSE = r"""["'(\[{<]""", r"""[.,;:!?"')\]}>]"""
+#: Opening marks before an identifier; a bracket around its first digits is its own.
+_LEAD = r"""^(?:["'\[{<]|\((?![0-9+]++\)[ .-]?[0-9]))*+"""
+#: Words after and before which a stretch of words ends.
+_ENDS, _BEGINS = r"""[.,;:!?"'\]}>]$|^[^(]*+\)$""", r"""^["'\[{<]"""
 
 
 def _luhn(digits: Column) -> Column:
@@ -52,14 +60,24 @@ def _passes(kind: Column, s: Column) -> Column:
 
 def _matches(text: Column, pattern: str, tag: str) -> Column:
     """Matches in order with the text around them, which gives their places.
-    The arrays are zipped, not indexed, so each is made once per text."""
+    The arrays are zipped, not indexed, so each is made once per text; the text
+    around a match reaches into the matches beside it."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    zipped = F.zip_with(found, between, lambda m, gap: F.struct(
-        m.alias("s"), F.length(gap).alias("gap"), F.substring(gap, F.greatest(F.length(gap) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT)).alias("before"),
+
+    def tail(c: Column) -> Column:
+        return F.substring(c, F.greatest(F.length(c) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT))
+
+    def head(c: Column) -> Column:
+        return F.substring(c, F.lit(1), F.lit(CONTEXT))
+
+    gaps = F.zip_with(between, F.concat(F.array(F.lit("")), found), lambda gap, last: F.struct(
+        F.length(gap).alias("gap"), tail(F.concat(tail(last), tail(gap))).alias("before"),
     ))
-    after = F.zip_with(zipped, F.slice(between, 2, 1 << 30), lambda x, gap: F.struct(
-        x["s"].alias("s"), x["gap"].alias("gap"), x["before"].alias("before"), F.substring(gap, F.lit(1), F.lit(CONTEXT)).alias("after"),
+    zipped = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("s"), g["gap"].alias("gap"), g["before"].alias("before")))
+    rest = F.zip_with(F.slice(between, 2, 1 << 30), F.slice(found, 2, 1 << 30), lambda gap, m: head(F.concat(head(gap), head(F.coalesce(m, F.lit(""))))))
+    after = F.zip_with(zipped, rest, lambda x, beyond: F.struct(
+        x["s"].alias("s"), x["gap"].alias("gap"), x["before"].alias("before"), beyond.alias("after"),
     ))
     numbered = F.transform(after, lambda x, i: F.struct(
         F.lit(tag).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["s"].alias("s"), x["before"].alias("before"), x["after"].alias("after"),
@@ -75,17 +93,35 @@ def _placed(rows: DataFrame, per: list[str]) -> DataFrame:
     return rows.withColumn("start", start.cast("long")).withColumn("end", F.col("start") + F.length("s"))
 
 
+def _last_word(before: Column) -> Column:
+    return F.regexp_extract(before, rf"([^{_SPACE}]++)[{_SPACE}]*$", 1)
+
+
+def _first_word(after: Column) -> Column:
+    return F.regexp_extract(after, rf"^[{_SPACE}]*+([^{_SPACE}]++)", 1)
+
+
 def base_spans(texts: DataFrame) -> DataFrame:
-    """(key, kind, start, end, s): the base matches of distinct texts (key, text)."""
+    """(key, kind, start, end, s, left, right): the base matches of distinct
+    texts (key, text), with the words on either side."""
     hits = F.concat(*[_matches(F.col("text"), BASE[k], k) for k in KINDS])
-    rows = texts.select("key", F.explode(hits).alias("m")).select("key", "m.kind", "m.i", "m.gap", "m.s")
-    return _placed(rows, ["key", "kind"]).where(_passes(F.col("kind"), F.col("s"))).select("key", "kind", "start", "end", "s")
+    rows = texts.select("key", F.explode(hits).alias("m")).select("key", "m.kind", "m.i", "m.gap", "m.s", "m.before", "m.after")
+    left = _last_word(F.regexp_replace("before", rf"{_OPEN}++$", ""))
+    right = _first_word(F.regexp_replace("after", rf"^{_CLOSE}++(?=[{_SPACE}]|$)", ""))
+    return _placed(rows, ["key", "kind"]).where(_passes(F.col("kind"), F.col("s"))).select(
+        "key", "kind", "start", "end", "s", left.alias("left"), right.alias("right")
+    )
 
 
-def candidate_spans(texts: DataFrame) -> DataFrame:
-    """(key, start, end, s, left, right): one to ``LONGEST`` neighbouring words
-    that hold a digit or an at sign, without quotes and punctuation around
-    them, and the words on either side."""
+def candidate_spans(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(key, start, end, s, left, right, bounded): neighbouring words that hold
+    a digit or an at sign, without quotes and punctuation around them, and the
+    words on either side.
+
+    There are candidates of each number of words in ``lengths``, and those that
+    fill all of a stretch between other words or punctuation, of any number of
+    words; these are ``bounded``.
+    """
     runs = _placed(
         texts.select("key", F.explode(_matches(F.col("text"), RUN, "run")).alias("m")).select("key", "m.i", "m.gap", "m.s", "m.before", "m.after"),
         ["key"],
@@ -93,31 +129,41 @@ def candidate_spans(texts: DataFrame) -> DataFrame:
     words = runs.select("key", "i", "start", "before", "after", F.posexplode(F.split("s", " ", -1)).alias("j", "word"))
     run = Window.partitionBy("key", "i").orderBy("j")
     at = F.col("start") + F.coalesce(F.sum(F.length("word") + 1).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parted = F.coalesce(F.lag("word").over(run).rlike(_ENDS), F.lit(False)) | F.col("word").rlike(_BEGINS)
     words = (
         words.withColumn("at", at)
-        .withColumn("previous", F.coalesce(F.lag("word").over(run), F.regexp_extract("before", rf"([^{_SPACE}]++)[{_SPACE}]*$", 1)))
+        .withColumn("previous", F.coalesce(F.lag("word").over(run), _last_word(F.col("before"))))
+        .withColumn("parted", parted.cast("int"))
+        .withColumn("stretch", F.sum("parted").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    for n in range(1, LONGEST + 1):
+    for n in range(1, max(lengths) + 1):
         words = words.withColumn(f"w{n}", F.lead("word", n).over(run))
-    first_after = F.regexp_extract("after", rf"^[{_SPACE}]*+([^{_SPACE}]++)", 1)
+    first_after = _first_word(F.col("after"))
     spans = []
-    joined = F.col("word")
-    for n in range(1, LONGEST + 1):
-        if n > 1:
-            joined = F.concat_ws(" ", joined, F.col(f"w{n - 1}"))
+    for n in sorted(lengths):
+        joined = F.concat_ws(" ", "word", *[F.col(f"w{k}") for k in range(1, n)])
         spans.append(F.when(
             F.lit(True) if n == 1 else F.col(f"w{n - 1}").isNotNull(),
             F.struct(joined.alias("raw"), F.coalesce(F.col(f"w{n}"), first_after).alias("right")),
         ))
+    some = words.select("key", "at", F.col("previous").alias("left"), F.explode(F.array(*spans)).alias("c")).where("c is not null").select(
+        "key", "at", "left", "c.raw", "c.right", F.lit(False).alias("bounded")
+    )
+    whole = (
+        words.groupBy("key", "i", "stretch").agg(
+            F.min("at").alias("at"), F.min_by("previous", "j").alias("left"), F.max_by(F.coalesce(F.col("w1"), first_after), "j").alias("right"),
+            F.sort_array(F.collect_list(F.struct("j", "word"))).alias("all"),
+        ).where(F.size("all") <= MOST_DIGITS)
+        .select("key", "at", "left", F.array_join(F.transform("all", lambda x: x["word"]), " ").alias("raw"), "right", F.lit(True).alias("bounded"))
+    )
     out = (
-        words.select("key", "at", F.col("previous").alias("left"), F.explode(F.array(*spans)).alias("c")).where("c is not null")
-        .select("key", "at", "left", "c.raw", "c.right")
-        .withColumn("lead", F.regexp_extract("raw", r"""^["'(\[{<]*+""", 0))
-        .withColumn("s", F.regexp_replace(F.expr("substring(raw, length(lead) + 1)"), r"""[.,;:!?"')\]}>]++$""", ""))
+        some.union(whole)
+        .withColumn("lead", F.regexp_extract("raw", _LEAD, 0))
+        .withColumn("s", F.regexp_replace(F.expr("substring(raw, length(lead) + 1)"), rf"{_CLOSE}++$", ""))
         .withColumn("start", F.col("at") + F.length("lead"))
         .withColumn("end", F.col("start") + F.length("s"))
     )
-    return out.where("length(s) > 0").select("key", "start", "end", "s", "left", "right")
+    return out.where("length(s) > 0").select("key", "start", "end", "s", "left", "right", "bounded")
 
 
 def patterns_of(spans: DataFrame) -> DataFrame:
@@ -125,35 +171,56 @@ def patterns_of(spans: DataFrame) -> DataFrame:
 
     ``S`` its shape (every digit as 9, runs of letters as a); ``L`` and ``R``
     the word before or after it with its coarse shape (runs of digits as 9);
-    ``B`` both neighbouring words with its coarse shape.
+    ``B`` both neighbouring words with its coarse shape. ``C`` and ``W`` are
+    context alone: both neighbouring words, or the one before, whatever the
+    shape. Only ``bounded`` spans between words without digits give them, so
+    that a span cannot take in a number beside it or leave a part out.
     """
     shape = F.regexp_replace(F.regexp_replace("s", "[0-9]", "9"), "[A-Za-z]++", "a")
     coarse = F.regexp_replace(shape, "9++", "9")
     left, right = F.lower(F.coalesce("left", F.lit(""))), F.lower(F.coalesce("right", F.lit("")))
+    open_left = F.col("bounded") & (left != "") & ~left.rlike("[0-9@]")
     return spans.select(
         "s",
         F.explode(F.array(
+            F.when(open_left & ~right.rlike("[0-9@]"), F.concat_ws(" ", F.lit("C"), left, right)),
+            F.when(open_left, F.concat_ws(" ", F.lit("W"), left)),
             F.concat(F.lit("S "), shape),
             F.concat_ws(" ", F.lit("L"), left, coarse),
             F.concat_ws(" ", F.lit("R"), coarse, right),
             F.concat_ws(" ", F.lit("B"), left, coarse, right),
         )).alias("pattern"),
-    ).distinct()
+    ).where("pattern is not null").distinct()
+
+
+def _plausible(kind: Column, s: Column) -> Column:
+    """What context alone may make a kind: a phone of 7 to 15 digits (and an
+    extension), a card of 12 to 19 digits without a check digit that fits, an
+    address with an at sign or with dots or colons."""
+    count = F.length(F.regexp_replace(s, "[^0-9]", ""))
+    return (
+        F.when(kind == "email", s.rlike("[^@]@[^@]") & ~s.contains(" "))
+        .when(kind == "ip", s.rlike("^[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){2,}(?:/[0-9]+)?$"))
+        .when(kind == "card", s.rlike("^[0-9][0-9 ./-]+$") & count.between(12, 19))
+        .otherwise(s.rlike(r"^[+(]*[0-9][0-9 ()./-]+(?:(?:x|ext\.?) ?[0-9]+)?$") & count.between(7, 15))
+    )
 
 
 def bootstrap(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int, support: int, trust: float) -> DataFrame:
-    """(s, kind): strings that the pattern graph assigns to a kind.
+    """(s, kind, shaped): strings that the pattern graph assigns to a kind;
+    ``shaped`` if the patterns with a shape are enough for that.
 
     ``edges`` links patterns and strings, ``seeds`` (s, kind) are certain. In
     each round a pattern's confidence in a kind is the sum of its strings'
     confidence over the number of its strings plus one, and counts only with at
     least ``support`` confident strings; a string's confidence is one minus the
     product of its patterns' doubts. Strings below ``trust`` count as evidence
-    against. Every round is two aggregations and two joins on the graph's own
+    against; without enough patterns with a shape, a string must be plausible. Every round is two aggregations and two joins on the graph's own
     keys, written out.
     """
     strings = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    belief = seeds.select("s", "kind", F.lit(1.0).alias("conf")).distinct()
+    belief = seeds.select("s", "kind", F.lit(1.0).alias("conf"), F.lit(True).alias("shaped")).distinct()
+    certain = belief
     for _ in range(rounds):
         scored = (
             edges.join(belief, "s").groupBy("pattern", "kind")
@@ -162,13 +229,37 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, scratch: Scratch, rounds: int,
             .select("pattern", "kind", (F.col("good") / (F.col("n") + 1)).alias("conf"))
             .where(F.col("conf") >= 0.5)
         )
-        doubt = F.sum(F.log1p(-F.least("conf", F.lit(0.999))))
-        strings_scored = edges.join(scored, "pattern").groupBy("s", "kind").agg((1 - F.exp(doubt)).alias("conf")).where(F.col("conf") >= trust)
-        best = strings_scored.groupBy("s").agg(F.max(F.struct("conf", "kind")).alias("b")).select("s", "b.kind", "b.conf")
+        doubt = F.log1p(-F.least("conf", F.lit(0.999)))
+        by_shape = F.coalesce(F.sum(F.when(~F.col("pattern").rlike("^[CW] "), doubt)), F.lit(0.0))
+        strings_scored = (
+            edges.join(scored, "pattern").groupBy("s", "kind")
+            .agg((1 - F.exp(F.sum(doubt))).alias("conf"), (1 - F.exp(by_shape) >= trust).alias("shaped"))
+            .where((F.col("conf") >= trust) & (F.col("shaped") | _plausible(F.col("kind"), F.col("s"))))
+        )
+        best = strings_scored.groupBy("s").agg(F.max(F.struct("shaped", "conf", "kind")).alias("b")).select("s", "b.kind", "b.conf", "b.shaped")
         new = best.join(seeds.select("s").distinct(), "s", "left_anti")
-        nxt = scratch.keep(seeds.select("s", "kind", F.lit(1.0).alias("conf")).distinct().union(new))
-        belief = nxt
-    return belief.join(seeds.select("s").distinct(), "s", "left_anti").select("s", "kind")
+        belief = scratch.keep(certain.union(new))
+    return belief.join(seeds.select("s").distinct(), "s", "left_anti").select("s", "kind", "shaped")
+
+
+def _clear_of(spans: DataFrame, fixed: DataFrame) -> DataFrame:
+    """``spans`` that overlap none of ``fixed``: one sorted pass per text."""
+    marks = spans.withColumn("_fixed", F.lit(False)).unionByName(fixed.select("key", "start", "end", F.lit(True).alias("_fixed")), allowMissingColumns=True)
+    to_here = Window.partitionBy("key").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    # from the far end, so that the frame only grows
+    beyond = Window.partitionBy("key").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
+    return (
+        marks.withColumn("_reach", F.max(F.when(F.col("_fixed"), F.col("end"))).over(to_here))
+        .withColumn("_next", F.min(F.when(F.col("_fixed"), F.col("start"))).over(beyond))
+        .where(~F.col("_fixed") & (F.coalesce("_reach", F.lit(0)) <= F.col("start")) & (F.coalesce("_next", F.lit(1 << 62)) >= F.col("end")))
+        .drop("_fixed", "_reach", "_next")
+    )
+
+
+def _apart(spans: DataFrame) -> DataFrame:
+    """(key, kind, start, end): spans that no earlier or longer one covers."""
+    before = Window.partitionBy("key").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("covered", F.max("end").over(before)).where("covered is null or covered <= start").select("key", "kind", "start", "end")
 
 
 def _order(kind: Column) -> Column:
@@ -189,12 +280,13 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
     kind:start:end, comma-joined) and ``n_added``.
 
     The base spans are regular-expression matches that pass their kind's test.
-    They seed the bootstrapping: candidates are neighbouring words with digits
-    or at signs; a base span that is a candidate is a seed, candidates that
-    overlap base spans are dropped, all others are unknown. The seeds' shapes
-    and neighbouring words become patterns, patterns and strings are scored in
+    They are the seeds of the bootstrapping, with the words beside them;
+    candidates are neighbouring words with digits or at signs
+    (``candidate_spans``) that overlap no base span. The seeds' shapes and
+    neighbouring words become patterns, patterns and strings are scored in
     turn (``bootstrap``), and occurrences of the accepted strings are added,
-    unless an earlier or longer added span overlaps them.
+    first those that patterns with a shape support, unless an added span that
+    starts earlier, or there and is longer, overlaps them.
 
     Each distinct text with a digit or an at sign is searched once, whatever
     the number of its copies; matches are placed by running sums over a text's
@@ -208,36 +300,15 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
     keyed = src.withColumn("key", F.sha2("text", 256))
     texts = scratch.keep(keyed.where(F.col("text").rlike("[0-9@]")).select("key", "text").dropDuplicates(["key"]))
     base = scratch.keep(base_spans(texts))
-    # candidates beside base spans: one sorted pass per text finds overlaps
-    cand = candidate_spans(texts)
-    marks = cand.select("key", "start", "end", "s", "left", "right", F.lit(None).cast("string").alias("kind")).unionByName(
-        base.select("key", "start", "end", "s", F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"), "kind")
-    )
-    by_start = Window.partitionBy("key").orderBy("start")
-    to_here = by_start.rangeBetween(Window.unboundedPreceding, 0)
-    # from the far end, so that the frame only grows
-    beyond = Window.partitionBy("key").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1)
-    is_base = F.col("kind").isNotNull()
-    spot = Window.partitionBy("key", "start", "end")
-    marked = (
-        marks.withColumn("seed", F.max("kind").over(spot))
-        .withColumn("reach", F.max(F.when(is_base, F.col("end"))).over(to_here))
-        .withColumn("next", F.min(F.when(is_base, F.col("start"))).over(beyond))
-        .where(F.col("kind").isNull())
-        .withColumn("overlaps", (F.coalesce("reach", F.lit(0)) > F.col("start")) | (F.coalesce("next", F.lit(1 << 62)) < F.col("end")))
-        .where(F.col("seed").isNotNull() | ~F.col("overlaps"))
-    )
-    spans = scratch.keep(marked.select("key", "start", "end", "s", "left", "right", "seed"))
+    unknown = _clear_of(candidate_spans(texts, list(USUAL)), base)
+    known = base.select("key", "start", "end", "s", "left", "right", F.lit(True).alias("bounded"), F.col("kind").alias("seed"))
+    spans = scratch.keep(known.unionByName(unknown.withColumn("seed", F.lit(None).cast("string"))))
     edges = scratch.keep(patterns_of(spans))
-    seeds = scratch.keep(spans.where("seed is not null").select("s", F.col("seed").alias("kind")).distinct())
+    seeds = scratch.keep(base.select("s", "kind").distinct())
     accepted = bootstrap(edges, seeds, scratch, rounds, support, trust)
-    before = Window.partitionBy("key").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
-    added = (
-        spans.where("seed is null").select("key", "start", "end", "s").distinct().join(accepted, "s")
-        .withColumn("covered", F.max("end").over(before))
-        .where("covered is null or covered <= start")
-        .select("key", "kind", "start", "end", F.lit(False).alias("is_base"))
-    )
+    found = scratch.keep(spans.where("seed is null").select("key", "start", "end", "s").distinct().join(accepted, "s"))
+    shaped = _apart(found.where("shaped"))
+    added = shaped.union(_apart(_clear_of(found.where("not shaped"), shaped))).withColumn("is_base", F.lit(False))
     every = base.select("key", "kind", "start", "end", F.lit(True).alias("is_base")).union(added)
     counts = [F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in KINDS]
     per_text = every.groupBy("key").agg(
