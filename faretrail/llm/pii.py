@@ -24,7 +24,8 @@ _PART = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SPACE = r"\x20\x09-\x0D"
 _WORD = rf"[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 RUN = rf"(?<![^{_SPACE}]){_WORD}(?: {_WORD})*+"
-#: Numbers of words that candidates always have, and characters looked at on either side.
+#: Numbers of words that candidates always have, besides those of the seeds,
+#: and characters looked at on either side.
 USUAL, CONTEXT = (1, 2, 3, 4), 48
 #: Digits of an identifier at most (a card's). Each word of a candidate holds a
 #: digit or an at sign, so longer stretches of words hold no single identifier.
@@ -113,6 +114,14 @@ def base_spans(texts: DataFrame) -> DataFrame:
     )
 
 
+def seed_lengths(base: DataFrame) -> list[int]:
+    """Numbers of words of the base spans whose every word holds a digit or an
+    at sign (others cannot equal a candidate); at most ``MOST_DIGITS`` values."""
+    words = F.split("s", " ", -1)
+    whole = base.where(F.forall(words, lambda w: w.rlike("[0-9@]")))
+    return [r["n"] for r in whole.select(F.size(words).alias("n")).distinct().where(F.col("n") <= MOST_DIGITS).collect()]
+
+
 def candidate_spans(texts: DataFrame, lengths: list[int]) -> DataFrame:
     """(key, start, end, s, left, right, bounded): neighbouring words that hold
     a digit or an at sign, without quotes and punctuation around them, and the
@@ -257,9 +266,30 @@ def _clear_of(spans: DataFrame, fixed: DataFrame) -> DataFrame:
 
 
 def _apart(spans: DataFrame) -> DataFrame:
-    """(key, kind, start, end): spans that no earlier or longer one covers."""
-    before = Window.partitionBy("key").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("covered", F.max("end").over(before)).where("covered is null or covered <= start").select("key", "kind", "start", "end")
+    """(key, kind, start, end): by start, then the longer one, each span that
+    overlaps none kept before it. Spans are compared within groups that
+    overlap in a chain; the kept ones are gathered in blocks, as appending to
+    one long array copies it each time."""
+    order = Window.partitionBy("key").orderBy("start", F.desc("end"), "kind")
+    past, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    chains = (
+        spans.select("key", "kind", "start", "end").withColumn("_new", (F.coalesce(F.max("end").over(past), F.lit(0)) <= F.col("start")).cast("int"))
+        .withColumn("_chain", F.sum("_new").over(upto))
+        .groupBy("key", "_chain").agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("o"), "kind", "end"))).alias("all"))
+    )
+    one = "struct<start:bigint,o:bigint,kind:string,end:bigint>"
+
+    def keep(kept: Column, x: Column) -> Column:
+        full = F.size(kept["block"]) >= 256
+        return F.when(x["start"] >= kept["end"], F.struct(
+            x["end"].alias("end"),
+            F.when(full, F.array(x)).otherwise(F.concat(kept["block"], F.array(x))).alias("block"),
+            F.when(full, F.concat(kept["blocks"], F.array(kept["block"]))).otherwise(kept["blocks"]).alias("blocks"),
+        )).otherwise(kept)
+
+    start = F.expr(f"struct(0L as end, cast(array() as array<{one}>) as block, cast(array() as array<array<{one}>>) as blocks)")
+    kept = F.aggregate("all", start, keep, lambda k: F.concat(F.flatten(k["blocks"]), k["block"]))
+    return chains.select("key", F.explode(kept).alias("x")).select("key", "x.kind", "x.start", "x.end")
 
 
 def _order(kind: Column) -> Column:
@@ -300,7 +330,7 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
     keyed = src.withColumn("key", F.sha2("text", 256))
     texts = scratch.keep(keyed.where(F.col("text").rlike("[0-9@]")).select("key", "text").dropDuplicates(["key"]))
     base = scratch.keep(base_spans(texts))
-    unknown = _clear_of(candidate_spans(texts, list(USUAL)), base)
+    unknown = _clear_of(candidate_spans(texts, sorted({*USUAL, *seed_lengths(base)})), base)
     known = base.select("key", "start", "end", "s", "left", "right", F.lit(True).alias("bounded"), F.col("kind").alias("seed"))
     spans = scratch.keep(known.unionByName(unknown.withColumn("seed", F.lit(None).cast("string"))))
     edges = scratch.keep(patterns_of(spans))

@@ -32,3 +32,29 @@ def test_context_finds_phones_of_shapes_no_seed_has(spark):
     got = {r["doc_id"]: r["spans"] for r in rows}
     for i, (text, spans) in enumerate(want.items(), len(texts)):
         assert found(text, got[i]) == spans, text
+
+
+def test_identifiers_of_many_groups(spark):
+    rng = np.random.default_rng(12)
+
+    def groups(n):
+        return " ".join(f"{x:02}" for x in rng.integers(10, 99, n))
+
+    texts = [f"appel +33 6 {groups(4)} merci" for _ in range(40)]
+    want = {
+        # the base pattern runs on over both numbers and drops them
+        "appel +33 6 12 34 56 78 4918187128635271 merci": [("phone", "+33 6 12 34 56 78")],
+        "appel 01 23 45 67 89 merci": [("phone", "01 23 45 67 89")],
+        "appel 1 2 3 4 5 6 7 8 9 0 merci": [("phone", "1 2 3 4 5 6 7 8 9 0")],
+    }
+    rows = pii.personal_data(table(spark, [*texts, *want])).collect()
+    got = {r["doc_id"]: r["spans"] for r in rows}
+    for i, (text, spans) in enumerate(want.items(), len(texts)):
+        assert found(text, got[i]) == spans, text
+
+
+def test_a_dropped_span_hides_no_other(spark):
+    spans = [("t", "phone", 0, 10), ("t", "phone", 5, 15), ("t", "phone", 12, 20), ("t", "card", 12, 14), ("u", "ip", 3, 4)]
+    long = [("v", "phone", 10 * i, 10 * i + 15) for i in range(2_000)]  # a chain: every other one stays
+    got = {tuple(r) for r in pii._apart(spark.createDataFrame([*spans, *long], "key string, kind string, start long, end long")).collect()}
+    assert got == {spans[0], spans[2], spans[4], *long[::2]}
