@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,12 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faretrail.llm import textops as X
-from faretrail.llm.common import prepare, crc_mod
+from faretrail.llm.common import Scratch, prepare, crc_mod
 
 #: Words and bytes of a window at most; windows end between words.
 WORDS, BYTES = 8, 512
-#: Bytes of the stretches whose absence from ordinary text makes toxic text distinctive.
-GRAM = 5
+#: Bytes of the stretches that make toxic text distinctive, and how many times
+#: as often, of the texts of a class, toxic ones must have them as ordinary ones.
+GRAM, RATIO = 5, 4
+#: Standard errors by which the class rates must differ: rare ordinary words fill
+#: the dictionary at a low one, rare toxic words are lost at a high one. The one
+#: that calibrates best is taken.
+SURE = (1.0, 2.5, 3.5, 5.0)
+#: Bytes of a dictionary at most.
+DICTIONARY = 65536
 LEVEL = 9
 
 
@@ -119,48 +127,83 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str], check_toxic: list[str], check_ordinary: list[str], toxic_bytes: int = 2048) -> CompressionModel:
-    """Train both dictionaries and calibrate on texts that trained neither.
+def _counted(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The 5-grams of texts, sorted, and the number of texts with each."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(_grams(a)) for a in texts)]), return_counts=True)
 
-    The ordinary dictionary is trained on windows of ordinary text. Toxic text
-    is mostly ordinary prose, so the toxic dictionary is trained on what sets
-    it apart: the stretches of toxic documents whose byte 5-grams the ordinary
-    sample never shows. When a window is compressed, the toxic side has both
-    dictionaries and the ordinary side only its own, at the same distances, so
-    a window without toxic content comes out alike.
-    """
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, absent: int) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), absent)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], absent)
+
+
+def common_grams(ordinary: list[str], toxic: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ordinary texts' 5-grams, sorted; the number of texts with each; and
+    those that cannot set toxic text apart, as their share of the toxic texts
+    (one text at least) is below ``RATIO`` times their share of the ordinary ones."""
+    grams, n = _counted([_spaced(t) for t in ordinary])
+    hits = np.maximum(_look_up(*_counted([_spaced(t) for t in toxic]), grams, 1), 1)
+    return grams, n, grams[hits / max(1, len(toxic)) < RATIO * n / max(1, len(ordinary))]
+
+
+def _cut(a: np.ndarray, new: np.ndarray) -> list[bytes]:
+    """The distinct stretches of ``a`` that the marked 5-grams cover."""
+    cover = np.zeros(len(a), bool)
+    for j in range(GRAM):
+        cover[j : j + len(new)] |= new
+    edge = np.flatnonzero(np.diff(np.r_[0, cover, 0]))
+    b = a.tobytes()
+    return list(dict.fromkeys(b[s:e] for s, e in edge.reshape(-1, 2)))
+
+
+def stretches(text: str, common: np.ndarray, budget: int = 20_000) -> bytes:
+    """What may set a whole text apart: its stretches of 5-grams that are not
+    ``common``, or an even choice of them that fits ``budget`` bytes."""
+    a = _spaced(text)
+    parts = _cut(a, _look_up(common, np.ones(len(common), int), _grams(a), 0) == 0)
+    size = sum(map(len, parts)) + len(parts)
+    return b"\n".join(parts[:: -(-size // budget)] if size > budget else parts)[:budget]
+
+
+def distinctive(parts: list[bytes], grams: np.ndarray, n: np.ndarray, ordinary: int, sure: float) -> list[bytes]:
+    """Of every toxic text's ``stretches``, what is surely more frequent in toxic
+    text: 5-grams whose rates differ by ``RATIO`` and by ``sure`` standard errors
+    (of square roots of counts)."""
+    texts = [np.frombuffer(x, np.uint8) for x in parts]
+    bad, m = _counted(texts)
+    o = _look_up(grams, n, bad, 0)
+    share = len(parts) / max(1, ordinary)
+    more = (m >= RATIO * share * o) & (2 * (np.sqrt(m + 0.375) - np.sqrt(share * (o + 0.375))) >= sure)
+    for j in range(GRAM):  # not across the ends of stretches
+        more &= (bad >> np.uint64(8 * j)) & np.uint64(255) != 10
+    return [b"\n".join(_cut(a, _look_up(bad, more, _grams(a), 0) > 0)) for a in texts]
+
+
+def ordinary_dictionary(ordinary: list[str]) -> bytes:
+    """Trained on windows of ordinary text."""
     import zstandard as Z
 
-    data, offsets = X.text_bytes(pa.array(ordinary))
+    data, offsets = X.text_bytes(pa.array(ordinary, pa.large_string()))
     low = X.LOWER[data]
     lo, size, _ = windows(low, offsets)
     raw = low.tobytes()
     plain = [raw[s : s + k] for s, k in zip(lo.tolist(), size.tolist())]
-    plain_dict = _train(Z, 65536, plain[:: max(1, len(plain) // 80_000)], 24, 6)
-    seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(_grams(_spaced(t))) for t in ordinary)]))
-    apart = []
-    for t in toxic:
-        a = _spaced(t)
-        g = _grams(a)
-        at = np.searchsorted(seen, g)
-        new = np.ones(len(g), bool) if not len(seen) else seen[np.minimum(at, len(seen) - 1)] != g
-        cover = np.zeros(len(a), bool)
-        for j in range(GRAM):
-            cover[j : j + len(g)] |= new
-        edge = np.flatnonzero(np.diff(np.r_[0, cover, 0]))
-        b = a.tobytes()
-        part = b" ".join(dict.fromkeys(b[s:e] for s, e in edge.reshape(-1, 2)))
-        if len(part) >= 8:
-            apart.append(part)
-    model = CompressionModel(plain_dict, _train(Z, toxic_bytes, apart, 16, 8), np.zeros(6))
-    pair = model.compressors()
-    texts = [*check_toxic, *check_ordinary]
-    y = np.r_[np.ones(len(check_toxic)), np.zeros(len(check_ordinary))]
-    if len(check_toxic) and len(check_ordinary):
-        model.weights = _logistic(model.features(pair, *X.text_bytes(pa.array(texts, pa.large_string()))), y)
-    else:
-        model.weights = np.array([-4.0, 2.0, 1.0, 0.0, 0.0, 0.0])
-    return model
+    return _train(Z, DICTIONARY, plain[:: max(1, len(plain) // 80_000)], 24, 6)
+
+
+def toxic_dictionary(apart: list[bytes]) -> bytes:
+    """Of what sets toxic text apart (``distinctive``): all of it where that
+    fits the size of the ordinary dictionary, the more frequent the nearer to
+    its end. Toxic text is mostly ordinary prose; when a window is compressed,
+    the toxic side has both dictionaries and the ordinary side only its own, at
+    the same distances, so a window without toxic content comes out alike."""
+    import zstandard as Z
+
+    counts = Counter(s for x in apart for s in x.split(b"\n") if len(s) >= GRAM)
+    whole = b" ".join(sorted(counts, key=lambda s: (counts[s], s)))
+    return _train(Z, DICTIONARY, [x for x in apart if len(x) >= 8], 16, 8) if len(whole) > DICTIONARY else whole or b" " * 8
 
 
 def _train(zstd, size: int, samples: list[bytes], k: int, d: int) -> bytes:
@@ -171,28 +214,69 @@ def _train(zstd, size: int, samples: list[bytes], k: int, d: int) -> bytes:
         return b" ".join(samples)[:size] or b" " * 8
 
 
+def _stretches(common: np.ndarray, budget: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [stretches(t, common, budget) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.binary())], names=["code", "part"])
+
+    return run
+
+
+def _features(models: list[CompressionModel]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [m.compressors() for m in models]
+        for whole in batches:
+            for b in X.text_slices(whole, "text", 2 << 20):
+                x = np.concatenate([m.features(p, *X.text_bytes(b.column(1))) for m, p in zip(models, pairs)], 1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64())), b.column(2)], names=["code", "x", "toxic"])
+
+    return run
+
+
 def train(labelled: DataFrame, per_label: int = 4000, longest: int = 20_000, seed: int = 3) -> CompressionModel | None:
     """Fit on rows of (doc_id, text, toxic).
 
     The sample is bounded: about ``per_label`` texts of each label, picked by a
-    hash of id and text, and at most ``longest`` characters of each (only
-    here; scores read whole texts). Three quarters train the dictionaries, the
-    rest calibrates. None if a label has no text.
+    hash of id and text. Three quarters train the dictionaries, the rest
+    calibrates the weights on texts that trained neither. At most ``longest``
+    characters of each are read (only here; scores read whole texts). None if a label has no text.
     """
+    prepare(labelled.sparkSession)
     known = labelled.where("toxic in (0, 1) and text is not null").select("doc_id", "text", "toxic")
     counts = known.groupBy("toxic").count().select("toxic", (F.lit(float(per_label)) / F.col("count")).alias("rate"))
-    code = F.xxhash64("doc_id", "text", F.lit(seed))
-    rows = (
-        known.join(F.broadcast(counts), "toxic").withColumn("code", code)
+    scratch = Scratch(labelled.sparkSession, "toxicity")
+    rows = scratch.keep(
+        known.join(F.broadcast(counts), "toxic").withColumn("code", F.xxhash64("doc_id", "text", F.lit(seed)))
         .where(F.pmod("code", F.lit(1 << 30)).cast("double") / float(1 << 30) < F.col("rate"))
-        .select("toxic", "code", F.substring("text", 1, longest).alias("text"))
-        .orderBy("code", "text").collect()
+        .select("code", F.substring("text", 1, longest).alias("text"), "toxic")
     )
-    toxic, ordinary = ([r["text"] for r in rows if r["toxic"] == k] for k in (1, 0))
-    if not toxic or not ordinary:
+    codes = {k: [] for k in (0, 1)}
+    for r in rows.select("code", "toxic").orderBy("code").collect():
+        codes[r["toxic"]].append(r["code"])
+    if not codes[0] or not codes[1]:
         return None
-    a, b = -(-3 * len(toxic) // 4), -(-3 * len(ordinary) // 4)
-    return fit(toxic[:a], ordinary[:b], toxic[a:], ordinary[b:])
+    last = {k: c[-(-3 * len(c) // 4) - 1] for k, c in codes.items()}
+    teaches = F.col("code") <= F.when(F.col("toxic") == 1, F.lit(last[1])).otherwise(F.lit(last[0]))
+    texts = rows.where(teaches).select("code", "toxic", "text").orderBy("code", "text").collect()
+    toxic, ordinary = ([r["text"] for r in texts if r["toxic"] == k] for k in (1, 0))
+    grams, n, common = common_grams(ordinary, toxic)
+    apart = rows.where(teaches & (F.col("toxic") == 1)).select("code", "text").mapInArrow(_stretches(common, longest), "code long, part binary")
+    parts = [bytes(r["part"]) for r in apart.orderBy("code", "part").collect()]
+    plain = ordinary_dictionary(ordinary)
+    weights = np.array([-4.0, 2.0, 1.0, 0.0, 0.0, 0.0])
+    models = [CompressionModel(plain, toxic_dictionary(distinctive(parts, grams, n, len(ordinary), s)), weights) for s in SURE]
+    checks = rows.where(~teaches).mapInArrow(_features(models), "code long, x array<double>, toxic int").orderBy("code", "toxic").collect()
+    y = np.array([r["toxic"] for r in checks], float)
+    if not len(y) or y.min() == y.max():
+        return models[-1]
+    x = np.array([r["x"] for r in checks]).reshape(len(y), len(models), -1)
+    losses = []
+    for k, model in enumerate(models):
+        model.weights = _logistic(x[:, k], y)
+        z = np.clip(x[:, k] @ model.weights, -30, 30)
+        losses.append(float(np.mean(np.logaddexp(0, z) - y * z)))
+    return models[int(np.argmin(losses))]
 
 
 def _scorer(model: CompressionModel | None):

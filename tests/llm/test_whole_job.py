@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faretrail.llm import pii
+from faretrail.llm import pii, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -58,3 +58,27 @@ def test_a_dropped_span_hides_no_other(spark):
     long = [("v", "phone", 10 * i, 10 * i + 15) for i in range(2_000)]  # a chain: every other one stays
     got = {tuple(r) for r in pii._apart(spark.createDataFrame([*spans, *long], "key string, kind string, start long, end long")).collect()}
     assert got == {spans[0], spans[2], spans[4], *long[::2]}
+
+
+def _plain(rng, n):
+    return " ".join(f"w{rng.integers(150)}" for _ in range(n))
+
+
+def test_the_toxic_dictionary_holds_a_large_vocabulary():
+    rng = np.random.default_rng(13)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 10)) for _ in range(2_000)]
+    ordinary = [_plain(rng, 60) for _ in range(200)]
+    toxic = [f"{_plain(rng, 3)} {a} {b} {_plain(rng, 3)}" for a, b in zip(words[::2], words[1::2])]
+    toxic *= 4
+    grams, n, common = toxicity.common_grams([*ordinary * 20, f"w1 {words[0]} w2"], toxic)
+    parts = [toxicity.stretches(t, common) for t in toxic]
+    got = toxicity.toxic_dictionary(toxicity.distinctive(parts, grams, n, 4001, toxicity.SURE[1]))
+    assert 2048 < len(got) <= toxicity.DICTIONARY
+    assert sum(w.encode() in got for w in words) > 0.9 * len(words)
+
+
+def test_grams_are_compared_by_rate_not_by_one_ordinary_text():
+    rng = np.random.default_rng(14)
+    ordinary = [_plain(rng, 30) for _ in range(200)] + ["w1 horridness w2"]
+    toxic = [f"{_plain(rng, 30)} horridness" for _ in range(50)]
+    assert b"horridness" in toxicity.stretches(toxic[0], toxicity.common_grams(ordinary, toxic)[2])
