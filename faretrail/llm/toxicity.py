@@ -25,6 +25,8 @@ GRAM, RATIO = 5, 4
 SURE = (1.0, 2.5, 3.5, 5.0)
 #: Bytes of a dictionary at most.
 DICTIONARY = 65536
+#: Places that the excerpt of a very long text is taken from.
+PLACES = 20
 LEVEL = 9
 
 
@@ -214,6 +216,16 @@ def _train(zstd, size: int, samples: list[bytes], k: int, d: int) -> bytes:
         return b" ".join(samples)[:size] or b" " * 8
 
 
+def _excerpt(longest: int) -> Column:
+    """A text, or of a longer one ``longest`` characters from places spread over it."""
+    n, piece = F.length("text"), longest // PLACES
+    places = F.transform(
+        F.sequence(F.lit(0), F.lit(PLACES - 1)),
+        lambda i: F.substring(F.col("text"), (F.floor(i * (n - piece) / (PLACES - 1)) + 1).cast("int"), F.lit(piece)),
+    )
+    return F.when(n <= longest, F.col("text")).otherwise(F.array_join(places, " "))
+
+
 def _stretches(common: np.ndarray, budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -239,8 +251,10 @@ def train(labelled: DataFrame, per_label: int = 4000, longest: int = 20_000, see
 
     The sample is bounded: about ``per_label`` texts of each label, picked by a
     hash of id and text. Three quarters train the dictionaries, the rest
-    calibrates the weights on texts that trained neither. At most ``longest``
-    characters of each are read (only here; scores read whole texts). None if a label has no text.
+    calibrates the weights on texts that trained neither. Tasks read whole
+    texts; the driver gets at most ``longest`` characters of a training text,
+    from places spread over it, as much of what sets a toxic one apart, and six
+    numbers of a text that calibrates for each model tried. None if a label has no text.
     """
     prepare(labelled.sparkSession)
     known = labelled.where("toxic in (0, 1) and text is not null").select("doc_id", "text", "toxic")
@@ -249,7 +263,7 @@ def train(labelled: DataFrame, per_label: int = 4000, longest: int = 20_000, see
     rows = scratch.keep(
         known.join(F.broadcast(counts), "toxic").withColumn("code", F.xxhash64("doc_id", "text", F.lit(seed)))
         .where(F.pmod("code", F.lit(1 << 30)).cast("double") / float(1 << 30) < F.col("rate"))
-        .select("code", F.substring("text", 1, longest).alias("text"), "toxic")
+        .select("code", "text", "toxic")
     )
     codes = {k: [] for k in (0, 1)}
     for r in rows.select("code", "toxic").orderBy("code").collect():
@@ -258,7 +272,7 @@ def train(labelled: DataFrame, per_label: int = 4000, longest: int = 20_000, see
         return None
     last = {k: c[-(-3 * len(c) // 4) - 1] for k, c in codes.items()}
     teaches = F.col("code") <= F.when(F.col("toxic") == 1, F.lit(last[1])).otherwise(F.lit(last[0]))
-    texts = rows.where(teaches).select("code", "toxic", "text").orderBy("code", "text").collect()
+    texts = rows.where(teaches).select("code", "toxic", _excerpt(longest).alias("text")).orderBy("code", "text").collect()
     toxic, ordinary = ([r["text"] for r in texts if r["toxic"] == k] for k in (1, 0))
     grams, n, common = common_grams(ordinary, toxic)
     apart = rows.where(teaches & (F.col("toxic") == 1)).select("code", "text").mapInArrow(_stretches(common, longest), "code long, part binary")

@@ -82,3 +82,19 @@ def test_grams_are_compared_by_rate_not_by_one_ordinary_text():
     ordinary = [_plain(rng, 30) for _ in range(200)] + ["w1 horridness w2"]
     toxic = [f"{_plain(rng, 30)} horridness" for _ in range(50)]
     assert b"horridness" in toxicity.stretches(toxic[0], toxicity.common_grams(ordinary, toxic)[2])
+
+
+def test_passages_late_in_long_texts_are_learned(spark):
+    rng = np.random.default_rng(15)
+    texts, marks = [], []
+    for i in range(300):
+        bad = i % 2 == 0
+        words = _plain(rng, 6_000).split()
+        if bad:
+            for at in 5_500 + rng.integers(0, 400, 6):
+                words[at] = rng.choice(["horridness", "vilecreature", "despicable"])
+        texts.append(" ".join(words))
+        marks.append((i, int(bad)))
+    assert min(t.find("horridness") for t in texts if "horridness" in t) > 20_000
+    got = toxicity.toxicity(table(spark, texts), spark.createDataFrame(marks, "doc_id long, toxic int"), cut=0.5).where("held_out").collect()
+    assert np.mean([r["predicted"] == (r["doc_id"] % 2 == 0) for r in got]) >= 0.9
