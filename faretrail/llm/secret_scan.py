@@ -18,9 +18,18 @@ from faretrail.llm.common import Scratch, prepare
 #: A candidate: a run of at least twelve of the characters that keys are made
 #: of, with a digit in it, not inside a longer run.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+=*+")
+#: Values assigned to a name, of four characters or more: all between quotes, or
+#: all up to white space or the next name; and the password in a URL.
+VALUE = re.compile(
+    r"""(?<![A-Za-z_.\-])([A-Za-z_.\-]{2,32}+)["']?[ \t]{0,2}[:=][ \t]{0,2}(?!//)(?:"([^"\n]{4,}+)"|'([^'\n]{4,}+)'|(?!["'])((?:(?![&;,?][A-Za-z_.\-]{2,32}+["']?[:=])\S){4,}+))"""
+)
+URL_PASSWORD = re.compile(r"://[^\s:/@]*+:([^\s/@]++)@")
 #: A text can only hold a candidate if this pattern of Spark's finds something.
-HAS_CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+"
-_ASSIGNED = re.compile(r"""([A-Za-z_.\-]{2,32})\s{0,2}[:=]\s{0,2}["']?$""")
+HAS_CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+"
+    r"""|[A-Za-z_.\-]{2}["']?[ \t]{0,2}[:=][ \t]{0,2}["']?[^\s"']|://|[:=][ \t]{0,2}["'][^\n]{4}"""
+)
+_ASSIGNED = re.compile(r"""([A-Za-z_.\-]{2,32})["']?\s{0,2}[:=]\s{0,2}["']?$""")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 #: Characters looked at on either side of a candidate.
 CONTEXT = 64
@@ -34,12 +43,27 @@ FEATURES = 17 + NEIGHBOURS
 
 
 def find_candidates(text: str) -> list[tuple[int, int, str, str, str, str]]:
-    """(start, end, candidate, assigned name, text before, text after), code points."""
+    """(start, end, candidate, assigned name, text before, text after), code
+    points. Candidates of different kinds may overlap; the forest judges each."""
+    spans: dict[tuple[int, int], str | None] = {m.span(): None for m in CANDIDATE.finditer(text)}
+    for m in URL_PASSWORD.finditer(text):
+        spans[m.span(1)] = "password"
+    at = 0
+    while m := VALUE.search(text, at):
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 4:
+            end = start + len(m.group(4).rstrip(""".,;)]}"'"""))
+        if end - start >= 4:
+            spans.setdefault((start, end), m.group(1).lower())
+        # a value may itself hold names and values; very long words are not tried again
+        at = end if m.lastindex == 4 and end - start > 256 else start
     out = []
-    for m in CANDIDATE.finditer(text):
-        before, after = text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
-        name = _ASSIGNED.search(before)
-        out.append((m.start(), m.end(), m.group(), name.group(1).lower() if name else "", before, after))
+    for (start, end), name in sorted(spans.items()):
+        before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+        if name is None:
+            found = _ASSIGNED.search(before)
+            name = found.group(1).lower() if found else ""
+        out.append((start, end, text[start:end], name, before, after))
     return out
 
 

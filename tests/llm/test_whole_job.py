@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faretrail.llm import pii, toxicity
+from faretrail.llm import pii, secret_scan, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -98,3 +98,19 @@ def test_passages_late_in_long_texts_are_learned(spark):
     assert min(t.find("horridness") for t in texts if "horridness" in t) > 20_000
     got = toxicity.toxicity(table(spark, texts), spark.createDataFrame(marks, "doc_id long, toxic int"), cut=0.5).where("held_out").collect()
     assert np.mean([r["predicted"] == (r["doc_id"] % 2 == 0) for r in got]) >= 0.9
+
+
+def test_assigned_values_and_url_passwords_are_candidates(spark):
+    cases = {
+        "password=hunter2": "hunter2", "pwd: P@ss!word9, and": "P@ss!word9", "see postgres://u:pa55@host/db": "pa55",
+        'passphrase = "correct horse battery"': "correct horse battery", '{"secret": "qwertyuiopasdf"}': "qwertyuiopasdf", "s3://u:abcdef@h": "abcdef",
+    }
+    for text, value in cases.items():
+        assert value in [c[2] for c in secret_scan.find_candidates(text)], text
+    assert secret_scan.candidates(table(spark, list(cases))).where(F.col("value").isin(*cases.values())).count() >= len(cases)
+    rng = np.random.default_rng(16)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    secrets = ["".join(rng.choice(letters, 8)) for _ in range(150)]
+    texts = [f"{_plain(rng, 8)} password={s} {_plain(rng, 5)} note: {rng.choice(['please', 'again', 'today'])} {_plain(rng, 3)}" for s in secrets]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(table(spark, texts, "repo/app.cfg")).collect()}
+    assert sum([t[x["start"] : x["end"]] for x in got[i]] == [secrets[i]] for i, t in enumerate(texts)) >= 145
