@@ -70,7 +70,7 @@ def find_candidates(text: str) -> list[tuple[int, int, str, str, str, str]]:
 def features(value: str, name: str, before: str, after: str, path: str, dictionary: frozenset[str]) -> np.ndarray:
     """Length, character transitions, dictionary coverage, path and neighbours."""
     out = np.zeros(FEATURES, np.float32)
-    raw = np.frombuffer(value.encode("latin-1", "replace")[:4096], np.uint8)
+    raw = np.frombuffer(value.encode("latin-1", "replace"), np.uint8)
     kind = _CLASSES[raw]
     n = len(raw)
     out[0] = math.log2(n)
@@ -88,10 +88,12 @@ def features(value: str, name: str, before: str, after: str, path: str, dictiona
     out[10] = hexa.mean()
     low = value.lower()
     covered = np.zeros(len(low), bool)
-    for size in range(8, 2, -1):
-        for at in range(min(len(low), 512) - size + 1):
-            if low[at : at + size] in dictionary:
-                covered[at : at + size] = True
+    for run in _WORD.finditer(low):  # dictionary words are of letters
+        for at in range(run.start(), run.end() - 2):
+            for size in range(min(8, run.end() - at), 2, -1):
+                if low[at : at + size] in dictionary:
+                    covered[at : at + size] = True
+                    break
     out[11] = covered.mean()
     words = [w.lower() for w in _WORD.findall(before)[-3:]] + [w.lower() for w in _WORD.findall(after)[:2]]
     out[12] = sum(w in dictionary for w in words) / max(1, len(words))

@@ -114,3 +114,11 @@ def test_assigned_values_and_url_passwords_are_candidates(spark):
     texts = [f"{_plain(rng, 8)} password={s} {_plain(rng, 5)} note: {rng.choice(['please', 'again', 'today'])} {_plain(rng, 3)}" for s in secrets]
     got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(table(spark, texts, "repo/app.cfg")).collect()}
     assert sum([t[x["start"] : x["end"]] for x in got[i]] == [secrets[i]] for i, t in enumerate(texts)) >= 145
+
+
+def test_long_values_are_judged_whole():
+    words = frozenset({"house", "garden", "river"})
+    of = lambda v: secret_scan.features(v, "", "", "", "", words)
+    slug = "house-garden-river-" * 300 + "1"
+    assert of(slug)[11] == pytest.approx(of(slug[:190])[11], abs=0.01) and of(slug)[11] > 0.8
+    assert of("a" * 5_000 + "1B2" * 5_000)[6:9] != pytest.approx(of("a" * 5_000)[6:9])
