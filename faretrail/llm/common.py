@@ -48,6 +48,24 @@ class Scratch:
         """Delete tables that no later step reads."""
         release(self.spark, [self._paths.pop(id(f))[1] for f in frames if id(f) in self._paths])
 
+    def result(self, df: DataFrame) -> DataFrame:
+        """Write ``df``, delete every other table of this run, and read it back.
+        ``release_results`` deletes it once its reader is done."""
+        old = [frame for frame, _ in self._paths.values()]
+        out = self.keep(df)
+        self.drop(*old)
+        _RESULTS.append(self._paths[id(out)][1])
+        return out
+
+
+_RESULTS: list[str] = []
+
+
+def release_results(spark: SparkSession) -> None:
+    """Delete the tables of all results handed out by ``Scratch.result``."""
+    release(spark, _RESULTS)
+    _RESULTS.clear()
+
 
 def semi_join(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``keys``. The keys are counted first:

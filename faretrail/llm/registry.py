@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faretrail.llm import (
-    embedding_dedup, exact_dedup, language_id, line_dedup, ngram_join, packing, pii, secret_scan, source_mixing, toxicity,
+    embedding_dedup, exact_dedup, filter_audit, language_id, line_dedup, ngram_join, packing, pii, secret_scan, source_mixing,
+    toxicity, whitening,
 )
 
 
@@ -62,10 +63,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_jaccard_join, op2_exact_dedup, op3_source_mixing, op4_best_fit_packing, op5_pii,
         op6_embedding_neardup, op7_line_dedup, op8_language_id, op9_secret_scan, op10_toxicity,
+        op12_embedding_whitening, op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
@@ -77,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.SQL,
         "op3_source_mixing": source_mixing.SQL,
         "op6_embedding_neardup": embedding_dedup.SQL,
+        "op13_filter_audit": filter_audit.SQL,
     }
