@@ -76,6 +76,21 @@ def semi_join(df: DataFrame, keys: DataFrame, on: str, limit: int = BROADCAST_RO
     return df.join(right, on, "left_semi")
 
 
+def skew_join(left: DataFrame, right: DataFrame, on, weight: str, rows: int, shares: int = 10_000) -> DataFrame:
+    """Inner join of ``left`` (``rows`` rows) with ``right``, which has one row
+    per key and in ``weight`` the key's number of rows in ``left``.
+
+    Keys above a ``shares``-th of all rows are broadcast: there are fewer than
+    ``shares`` of them whatever the input. The rows of the other keys are
+    shuffled, and no key of theirs is more than that share of them.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    heavy = F.col(weight) > max(rows // shares, 1_000)
+    hot = right.where(heavy)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(rest.join(right.where(~heavy), keys))
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if its counted number of ``rows`` allows it."""
     return F.broadcast(df) if rows <= limit else df

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from faretrail.llm import (
     embedding_dedup, exact_dedup, filter_audit, language_id, line_dedup, ngram_join, packing, pii, secret_scan, source_mixing,
-    toxicity, whitening,
+    suffix_dedup, toxicity, whitening,
 )
 
 
@@ -63,6 +63,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -75,7 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_jaccard_join, op2_exact_dedup, op3_source_mixing, op4_best_fit_packing, op5_pii,
         op6_embedding_neardup, op7_line_dedup, op8_language_id, op9_secret_scan, op10_toxicity,
-        op12_embedding_whitening, op13_filter_audit,
+        op11_suffix_dedup, op12_embedding_whitening, op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
