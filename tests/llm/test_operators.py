@@ -148,7 +148,7 @@ def test_mixing_meets_targets_and_repeats(spark, awkward, empty):
     for s, w in zip(("a", "b", "c", None), (5, 2, 1, 5)):
         own = [r for r in got if r["source"] == s]
         assert abs(own[0]["target"] - total * w / 13) < 1e-6  # nothing reaches three copies here
-        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10, s
         assert all(r["taken"] in (0, r["size"], 2 * r["size"], 3 * r["size"]) for r in own)
     mixed = source_mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got if r["copies"] > 0)
