@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faretrail.llm import textops
-from faretrail.llm.common import Scratch, prepare, skew_join
+from faretrail.llm.common import Scratch, prepare, skew_join, small
 
 #: Windows hashed at once; the low bits of a ranking key hold a place in the block.
 BLOCK = 1 << 17
@@ -364,27 +364,28 @@ def repeated_spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame
     ``length``-byte strings standing anywhere else; spans may overlap."""
     k = max(4, length * 8 // 25)
     level = scratch.keep(texts.where(F.octet_length("data") >= length).mapInArrow(_cutter(length, k), OCCURRENCE))
+    covered = ["row", F.col("lo").alias("s"), (F.col("lo") + F.col("size")).alias("e")]
     spans = []
     for width in (*FINER, None):
-        rows = level.count()
         met = scratch.keep(
             level.groupBy("khash").agg(F.sum("w").alias("c"), F.count("*").alias("rows"), F.min("print").alias("p"), F.max("print").alias("q"))
-            .where("c > 1")
+            .where("c > 1").select("khash", "rows", (F.col("p") == F.col("q")).alias("equal"))
         )
-        several = skew_join(level, met, "khash", "rows", rows)
-        spans.append(several.where("p = q").select("row", F.col("lo").alias("s"), (F.col("lo") + F.col("size")).alias("e")))
-        apart = scratch.keep(several.where("p <> q").select(*level.columns))
+        several = scratch.keep(skew_join(level, met, "khash", "rows", level.count()).drop("rows"))
+        scratch.drop(level, met)
+        spans.append(several.where("equal").select(*covered))
+        apart = several.where("not equal").drop("equal")
         kinds = scratch.keep(
             apart.groupBy("khash", "print").agg(F.sum("w").alias("w"), F.count("*").alias("rows"), F.min(F.struct("row", "lo", "anchor", "size")).alias("at"))
         )
         again = kinds.where("rows > 1").select("khash", "print", "rows")
-        spans.append(skew_join(apart, again, ["khash", "print"], "rows", apart.count())
-                     .select("row", F.col("lo").alias("s"), (F.col("lo") + F.col("size")).alias("e")))
-        groups = scratch.keep(kinds.groupBy("khash").agg(F.count("*").alias("m")))
-        placed = scratch.keep(
-            skew_join(kinds, groups, "khash", "m", kinds.count()).select("khash", "w", "at.*", "m")
-        )
-        few = placed.where(F.col("m") <= GROUP)
+        spans.append(skew_join(apart, again, ["khash", "print"], "rows", apart.count()).select(*covered))
+        groups = kinds.groupBy("khash").agg(F.count("*").alias("m"))
+        large = scratch.keep(groups.where(F.col("m") > GROUP))  # fewer than one in GROUP
+        sizes = large.count()
+        few = kinds.select("khash", "w", "at.*")
+        if sizes:
+            few = few.join(small(large, sizes), "khash", "left_anti")
         total = few.agg(F.sum("size")).first()[0] or 0
         if total:
             buckets = -(-total // TASK_BYTES)
@@ -393,14 +394,14 @@ def repeated_spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame
                 bodies.groupBy(F.pmod(F.xxhash64("khash"), F.lit(buckets)).alias("bucket"))
                 .applyInArrow(_sorter(length), "row long, s int, e int")
             )
-        many = placed.where(F.col("m") > GROUP)
-        if width is None or many.isEmpty():
+        if width is None or not sizes:
             break
+        many = kinds.select("khash", "w", "at.*").join(small(large, sizes), "khash", "left_semi")
         level = scratch.keep(_with_texts(many, texts).mapInArrow(_finer(length, width), OCCURRENCE))
     out = spans[0]
     for more in spans[1:]:
         out = out.union(more)
-    return scratch.keep(out)
+    return out
 
 
 def _removal(texts: bool):
