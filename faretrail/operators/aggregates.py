@@ -39,6 +39,33 @@ def fused_counts(df: DataFrame, keys: Sequence[str], conditions: Mapping[str, Co
     return src.groupBy(*keys).agg(*aggs)
 
 
+SET_COL = "key_set"
+
+
+def grouping_sets(df: DataFrame, sets: Mapping[str, Sequence[str]], measures: Sequence[Column]) -> DataFrame:
+    """A1-A5 for several key sets in one scan: one ``Expand`` and one aggregate.
+
+    Returns a row per set and key combination: ``key_set`` (its name), every
+    key column (null where the set does not have it) and the measures. The
+    grouping id tells the sets apart, so a null key stays a group of its own.
+    ``set_rows`` picks a set.
+    """
+    cols = list(dict.fromkeys(k for keys in sets.values() for k in keys))
+    ids = {sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in keys): name for name, keys in sets.items()}
+    if len(ids) != len(sets):
+        raise ValueError("two key sets are the same")
+    names = F.create_map(*[x for i, name in ids.items() for x in (F.lit(i).cast("long"), F.lit(name))])
+    grouped = df.groupingSets([[F.col(k) for k in keys] for keys in sets.values()], *[F.col(c) for c in cols])
+    out = grouped.agg(F.grouping_id().cast("long").alias("__id"), *measures)
+    return out.withColumn(SET_COL, names[F.col("__id")]).drop("__id")
+
+
+def set_rows(grouped: DataFrame, name: str, sets: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The rows of one set of ``grouping_sets``: its own keys and the measures."""
+    others = {k for keys in sets.values() for k in keys} - set(sets[name])
+    return grouped.where(F.col(SET_COL) == name).drop(SET_COL, *others)
+
+
 def peak_split_count(df: DataFrame, keys: Sequence[str], flag: str = "TAG1_OFF_PEAK_IND") -> DataFrame:
     """A2: total, off-peak and peak counts for one key set, one pass."""
     f = F.col(flag)
@@ -73,21 +100,8 @@ def trip_kpis(df: DataFrame, flag: Column, count_name: str) -> DataFrame:
     )
 
 
-def fused_trip_kpis(df: DataFrame, flag: str = "TAG1_OFF_PEAK_IND") -> DataFrame:
-    """A4 for off-peak and peak at once: one global aggregate, one row."""
-    f = F.col(flag)
-    out = []
-    for tag, cond in (("off", f == F.lit(True)), ("peak", f == F.lit(False))):
-        out += [
-            F.count(F.when(cond, F.col("JRNY_ID"))).alias(f"{tag}_trips"),
-            F.sum(F.when(cond, F.col("JS_DURN_SEC"))).alias(f"{tag}_dur"),
-            F.sum(F.when(cond, F.col("JS_FARE_CENTS_AMT"))).alias(f"{tag}_fare"),
-        ]
-    return df.agg(*out)
-
-
 def kpi_row(fused: DataFrame, tag: str, count_name: str) -> DataFrame:
-    """One A4 row (off-peak or peak) from ``fused_trip_kpis``."""
+    """One A4 row (off-peak or peak) from the sums of both (``JourneySuite.family("kpis")``)."""
     return fused.select(
         F.col(f"{tag}_trips").alias(count_name),
         F.abs(F.col(f"{tag}_dur") / F.lit(3600)).alias("TOTAL_TRIP_TM"),
@@ -104,16 +118,8 @@ def average_duration(df: DataFrame, key: str = "TAG1_DT_FK", where: Column | Non
     return src.groupBy(key).agg(F.avg("JS_DURN_SEC").alias(AVG_DURATION_COL))
 
 
-def duration_sums(df: DataFrame, key: str = "TAG1_DT_FK") -> DataFrame:
-    """A5 fused: exact integer sum and count per date; every day-class variant
-    is a filter of this small table."""
-    return df.groupBy(key).agg(
-        F.sum("JS_DURN_SEC").alias("dur_sum"), F.count("JS_DURN_SEC").alias("dur_n")
-    )
-
-
 def average_from_sums(sums: DataFrame, key: str = "TAG1_DT_FK", where: Column | None = None) -> DataFrame:
-    """A5 from ``duration_sums`` (sum / count as double, as ``avg`` computes it)."""
+    """A5 from a sum and a count per date (sum / count as double, as ``avg`` computes it)."""
     src = sums if where is None else sums.filter(where)
     return src.select(
         key,

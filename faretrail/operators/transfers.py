@@ -2,24 +2,14 @@
 
 The reference takes ``lag`` over a window partitioned by tag-on date only, so
 one task sorts a whole day. A card's previous trip only matters when it is the
-same card (the transfer test checks it), so the lookup can be split by
-(date, card). To split further, so that one hot card cannot become one task
-either, the order (date, card, time, id) is cut into *slices*: all trips of
-one card on one day with the same tag-on second (or a prefix of the time
-text, see ``slice_chars``).
-
-* Inside a slice, ``lag`` over ``(date, card, slice)`` ordered by time, id.
-* The first trip of a slice takes the last trip of the previous non-empty
-  slice of the same card and day. That "carry" comes from a partial
-  (map-side combined) ``max_by`` per slice, then ``lag`` over the slice rows
-  of one card-day: at most 86,400 rows per card-day (seconds of a day), so
-  this window is bounded whatever the data volume.
-* The carry rows are unioned in front of their slice (marker 0 sorts first),
-  so the one shuffle of the full rows is the slice window's own; no join.
-
-Null cards can never be a transfer (the card test is null), so null-card rows
-are grouped by journey id instead of by card: they cannot pile up in one
-task either.
+same card (the transfer test checks it), so the lookup is one per (date, card).
+Card-days are counted first: those of a bounded size take a plain window, and a
+card-day of any size (a sentinel card, with whatever null or junk times) is
+dealt by ranges of (date, card, time, id) with the last trip of each range
+handed to the next one (``ordered.previous_row``).
+
+Null cards can never be a transfer (the card test is null): they have no
+previous trip and are spread over all tasks.
 """
 
 from __future__ import annotations
@@ -31,6 +21,7 @@ from .. import constants as K
 from ..config import JourneyConfig
 from ..functions import tag_epoch_seconds
 from . import cleaning as C
+from .ordered import GROUP_ROWS, previous_row
 
 PREV_CARD = "PREV_CARD_FK"
 PREV_MODE = "PREV_TS_TYP_CD"
@@ -41,17 +32,12 @@ PREV_TAG2_TM = "PREV_TAG2_TM"
 # the duration (the transfer test reads it), so ties give one answer
 TIE_ORDER = ("TS_TYP_CD", "TAG2_DT_FK", "TAG2_TM", "JS_DURN_SEC")
 
-_MARK = "__ft_mark"
-_SLICE = "__ft_slice"
-_SALT = "__ft_salt"
-_LAST = "__ft_last"
 _PREV = "__ft_prev"
-_PCARD = "__ft_pcard"
 
 
 def previous_trip(df: DataFrame, date_col: str = "TAG1_DT_FK", card_col: str = "CARD_FK",
                   time_col: str = "TAG1_TM", tie_col: str = "JRNY_ID",
-                  slice_chars: int | None = None) -> DataFrame:
+                  group_rows: int = GROUP_ROWS) -> DataFrame:
     """Add the same card's previous trip on the same date.
 
     Adds ``PREV_CARD_FK`` (the card when a previous trip exists, else null),
@@ -59,69 +45,17 @@ def previous_trip(df: DataFrame, date_col: str = "TAG1_DT_FK", card_col: str = "
     (time, id) within a card and date; null times sort first, as in Spark's
     ascending order; trips tied on (time, id) are ordered by their carried
     values (mode, tag-off date and time) and duration, so ties give one
-    deterministic answer. ``slice_chars`` cuts slices by a prefix of the time text
-    (``5`` = minute); default: the whole time text (second).
+    deterministic answer. Card-days of more than ``group_rows`` trips are
+    dealt by ranges. A trip without a card or date has no previous trip.
     """
-    carry_cols = ("TS_TYP_CD", "TAG2_DT_FK", "TAG2_TM")
-    cols = df.columns
-    slice_expr = F.col(time_col) if slice_chars is None else F.substring(F.col(time_col), 1, slice_chars)
-
-    rows = df.withColumns(
-        {
-            _MARK: F.lit(1),
-            _SLICE: slice_expr,
-            # null cards: grouped by journey id (their transfer test is null anyway)
-            _SALT: F.when(F.col(card_col).isNull(), F.col(tie_col)),
-            _PCARD: F.col(card_col),
-        }
-    )
-
-    # Last trip of every (date, card, slice): map-side combined, never one big group.
-    last = (
-        rows.filter(F.col(card_col).isNotNull())
-        .groupBy(date_col, card_col, _SLICE)
-        .agg(
-            F.max_by(
-                F.struct(*[F.col(c) for c in carry_cols]),
-                # same total order as the slice window below, so both agree on ties
-                F.struct(F.col(time_col), F.col(tie_col), *[F.col(c) for c in carry_cols]),
-            ).alias(_LAST)
-        )
-    )
-    # The previous slice's last trip; at most one row per slice of a card-day.
-    per_card_day = Window.partitionBy(date_col, card_col).orderBy(F.col(_SLICE).asc_nulls_first())
-    carry = last.select(
-        date_col,
-        card_col,
-        _SLICE,
-        F.lag(_LAST).over(per_card_day).alias(_PREV),
-    ).where(F.col(_PREV).isNotNull()).select(  # a card's first slice of a day needs no carry
-        F.col(date_col),
-        F.col(card_col),
-        F.col(_SLICE),
-        F.lit(0).alias(_MARK),
-        F.lit(None).cast("long").alias(_SALT),
-        F.col(card_col).alias(_PCARD),
-        *[F.col(f"{_PREV}.{c}").alias(c) for c in carry_cols],
-    )
-
-    both = rows.unionByName(carry, allowMissingColumns=True)
-    # (time, id) and then the carried values: rows tied on all of them carry
-    # the same values, so the result does not depend on how ties fall
-    extra = [c for c in TIE_ORDER if c in cols and c not in carry_cols]
-    in_slice = Window.partitionBy(date_col, card_col, _SLICE, _SALT).orderBy(
-        F.col(_MARK).asc(), F.col(time_col).asc_nulls_first(), F.col(tie_col).asc_nulls_first(),
-        *[F.col(c).asc_nulls_first() for c in (*carry_cols, *extra)],
-    )
-    out = both.withColumns(
-        {
-            PREV_CARD: F.lag(_PCARD).over(in_slice),
-            PREV_MODE: F.lag("TS_TYP_CD").over(in_slice),
-            PREV_TAG2_DT: F.lag("TAG2_DT_FK").over(in_slice),
-            PREV_TAG2_TM: F.lag("TAG2_TM").over(in_slice),
-        }
+    carry = ("TS_TYP_CD", "TAG2_DT_FK", "TAG2_TM")
+    order = [time_col, tie_col, *[c for c in TIE_ORDER if c in df.columns]]
+    out = previous_row(df, [date_col, card_col], order, carry, _PREV, group_rows)
+    return out.select(
+        *df.columns,
+        F.when(F.col(_PREV).isNotNull(), F.col(card_col)).alias(PREV_CARD),
+        *[F.col(f"{_PREV}.{c}").alias(p) for c, p in zip(carry, (PREV_MODE, PREV_TAG2_DT, PREV_TAG2_TM))],
     )
-    return out.filter(F.col(_MARK) == 1).select(*cols, PREV_CARD, PREV_MODE, PREV_TAG2_DT, PREV_TAG2_TM)
 
 
 def previous_trip_by_day(df: DataFrame) -> DataFrame:
@@ -195,7 +129,7 @@ def repair_journeys(df: DataFrame, cfg: JourneyConfig | None = None) -> DataFram
 
 
 def clean_journeys(df: DataFrame, cfg: JourneyConfig | None = None,
-                   slice_chars: int | None = None) -> DataFrame:
+                   group_rows: int = GROUP_ROWS) -> DataFrame:
     """The cleaned journey table every journey report reads.
 
     Order as the reference: F2, C1, C2a, C7, C8, C9, W1+T1+T2, T3, F4, C4.
@@ -204,7 +138,7 @@ def clean_journeys(df: DataFrame, cfg: JourneyConfig | None = None,
     """
     cfg = cfg or JourneyConfig()
     out = repair_journeys(df, cfg)
-    out = previous_trip(out, slice_chars=slice_chars)
+    out = previous_trip(out, group_rows=group_rows)
     out = detect_transfers(out, cfg.max_transfer_gap_sec, cfg.stamp_format)
     out = C.relabel_transfers(out, cfg.transfer_relabel)
     out = C.positive_duration(out)

@@ -2,9 +2,9 @@
 
 Each ``Report`` names its base table, filter conditions, keys and measure.
 ``report_df`` runs one report on its own (filter + groupBy). ``JourneySuite``
-runs the whole catalogue with about a dozen fused aggregates over a cleaned
-table written once to the shared folder, instead of one scan, window and
-shuffle per report.
+runs the whole catalogue from one aggregate over grouping sets of the cleaned
+table and one of the unknown trips, instead of one scan, window and shuffle
+per report.
 """
 
 from __future__ import annotations
@@ -123,11 +123,11 @@ def all_of(names, cfg: JourneyConfig) -> Column | None:
     return cond
 
 
-def bases(selected: DataFrame, cfg: JourneyConfig, slice_chars: int | None = None) -> dict[str, DataFrame]:
+def bases(selected: DataFrame, cfg: JourneyConfig) -> dict[str, DataFrame]:
     """The three base tables of the reports, lazily, from selected journey rows."""
     return {
         "selected": selected,
-        "journey": T.clean_journeys(selected, cfg, slice_chars),
+        "journey": T.clean_journeys(selected, cfg),
         "unknowns": T.clean_unknown(selected),
     }
 
@@ -146,87 +146,129 @@ def report_df(r: Report, base: DataFrame, cfg: JourneyConfig) -> DataFrame:
     raise ValueError(r.measure)
 
 
+#: The finest key sets of the reports; all others are rolled up from these.
+JOURNEY_SETS = {
+    "card_transfer_dep": ("CARD_TYP_CD", "IMTT_DESC") + DEP,
+    "card_dst": CARD + DST,
+    "passenger": ("PSNGR_TYP_CD", "CARD_TYP_CD", "DISC_ENT_DESC"),
+    "card_time": ("CARD_TYP_CD", "TS_TYP_CD", "TAG1_TM"),
+    "station_time": ("TS_TYP_CD", "TAG1_TS_NM", "TAG1_TM"),
+    "date": ("TAG1_DT_FK",),
+}
+UNKNOWN_SETS = {"unknown_station": DST, "unknown_card": PCARD}
+JOURNEY_FLAGS = ("offpeak1", "peak1", "offpeak2", "peak2", "sunday1", "saturday1", "weekday1")
+UNKNOWN_FLAGS = ("sunday2", "saturday2", "weekday2")
+
+
+def _counted(df: DataFrame, keys, flags, cfg: JourneyConfig) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the keys and one 1-or-null column per condition (evaluated
+    once, before rows are multiplied by key sets), and the counts over them."""
+    out = df.select(*keys, *[F.when(condition(f, cfg), 1).alias(f) for f in flags])
+    return out, [F.count(F.lit(1)).alias("all"), *[F.count(f).alias(f) for f in flags]]
+
+
+def _keys(sets) -> list[str]:
+    return list(dict.fromkeys(k for keys in sets.values() for k in keys))
+
+
 class JourneySuite:
-    """All journey reports from a few fused aggregates.
+    """All journey reports from two aggregates over grouping sets.
 
     ``materialize_bases=True`` parses the raw rows once: the selected, cleaned
-    and unknown tables and the aggregates that several reports are picked
-    from (``SHARED``) are written once as Parquet in the shared folder
-    (``spark.checkpoint.dir``), so the window runs once, a lost executor
-    never recomputes it, and each aggregate reads only the columns it groups by.
+    and unknown tables are written as Parquet in the shared folder
+    (``spark.checkpoint.dir``), so the window runs once and a lost executor
+    never recomputes it. The cleaned table is then scanned once: one aggregate
+    counts every condition for every key set (``JOURNEY_SETS``), and its few
+    rows are written by set. The unknown trips likewise. Every report is a
+    selection or roll-up of one set.
     """
 
-    #: Aggregates read by several branches or jobs.
-    SHARED = ("intermodal", "passenger", "card_time", "station_time", "kpis")
-
     def __init__(self, raw: DataFrame, cfg: JourneyConfig | None = None,
-                 materialize_bases: bool = False, slice_chars: int | None = None):
+                 materialize_bases: bool = False):
         self.cfg = cfg or JourneyConfig()
         self._materialized = materialize_bases
         self._written: list[str] = []
+        self._grouped: dict[str, DataFrame] = {}
         self._families: dict[str, DataFrame] = {}
         selected = self._keep(T.select_journeys(raw, self.cfg), "selected")
         self.bases = {name: df if df is selected else self._keep(df, name)
-                      for name, df in bases(selected, self.cfg, slice_chars).items()}
+                      for name, df in bases(selected, self.cfg).items()}
 
-    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+    def _keep(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
         if not self._materialized:
             return df
-        df, path = materialize_at(df, name)
+        df, path = materialize_at(df, name, by)
         self._written.append(path)
         return df
 
-    # -- fused families -------------------------------------------------
-    def family(self, name: str) -> DataFrame:
-        """A fused aggregate; the shared ones are written once."""
-        if name not in self._families:
-            fam = self._build(name)
-            self._families[name] = self._keep(fam, name) if name in self.SHARED else fam
-        return self._families[name]
-
     def close(self) -> None:
         """Delete the written tables."""
         self._families.clear()
+        self._grouped.clear()
         release(self.bases["selected"].sparkSession, self._written)
         self._written = []
 
+    # -- key sets ---------------------------------------------------------
+    def _measured(self, base: str) -> tuple[DataFrame, list[Column]]:
+        if base == "unknowns":
+            return _counted(self.bases[base], _keys(UNKNOWN_SETS), UNKNOWN_FLAGS, self.cfg)
+        j = self.bases["journey"]
+        off, peak = condition("offpeak1", self.cfg), condition("peak1", self.cfg)
+        sums = {"dur": F.col("JS_DURN_SEC"), "off_dur": F.when(off, F.col("JS_DURN_SEC")), "peak_dur": F.when(peak, F.col("JS_DURN_SEC")),
+                "off_fare": F.when(off, F.col("JS_FARE_CENTS_AMT")), "peak_fare": F.when(peak, F.col("JS_FARE_CENTS_AMT"))}
+        trips = {"off_trips": F.when(off, F.col("JRNY_ID")), "peak_trips": F.when(peak, F.col("JRNY_ID"))}
+        df = j.withColumns({**sums, **trips})
+        df, counts = _counted(df, [*_keys(JOURNEY_SETS), *sums, *trips], JOURNEY_FLAGS, self.cfg)
+        return df, [*counts, F.sum("dur").alias("dur_sum"), F.count("dur").alias("dur_n"),
+                    *[F.sum(c).alias(c) for c in list(sums)[1:]], *[F.count(c).alias(c) for c in trips]]
+
+    def grouped(self, base: str) -> DataFrame:
+        """All key sets of a base table from one scan of it, written by set."""
+        if base not in self._grouped:
+            df, measures = self._measured(base)
+            sets = UNKNOWN_SETS if base == "unknowns" else JOURNEY_SETS
+            self._grouped[base] = self._keep(A.grouping_sets(df, sets, measures), f"{base}-sets", (A.SET_COL,))
+        return self._grouped[base]
+
+    def _set(self, base: str, name: str) -> DataFrame:
+        """One key set; without written tables its own aggregate is cheaper."""
+        sets = UNKNOWN_SETS if base == "unknowns" else JOURNEY_SETS
+        if self._materialized:
+            return A.set_rows(self.grouped(base), name, sets)
+        df, measures = self._measured(base)
+        return df.groupBy(*sets[name]).agg(*measures)
+
+    # -- families: the key sets and what is rolled up from them -------------
+    def family(self, name: str) -> DataFrame:
+        if name not in self._families:
+            self._families[name] = self._build(name)
+        return self._families[name]
+
     def _build(self, name: str) -> DataFrame:
-        c = lambda n: condition(n, self.cfg)
-        j, u = self.bases["journey"], self.bases["unknowns"]
-        if name in ("dep", "dst", "passenger"):
-            day1 = {"sunday1": c("sunday1"), "saturday1": c("saturday1"), "weekday1": c("weekday1")}
-        if name in ("unknown_station", "unknown_card"):
-            day2 = {"sunday2": c("sunday2"), "saturday2": c("saturday2"), "weekday2": c("weekday2")}
+        def rolled(fine: str, keys, cols):
+            return self._set("journey", fine).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cols])
+
+        day1 = ("sunday1", "saturday1", "weekday1")
         if name == "dep":
-            return A.fused_counts(j, DEP, {"all": None, "offpeak1": c("offpeak1"), "peak1": c("peak1"), **day1})
-        if name == "dst":
-            return A.fused_counts(j, DST, {"all": None, "offpeak2": c("offpeak2"), "peak2": c("peak2"), **day1})
+            return rolled("card_transfer_dep", DEP, ("all", "offpeak1", "peak1", *day1))
         if name == "card_dep":
-            return A.fused_counts(j, CARD + DEP, {"all": None, "offpeak1": c("offpeak1"), "peak1": c("peak1")})
-        if name == "card_dst":
-            return A.fused_counts(j, CARD + DST, {"all": None, "offpeak2": c("offpeak2"), "peak2": c("peak2")})
+            return rolled("card_transfer_dep", CARD + DEP, ("all", "offpeak1", "peak1"))
+        if name == "dst":
+            return rolled("card_dst", DST, ("all", "offpeak2", "peak2", *day1))
         if name == "intermodal":
-            return A.fused_counts(
-                j, ("CARD_TYP_CD", "IMTT_DESC") + DEP,
-                {"all": None, "offpeak1": c("offpeak1"), "peak1": c("peak1")},
-                where=c("transfer"),
-            )
-        if name == "passenger":
-            return A.fused_counts(j, ("PSNGR_TYP_CD", "CARD_TYP_CD", "DISC_ENT_DESC"), {"all": None, **day1})
-        if name == "card_time":
-            return A.fused_counts(j, ("CARD_TYP_CD", "TS_TYP_CD", "TAG1_TM"), {"all": None})
-        if name == "station_time":
-            return A.fused_counts(j, ("TS_TYP_CD", "TAG1_TS_NM", "TAG1_TM"), {"all": None})
-        if name == "duration":
-            return A.duration_sums(j, "TAG1_DT_FK")
+            return self._set("journey", "card_transfer_dep").where(condition("transfer", self.cfg))
         if name == "kpis":
-            return A.fused_trip_kpis(j)
-        if name == "unknown_station":
-            return A.fused_counts(u, DST, {"all": None, **day2})
-        if name == "unknown_card":
-            return A.fused_counts(u, PCARD, {"all": None, **day2})
+            d = self._set("journey", "date")
+            return d.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) if c.endswith("trips") else F.sum(c).alias(c)
+                           for c in ("off_trips", "off_dur", "off_fare", "peak_trips", "peak_dur", "peak_fare")])
+        if name == "duration":
+            return self._set("journey", "date").select("TAG1_DT_FK", "dur_sum", "dur_n")
+        if name in ("card_dst", "passenger", "card_time", "station_time"):
+            return self._set("journey", name)
+        if name in UNKNOWN_SETS:
+            return self._set("unknowns", name)
         if name == "route":
-            return A.segmented_count(self.bases["selected"], ("TS_TYP_CD", "ROUTE_val_NM"), c("route"))
+            return A.segmented_count(self.bases["selected"], ("TS_TYP_CD", "ROUTE_val_NM"), condition("route", self.cfg))
         raise KeyError(name)
 
     # -- single reports out of the families -----------------------------
@@ -293,9 +335,6 @@ class JourneySuite:
             return self.family("route")
         raise KeyError(key)
 
-    def all_reports(self) -> dict[str, DataFrame]:
-        return {r.key: self.report(r.key) for r in REPORTS}
-
     # -- every document report as (report, JSON record), one branch per aggregate
     def document_names(self, sinks_: tuple[str, ...] = ("info_json", "console")) -> list[str]:
         """Names of the reports that ``document_lines`` holds the records of."""
@@ -306,8 +345,8 @@ class JourneySuite:
 
         Reports taken from the same fused aggregate (or rolled up to the
         same keys) come out of ONE branch: an ``explode`` over their count
-        columns. About 17 branches for 44 reports, so each aggregate runs
-        once in the writing job. Lines equal ``to_json`` of each report's
+        columns. About 17 branches for 44 reports, each over the few rows of
+        a written key set. Lines equal ``to_json`` of each report's
         own rows (keys, then the measure; nulls omitted).
         """
         wanted = [r for r in REPORTS if r.sink in sinks_]

@@ -6,7 +6,10 @@ import os
 import pytest
 from conftest import SF0001
 
+from pyspark.sql import functions as F
+
 from faretrail.config import JourneyConfig
+from faretrail.operators import aggregates as A
 from faretrail.operators import transfers as T
 from faretrail.plans import journey_reports as JR
 from faretrail.sources import adapters as AD
@@ -36,9 +39,9 @@ def test_filters_reach_the_scan(spark, journey_parquet):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "PushedFilters: [IsNotNull(TAG1_DT_FK), IsNotNull(TS_TYP_CD)" in plan
     assert "Not(EqualTo(TS_TYP_CD,UNKNOWN))" in plan
-    # exactly one exchange carries whole journey rows: the slice window's
+    # exactly one exchange carries whole journey rows: the card-day window's
     full_width = [ln for ln in plan.split("\n")
-                  if ln.startswith("Arguments: hashpartitioning(TAG1_DT_FK") and "__ft_salt" in ln]
+                  if ln.startswith("Arguments: hashpartitioning(TAG1_DT_FK") and "__salt" in ln]
     assert len(full_width) == 1
 
 
@@ -46,16 +49,37 @@ def _read_schemas(df):
     return [ln.split("ReadSchema: ")[1] for ln in _plan(df).split("\n") if "ReadSchema" in ln]
 
 
-def test_reports_read_only_their_columns(spark):
+def _scans(df, folder):
+    return sum(folder in ln for ln in _plan(df).split("\n") if ln.startswith("Location: "))
+
+
+def test_all_reports_scan_the_cleaned_table_once(spark):
     suite = JR.JourneySuite(AD.journeys(spark, SF0001), CFG, materialize_bases=True)
-    # the aggregate reads its keys and the date of the cleaned table, its reports read the written aggregate
-    (schema,) = _read_schemas(suite._build("passenger"))
-    assert {f.split(":")[0] for f in schema[len("struct<"):-1].split(",")} == {
-        "TAG1_DT_FK", "PSNGR_TYP_CD", "CARD_TYP_CD", "DISC_ENT_DESC"}
+    df, measures = suite._measured("journey")
+    fused = A.grouping_sets(df, JR.JOURNEY_SETS, measures)
+    assert _scans(fused, "/journey-") == 1 and "Expand" in _plan(fused)
+    (schema,) = _read_schemas(fused)
+    assert {f.split(":")[0] for f in schema[len("struct<"):-1].split(",")} < set(suite.bases["journey"].columns)
+    # the reports read the written key sets, each only its own set and columns
+    lines = suite.document_lines()
+    assert _scans(lines, "/journey-sets-") > 0 and _scans(lines, "/journey-") == _scans(lines, "/journey-sets-")
+    assert _scans(lines, "/unknowns-") == _scans(lines, "/unknowns-sets-")
     assert _read_schemas(suite.report("r18_passenger")) == ["struct<PSNGR_TYP_CD:string,all:bigint>"]
+    assert "PartitionFilters: [isnotnull(key_set" in _plan(suite.report("r18_passenger"))
     suite.close()
 
 
+def test_grouping_sets_keep_null_keys_apart(spark):
+    rows = spark.createDataFrame([(None, "x"), (None, None), ("a", None), ("a", "x")], "k string, l string")
+    sets = {"both": ["k", "l"], "one": ["k"], "none": []}
+    out = A.grouping_sets(rows, sets, [F.count(F.lit(1)).alias("n")])
+    got = lambda name: sorted(map(tuple, A.set_rows(out, name, sets).collect()), key=str)
+    assert got("both") == sorted([(None, "x", 1), (None, None, 1), ("a", None, 1), ("a", "x", 1)], key=str)
+    assert got("one") == sorted([(None, 2), ("a", 2)], key=str) and got("none") == [(4,)]
+    with pytest.raises(ValueError):
+        A.grouping_sets(rows, {"a": ["k"], "b": ["k"]}, [])
+
+
 @pytest.mark.parametrize("key", ["r18_passenger", "r20_transport_mode", "r43_time_mode", "r45_time_station"])
 def test_single_report_is_one_aggregate(spark, journey_parquet, key):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
