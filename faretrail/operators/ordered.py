@@ -1,13 +1,14 @@
-"""The previous row within a group, for groups of any size.
+"""The previous row and running totals within a group, for groups of any size.
 
-``lag`` over a window sorts each group in one task. That is right for groups of
+A window function sorts each group in one task. That is right for groups of
 a bounded size and wrong for a sentinel key that holds a third of all rows. So
 groups are counted first (two columns, combined before the shuffle):
 
 * groups of at most ``limit`` rows take a plain window, one shuffle of the rows;
-* larger groups are dealt by ranges of (group, order), whatever the group. The
-  previous row is the one above in the range; the first row of a range gets the
-  last row of the range before it. Only one row per range is scanned in order.
+* larger groups are dealt by ranges of (group, order), whatever the group. Each
+  range is scanned by itself and gets what the ranges before it hand on: the
+  last row, or the total of the group it goes on with. Only one row per range
+  (and group) is scanned in order.
 
 There are fewer than rows / ``limit`` larger groups, so their keys are broadcast.
 """
@@ -35,6 +36,12 @@ def _ascending(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in order]
 
 
+def large_groups(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
+    """The groups (no null in ``by``) with more than ``limit`` rows, written."""
+    sizes = df.where(~_nameless(by)).groupBy(*by).agg(F.count(F.lit(1)).alias(_ROW))
+    return materialize_at(sizes.where(F.col(_ROW) > limit).select(*by), "large-groups")[0]
+
+
 def previous_row(df: DataFrame, by: Sequence[str], order: Sequence[str], carry: Sequence[str],
                  out_col: str, limit: int = GROUP_ROWS) -> DataFrame:
     """Add ``out_col``: the ``carry`` values (a struct) of the previous row with
@@ -44,8 +51,7 @@ def previous_row(df: DataFrame, by: Sequence[str], order: Sequence[str], carry:
     ``order`` may be taken in any order, so ``order`` should hold ``carry``
     where the result must not depend on it.
     """
-    large = df.where(~_nameless(by)).groupBy(*by).agg(F.count(F.lit(1)).alias(_ROW)).where(F.col(_ROW) > limit).select(*by)
-    large, _ = materialize_at(large, "large-groups")
+    large = large_groups(df, by, limit)
     if large.isEmpty():
         return _by_group(df, by, order, carry, out_col)
     keys = F.broadcast(large)
@@ -54,6 +60,32 @@ def previous_row(df: DataFrame, by: Sequence[str], order: Sequence[str], carry:
     return few.unionByName(many)
 
 
+def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out_col: str,
+                  limit: int = GROUP_ROWS, ranges: int | None = None) -> DataFrame:
+    """Add ``out_col``: the sum of ``value`` over the rows of the same ``by``
+    values that come before in ``order`` (0 for the first). ``order`` must tell
+    the rows of a group apart; a null in ``by`` is a value like any other.
+    """
+    before = Window.partitionBy(*by).orderBy(*_ascending(order)).rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.withColumn(out_col, F.coalesce(F.sum(value).over(before), F.lit(0)))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias(_ROW)) if by else df.agg(F.count(F.lit(1)).alias(_ROW))
+    if sizes.where(F.col(_ROW) > limit).isEmpty():
+        return plain
+    cuts = [F.col(c) for c in (*by, *order)]
+    dealt = df.repartitionByRange(ranges, *cuts) if ranges else df.repartitionByRange(*cuts)
+    dealt, _ = materialize_at(dealt.withColumn(_RANGE, F.spark_partition_id()), "ordered-ranges")
+    # a group that goes on over many ranges is one row in each
+    totals = dealt.groupBy(*by, _RANGE).agg(F.sum(value).alias(_LAST))
+    earlier = Window.partitionBy(*by).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    handed = totals.select(*by, _RANGE, F.coalesce(F.sum(_LAST).over(earlier), F.lit(0)).alias(_LAST))
+    in_range = Window.partitionBy(*by, _RANGE).orderBy(*_ascending(order)).rowsBetween(Window.unboundedPreceding, -1)
+    h = handed.alias("h")
+    cond = [F.col(f"d.{_RANGE}") == F.col(f"h.{_RANGE}"), *[F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by]]
+    inside = dealt.withColumn(out_col, F.coalesce(F.sum(value).over(in_range), F.lit(0))).alias("d")
+    return inside.join(h, cond).select(*[F.col(f"d.{c}") for c in df.columns],
+                                       (F.col(f"d.{out_col}") + F.col(f"h.{_LAST}")).alias(out_col))
+
+
 def _by_group(df: DataFrame, by: Sequence[str], order: Sequence[str], carry: Sequence[str], out_col: str) -> DataFrame:
     # rows without a group are spread by their order columns: they need no window
     salted = df.withColumn(_SALT, F.when(_nameless(by), F.xxhash64(*order)))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .ordered import GROUP_ROWS, running_total
 
 EXACT = "decimal(38,0)"
 
@@ -25,42 +26,50 @@ EXACT = "decimal(38,0)"
 # ---------------------------------------------------------------------------
 
 
+def column_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(col, code): the distinct non-null codes of integer columns, one scan."""
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("col"), F.col(c).cast("long").alias("code")) for c in cols
+    ]))).where(F.col("code").isNotNull()).distinct()
+
+
+def maps_from_codes(codes: DataFrame, labels_by_col: Mapping[str, Sequence[str]]) -> dict[str, dict]:
+    """V1: code -> label of each column from its distinct codes (col, code),
+    the i-th smallest code taking the i-th label.
+
+    The codes of each column are counted first (a row per column reaches the
+    driver); a column with another number of codes than labels raises with
+    its own name and count. Only then are the codes read: as many as labels.
+    """
+    wanted = codes.where(F.col("col").isin(list(labels_by_col)))
+    found = {r["col"]: r["n"] for r in wanted.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wrong = [f"{c}: {found.get(c, 0)} distinct codes for {len(labels)} labels"
+             for c, labels in labels_by_col.items() if found.get(c, 0) != len(labels)]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    by_col: dict[str, list] = {c: [] for c in labels_by_col}
+    for r in wanted.collect():
+        by_col[r["col"]].append(r["code"])
+    return {c: dict(zip(sorted(by_col[c]), labels)) for c, labels in labels_by_col.items()}
+
+
 def level_codes(df: DataFrame, col: str, n_labels: int) -> list:
     """Sorted distinct non-null codes of ``col``; raise unless there are
-    exactly ``n_labels``. At most ``n_labels + 1`` codes reach the driver."""
-    rows = (
-        df.select(F.col(col).alias("c")).where(F.col("c").isNotNull())
-        .distinct().limit(n_labels + 1).collect()
-    )
-    codes = sorted(r.c for r in rows)
-    if len(codes) != n_labels:
-        raise ValueError(
-            f"{col}: {'more than ' if len(codes) > n_labels else ''}{len(codes)} distinct codes "
-            f"for {n_labels} labels"
-        )
-    return codes
+    exactly ``n_labels``. They are counted before any reaches the driver."""
+    kinds = df.select(F.col(col).alias("c")).where(F.col("c").isNotNull()).distinct()
+    n = kinds.count()
+    if n != n_labels:
+        raise ValueError(f"{col}: {n} distinct codes for {n_labels} labels")
+    return sorted(r.c for r in kinds.collect())
 
 
 def level_maps(df: DataFrame, labels_by_col: Mapping[str, Sequence[str]]) -> dict[str, dict]:
-    """V1 for several columns: integer columns in ONE job (distinct pairs of
-    column and code, at most the sum of their label counts + 1 of them reach
-    the driver), any other column in its own type by ``level_map``. Each
-    column must have exactly as many codes as labels."""
+    """V1 for several columns: integer columns from one scan
+    (``maps_from_codes``), any other column in its own type by ``level_map``.
+    Each column must have exactly as many codes as labels."""
     cols = [c for c in labels_by_col if _integral(df, [c])]
     out = {c: level_map(df, c, labels) for c, labels in labels_by_col.items() if c not in cols}
-    if not cols:
-        return out
-    stacked = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("col"), F.col(c).cast("long").alias("code")) for c in cols
-    ]))).where(F.col("code").isNotNull()).distinct()
-    cap = sum(len(labels_by_col[c]) for c in cols)
-    rows = stacked.limit(cap + 1).collect()
-    if len(rows) > cap:
-        raise ValueError(f"{', '.join(cols)}: more than {cap} distinct codes for {cap} labels")
-    found: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
-        found[r["col"]].append(r["code"])
-    return out | {c: level_map(df, c, labels_by_col[c], sorted(found[c])) for c in cols}
+    return out | (maps_from_codes(column_codes(df, cols), {c: labels_by_col[c] for c in cols}) if cols else {})
 
 
 def code_label(col: str | Column, labels: Mapping) -> Column:
@@ -129,6 +138,47 @@ def split_commuters(df: DataFrame, col: str = "Q4", labels: Sequence[str] = K.FR
 # ---------------------------------------------------------------------------
 
 
+#: One question (its counts) or a pair of questions (their cross-tab).
+Cell = tuple[str, ...]
+
+
+def cell_name(cell: Cell) -> str:
+    return " x ".join(cell)
+
+
+def contingency(df: DataFrame, cells: Sequence[Cell], by: str) -> DataFrame:
+    """A10/A11 in one scan: rows per (cell, row code, column code) and code of
+    the splitting question ``by``.
+
+    Each answer row becomes one small row per cell; these are counted map-side
+    before the shuffle, so what is shuffled are the distinct cells of a task.
+    A single question has a null column code. Null codes are counted as such.
+    Frequency tables, cross-tabs, histograms and level codes are picked from
+    the result with ``cell_rows``.
+    """
+    code = lambda c: F.col(c).cast("long")
+    exploded = df.select(
+        code(by).alias("by_code"),
+        F.inline(F.array(*[
+            F.struct(F.lit(cell_name(c)).alias("cell"), code(c[0]).alias("row_code"),
+                     (code(c[1]) if len(c) > 1 else F.lit(None).cast("long")).alias("col_code"))
+            for c in cells
+        ])),
+    )
+    return exploded.groupBy("cell", "row_code", "col_code", "by_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cell_rows(counts: DataFrame, cells: Mapping[Cell, str], by_codes: Sequence | None = None) -> DataFrame:
+    """Some cells of ``contingency`` under names: (name, row_code, col_code,
+    n), optionally over the rows whose splitting question has one of
+    ``by_codes``."""
+    names = F.create_map(*[F.lit(x) for c, name in cells.items() for x in (cell_name(c), name)])
+    rows = counts.where(F.col("cell").isin([cell_name(c) for c in cells]))
+    if by_codes is not None:
+        rows = rows.where(F.col("by_code").isin(list(by_codes)))
+    return rows.groupBy(names[F.col("cell")].alias("name"), "row_code", "col_code").agg(F.sum("n").alias("n"))
+
+
 def crosstab_counts(df: DataFrame, row: str, col: str) -> DataFrame:
     """A10: respondents per (row level, column level), long form."""
     return df.groupBy(row, col).agg(F.count(F.lit(1)).alias("count"))
@@ -139,16 +189,25 @@ def crosstab_wide(df: DataFrame, row: str, col: str, levels: Sequence[str]) -> D
     return df.groupBy(row).pivot(col, list(levels)).agg(F.count(F.lit(1))).na.fill(0, subset=list(levels))
 
 
+def code_counts(df: DataFrame, col: str) -> DataFrame:
+    """(code, n) of a column's non-null codes."""
+    return df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def frequency_table(df: DataFrame, col: str, labels: Mapping, digits: int = 2) -> DataFrame:
     """Count and percentage per level: ``round(100 * n / sum(n), digits)``.
 
     ``labels`` maps each code to its label, in level order; a level without
     rows counts 0 and any other code raises. Nulls are not counted.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    levels = df.sparkSession.range(1).select(F.inline(F.array(*[
+    return frequency_from(code_counts(df, col), col, labels, digits)
+
+
+def frequency_from(counts: DataFrame, col: str, labels: Mapping, digits: int = 2) -> DataFrame:
+    """``frequency_table`` from the (code, n) rows of a column."""
+    levels = counts.sparkSession.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(i).cast("bigint").alias("level"), F.lit(label).alias("label"),
-                 F.lit(code).cast(df.schema[col].dataType).alias("known"))
+                 F.lit(code).cast(counts.schema["code"].dataType).alias("known"))
         for i, (code, label) in enumerate(labels.items(), 1)
     ])))
     stray = F.raise_error(F.concat(F.lit(f"{col}: no label for code "), F.col("code").cast("string"))).cast("bigint")
@@ -161,7 +220,11 @@ def frequency_table(df: DataFrame, col: str, labels: Mapping, digits: int = 2) -
 def frequency_of_first(df: DataFrame, col: str, labels: Sequence[str], digits: int = 2) -> DataFrame:
     """A11 as the transport-mode chart takes it: the smallest codes only, as
     many as there are labels, whose counts alone form the denominator."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return frequency_of_first_from(code_counts(df, col), labels, digits)
+
+
+def frequency_of_first_from(counts: DataFrame, labels: Sequence[str], digits: int = 2) -> DataFrame:
+    """``frequency_of_first`` from the (code, n) rows of a column."""
     first = counts.orderBy("code").limit(len(labels))
     level = F.row_number().over(Window.orderBy("code"))  # over as many rows as labels
     return first.select(level.cast("bigint").alias("level"), "code", "n").select(
@@ -291,33 +354,63 @@ def relabel(df: DataFrame, col: str, mapping: Mapping[str, str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def _fenced(df: DataFrame, g: Sequence[str], value_col: str, whisker: float) -> DataFrame:
-    """The (group, value, weight) histogram with its group's quartiles and
-    whether the value is within ``whisker`` IQRs of them.
-
-    One partial aggregate over the rows, then ``percentile(value, p, weight)``
-    per group and a join of the histogram with its group's fences. The rows
-    are read once and never gathered; a group's distinct values are (its
-    percentile buffer), which suits ratings and other columns of few values.
-    """
-    hist = (
+def histogram(df: DataFrame, group_cols: Sequence[str], value_col: str) -> DataFrame:
+    """(group, value, weight): rows per group and distinct non-null value."""
+    return (
         df.where(F.col(value_col).isNotNull())
-        .groupBy(*g, F.col(value_col).cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__w"))
+        .groupBy(*group_cols, F.col(value_col).cast("double").alias("value"))
+        .agg(F.count(F.lit(1)).alias("weight"))
     )
-    q = hist.groupBy(*g).agg(
-        F.sum("__w").alias("n"),
-        F.percentile(F.col("__v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__w")).alias("__q"),
-    ).select(
-        *g, "n",
-        F.col("__q")[0].alias("lower_quartile"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("upper_quartile"),
-    )
-    h, s = hist.alias("h"), q.alias("s")
+
+
+def quantiles(hist: DataFrame, group_cols: Sequence[str], probabilities: Mapping[str, float],
+              limit: int = GROUP_ROWS) -> DataFrame:
+    """Exact quantiles per group (linear interpolation, R's type 7) of a
+    ``histogram``, with the number of rows ``n``; a column per probability.
+
+    Rank selection: a value covers the ranks behind the running total of the
+    weights before it, and a quantile lies between two ranks. Nothing holds a
+    group's values: the totals come from a window over groups of at most
+    ``limit`` distinct values and from ranges beyond it (``running_total``),
+    the picks from one aggregate combined before the shuffle.
+    """
+    g = list(group_cols)
+    if not g:
+        return quantiles(hist.withColumn("__all", F.lit(0)), ["__all"], probabilities, limit).drop("__all")
+    placed = running_total(hist, g, ["value"], "weight", "__before", limit)
+    totals = hist.groupBy(*g).agg(F.sum("weight").alias("n"))
+    p, t = placed.alias("p"), totals.alias("t")
+    rows = p.join(t, [F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in g])
+    aggs, out = [], []
+    for name, q in probabilities.items():
+        at = (F.col("n") - 1) * F.lit(float(q))
+        low = F.floor(at)
+
+        def pick(rank):
+            return F.max(F.when((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("weight")), F.col("value")))
+
+        aggs += [pick(low).alias(f"__lo_{name}"), pick(F.least(low + 1, F.col("n") - 1)).alias(f"__hi_{name}")]
+        part = at - low
+        out.append((F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * part).alias(name))
+    keyed = rows.select(*[F.col(f"p.{c}").alias(c) for c in g], "value", "weight", "__before", "n")
+    return keyed.groupBy(*g, "n").agg(*aggs).select(*g, "n", *out)
+
+
+QUARTILES = {"lower_quartile": 0.25, "median": 0.5, "upper_quartile": 0.75}
+
+
+def fenced(hist: DataFrame, group_cols: Sequence[str], whisker: float, limit: int = GROUP_ROWS) -> DataFrame:
+    """A histogram with its group's quartiles and whether each value is within
+    ``whisker`` IQRs of them."""
+    g = list(group_cols)
+    if not g:
+        return fenced(hist.withColumn("__all", F.lit(0)), ["__all"], whisker, limit).drop("__all")
+    h, s = hist.alias("h"), quantiles(hist, g, QUARTILES, limit).alias("s")
     cond = [F.col(f"h.{c}").eqNullSafe(F.col(f"s.{c}")) for c in g]
-    lq, uq, v = F.col("lower_quartile"), F.col("upper_quartile"), F.col("__v")
+    lq, uq, v = F.col("lower_quartile"), F.col("upper_quartile"), F.col("value")
     reach = F.lit(whisker) * (uq - lq)
     return h.join(s, cond, "inner").select(
-        *[F.col(f"s.{c}").alias(c) for c in g], "n", "lower_quartile", "median", "upper_quartile", "__v", "__w",
+        *[F.col(f"s.{c}").alias(c) for c in g], "n", "lower_quartile", "median", "upper_quartile", "value", "weight",
         ((v >= lq - reach) & (v <= uq + reach)).alias("__inside"))
 
 
@@ -326,12 +419,17 @@ def box_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
     """Per group n, quartiles (linear interpolation, R's type 7),
     whisker ends (the range of the quartiles and the values within
     ``whisker`` IQRs of them) and the number of outliers beyond them.
-    Nulls are ignored."""
+    Nulls are ignored. The rows are read once, into a histogram."""
+    return box_stats_from(fenced(histogram(df, group_cols, value_col), group_cols, whisker), group_cols)
+
+
+def box_stats_from(points: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """``box_stats`` from the rows of ``fenced``."""
     g, inside = list(group_cols), F.col("__inside")
-    return _fenced(df, g, value_col, whisker).groupBy(*g, "n", "lower_quartile", "median", "upper_quartile").agg(
-        F.least("lower_quartile", F.min(F.when(inside, F.col("__v")))).alias("lower_whisker"),
-        F.greatest("upper_quartile", F.max(F.when(inside, F.col("__v")))).alias("upper_whisker"),
-        F.coalesce(F.sum(F.when(~inside, F.col("__w"))), F.lit(0)).alias("n_outliers"),
+    return points.groupBy(*g, "n", "lower_quartile", "median", "upper_quartile").agg(
+        F.least("lower_quartile", F.min(F.when(inside, F.col("value")))).alias("lower_whisker"),
+        F.greatest("upper_quartile", F.max(F.when(inside, F.col("value")))).alias("upper_whisker"),
+        F.coalesce(F.sum(F.when(~inside, F.col("weight"))), F.lit(0)).alias("n_outliers"),
     )
 
 
@@ -339,5 +437,9 @@ def box_outliers(df: DataFrame, group_cols: Sequence[str], value_col: str,
                  whisker: float = K.WHISKER_IQR) -> DataFrame:
     """A8, the points a box plot draws on their own: per group each value
     beyond the fences and its number of rows."""
-    return _fenced(df, list(group_cols), value_col, whisker).where(~F.col("__inside")).select(
-        *group_cols, F.col("__v").alias("value"), F.col("__w").alias("count"))
+    return box_outliers_from(fenced(histogram(df, group_cols, value_col), group_cols, whisker), group_cols)
+
+
+def box_outliers_from(points: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """``box_outliers`` from the rows of ``fenced``."""
+    return points.where(~F.col("__inside")).select(*group_cols, "value", F.col("weight").alias("count"))

@@ -24,7 +24,7 @@ from ..sources.snapshots import (
     path_key, qualified_paths, read_card_snapshots, read_manifest, snapshot_text, with_snapshot_date,
 )
 from .journey_reports import REPORTS, JourneySuite
-from .survey_plan import Q9_ASPECT_MAP, Q10_ASPECT_MAP, SurveyPlan
+from .survey_plan import CROSSTABS, FREQUENCIES, Q9_ASPECT_MAP, Q10_ASPECT_MAP, SurveyPlan
 
 
 def journey_job(raw: DataFrame, out_dir: str, cfg: JourneyConfig | None = None,
@@ -87,21 +87,22 @@ def survey_tables(p: SurveyPlan) -> dict[str, DataFrame]:
         p.covariance(cfg.q10).withColumn("block", F.lit("Q10")))
     rel = p.reliability(cfg.q9, "Q9").unionByName(p.reliability(cfg.q10, "Q10"))
     freq = None
-    for c in ("Q1", "Q2", "Q3", "Q4", "Q5"):
+    for c in FREQUENCIES:
         f = p.frequency(c).withColumn("question", F.lit(c))
         freq = f if freq is None else freq.unionByName(f)
     xt = None
-    for a, b in (("Q1", "Q3"), ("Q2", "Q3"), ("Q3", "Q4"), ("Q3", "Q5")):
+    for a, b in CROSSTABS:
         t = p.crosstab(a, b).select(
             F.lit(a).alias("row_question"), F.col(a).alias("row_level"),
             F.lit(b).alias("col_question"), F.col(b).alias("col_level"), "count")
         xt = t if xt is None else xt.unionByName(t)
     aspects = {**Q9_ASPECT_MAP, **Q10_ASPECT_MAP}
-    boxes = p.boxes().withColumn(
+    points = p.fenced()
+    boxes = p.boxes(points).withColumn(
         "aspect", F.try_element_at(F.create_map(*[F.lit(x) for kv in aspects.items() for x in kv]), F.col("rating")))
     return {
         "covariance": cov, "reliability": rel, "frequency": freq, "crosstab": xt,
-        "box_by_occupation": boxes, "box_outliers": p.outliers(), "bar_occupation": p.bars(),
+        "box_by_occupation": boxes, "box_outliers": p.outliers(points), "bar_occupation": p.bars(),
         "data": p.data, "commuters": p.commuters_labelled(), "non_commuters": p.non_commuters,
         "melt_q9": p.melted(cfg.q9, Q9_ASPECT_MAP), "melt_q10": p.melted(cfg.q10, Q10_ASPECT_MAP),
     }
@@ -109,12 +110,12 @@ def survey_tables(p: SurveyPlan) -> dict[str, DataFrame]:
 
 def survey_job(raw: DataFrame, out_dir: str, materialize_data: bool = True) -> dict[str, str]:
     """The survey statistics written as Parquet tables (K5) plus the two
-    covariance CSV files with a row index (K3)."""
+    covariance CSV files with a row index (K3), taken from the written table."""
     p = SurveyPlan(raw, materialize_data=materialize_data)
-    tables = survey_tables(p)
-    sinks.write_indexed_csv(p.covariance(p.cfg.q9), os.path.join(out_dir, "Q9_cov.csv"), ["col1", "col2"])
-    sinks.write_indexed_csv(p.covariance(p.cfg.q10), os.path.join(out_dir, "Q10_cov.csv"), ["col1", "col2"])
-    written = sinks.save_results(tables, os.path.join(out_dir, "results"))
+    written = sinks.save_results(survey_tables(p), os.path.join(out_dir, "results"))
+    cov = raw.sparkSession.read.parquet(written["covariance"])
+    for block in ("Q9", "Q10"):
+        sinks.write_indexed_csv(cov.where(F.col("block") == block).drop("block"), os.path.join(out_dir, f"{block}_cov.csv"), ["col1", "col2"])
     p.close()
     return written
 

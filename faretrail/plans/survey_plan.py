@@ -10,13 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from .. import sinks
 from ..config import SurveyConfig
-from ..operators import aggregates as A
 from ..operators import survey as S
 from ..session import materialize_at, release
 from ..sources import adapters as AD
@@ -34,53 +33,105 @@ Q9_ASPECT_MAP = dict(zip(K.Q9_COLUMNS, K.Q9_ASPECTS))
 Q10_ASPECT_MAP = dict(zip(K.Q10_COLUMNS, K.Q10_ASPECTS))
 
 
+FREQUENCIES = ("Q1", "Q2", "Q3", "Q4", "Q5")
+CROSSTABS = (("Q1", "Q3"), ("Q2", "Q3"), ("Q3", "Q4"), ("Q3", "Q5"))
+
+
 class SurveyPlan:
-    """Lazy survey tables; V1 reads each column's distinct codes (bounded)."""
+    """Lazy survey tables.
+
+    ``materialize_data`` writes the answers once as Parquet in the shared
+    folder and counts them in one scan into the cells of ``S.contingency``:
+    every frequency table, cross-tab, bar chart, histogram of a rating by
+    occupation and every level code (V1) then comes from these few rows.
+    Without it each result counts its own cell.
+    """
 
     def __init__(self, raw: DataFrame, cfg: SurveyConfig | None = None, materialize_data: bool = False):
-        """``materialize_data`` writes the answers once as Parquet in the
-        shared folder; every statistic then reads only its columns from it."""
         self.cfg = cfg or SurveyConfig()
         self._written: list[str] = []
+        self._cells: DataFrame | None = None
         if materialize_data:
-            raw, path = materialize_at(raw, "survey")
-            self._written = [path]
+            raw = self._keep(raw, "survey")
+            self._cells = self._keep(S.contingency(raw, self.all_cells(), self.cfg.frequency), "survey-cells")
         self.raw = raw
-        self.levels = S.level_maps(raw, PROFILE_LABELS)
+        self.levels = self._levels(PROFILE_LABELS)
         data = S.encode_maps(raw, self.levels)
         self.data = data
         self.commuters1, self.non_commuters = S.split_commuters(
             data, self.cfg.frequency, K.FREQUENCY_LABELS, self.cfg.non_commuter_level
         )
         self.non_commuters = self.non_commuters.select("Q1", "Q2", "Q3", "Q4")
-        self._commuters: DataFrame | None = None
+        self._commuter_levels: dict[str, dict] = {}
 
-    def close(self) -> None:
-        """Delete the written answers table (if any)."""
-        if self._written:
-            release(self.raw.sparkSession, self._written)
-            self._written = []
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        df, path = materialize_at(df, name)
+        self._written.append(path)
+        return df
 
+    def close(self) -> None:
+        """Delete the written tables (if any)."""
+        release(self.raw.sparkSession, self._written)
+        self._written = []
+
+    # -- cells ---------------------------------------------------------------
+    def all_cells(self) -> list[S.Cell]:
+        return [(q,) for q in FREQUENCIES] + list(CROSSTABS) + [(self.cfg.occupation, c) for c in BOXED]
+
+    def commuter_codes(self) -> list:
+        """The frequency codes of commuters (a null answer is none)."""
+        never = S.level_label(K.FREQUENCY_LABELS, self.cfg.non_commuter_level)
+        return [code for code, label in self.levels[self.cfg.frequency].items() if label != never]
+
+    def counts(self, cells: dict[S.Cell, str], commuters: bool = False) -> DataFrame:
+        """(name, row_code, col_code, n) of some cells, by their names here."""
+        counted = self._cells if self._cells is not None else S.contingency(self.raw, list(cells), self.cfg.frequency)
+        return S.cell_rows(counted, cells, self.commuter_codes() if commuters else None)
+
+    def _levels(self, labels: dict, commuters: bool = False) -> dict[str, dict]:
+        """V1 of several columns; from the cells where they are written."""
+        if self._cells is None:
+            return S.level_maps(self.commuters1 if commuters else self.raw, labels)
+        if commuters:
+            rows, code = self.counts({(self.cfg.occupation, c): c for c in labels}, True), "col_code"
+        else:
+            rows, code = self.counts({(c,): c for c in labels}), "row_code"
+        codes = rows.select(F.col("name").alias("col"), F.col(code).alias("code")).where(F.col("code").isNotNull())
+        return S.maps_from_codes(codes.distinct(), labels)
+
+    def _commuter_maps(self, labels: dict) -> dict[str, dict]:
+        if not set(labels) <= set(self._commuter_levels):
+            self._commuter_levels |= self._levels(labels, commuters=True)
+        return {c: self._commuter_levels[c] for c in labels}
+
+    def _label(self, code: str, question: str) -> Column:
+        """The label of a code column, as commuters carry it."""
+        if question == self.cfg.mode:
+            return S.code_label(code, self._commuter_maps({question: K.MODE_LABELS})[question])
+        return S.code_label(code, self.levels[question])
+
+    # -- tables --------------------------------------------------------------
     def commuters(self) -> DataFrame:
         """Commuters with transport mode labelled on the commuter subset
         (its level codes are read once per plan)."""
-        if self._commuters is None:
-            self._commuters = S.encode_levels(self.commuters1, self.cfg.mode, K.MODE_LABELS)
-        return self._commuters
+        return S.encode_maps(self.commuters1, self._commuter_maps({self.cfg.mode: K.MODE_LABELS}))
 
     def commuters_labelled(self) -> DataFrame:
         """Commuters with the mode and all ratings labelled, as the script
         leaves them (the level codes of all columns are read in one job)."""
-        return S.encode_many(self.commuters1, {self.cfg.mode: K.MODE_LABELS, **K.RATING_LABELS})
+        return S.encode_maps(self.commuters1, self._commuter_maps({self.cfg.mode: K.MODE_LABELS, **K.RATING_LABELS}))
 
     def frequency(self, col: str) -> DataFrame:
+        counts = self.counts({(col,): col}).where(F.col("row_code").isNotNull()).select(
+            F.col("row_code").cast(self.raw.schema[col].dataType).alias("code"), "n")
         if col == self.cfg.mode:
             # all respondents, raw codes, the first four codes form the total
-            return S.frequency_of_first(self.raw, col, K.MODE_LABELS)
-        return S.frequency_table(self.raw, col, self.levels[col])
+            return S.frequency_of_first_from(counts, K.MODE_LABELS)
+        return S.frequency_from(counts, col, self.levels[col])
 
     def crosstab(self, row: str, col: str) -> DataFrame:
-        return S.crosstab_counts(self.commuters(), row, col)
+        return self.counts({(row, col): row}, commuters=True).select(
+            self._label("row_code", row).alias(row), self._label("col_code", col).alias(col), F.col("n").alias("count"))
 
     def covariance(self, block: tuple[str, ...]) -> DataFrame:
         return S.pairwise_covariance(self.commuters1, block)
@@ -89,24 +140,35 @@ class SurveyPlan:
         return S.cronbach_alpha(self.commuters1, block, name)
 
     def bars(self) -> DataFrame:
-        return A.segmented_count(self.commuters1, [self.cfg.occupation])
+        occ = self.cfg.occupation
+        counts = self.counts({(occ,): occ}, commuters=True)
+        return counts.select(self._label("row_code", occ).alias(occ), F.col("n").alias("count"))
 
-    def box(self, value_col: str) -> DataFrame:
-        return S.box_stats(self.commuters1, [self.cfg.occupation], value_col)
+    def ratings(self, value_cols: tuple[str, ...] = BOXED) -> DataFrame:
+        """The histogram of rating columns by (occupation, rating); ``rating``
+        names the source column."""
+        occ = self.cfg.occupation
+        rows = self.counts({(occ, c): c for c in value_cols}, commuters=True).where(F.col("col_code").isNotNull())
+        return rows.select(self._label("row_code", occ).alias(occ), F.col("name").alias("rating"),
+                           F.col("col_code").cast("double").alias("value"), F.col("n").alias("weight"))
 
-    def boxes(self, value_cols: tuple[str, ...] = BOXED) -> DataFrame:
-        """A8 for many rating columns in one pass: melt, then one histogram
-        keyed by (occupation, column, value). Column ``rating`` names the
-        source column."""
+    def box(self, value_col: str) -> DataFrame:
         occ = self.cfg.occupation
-        long = S.melt(self.commuters1.select(occ, *value_cols), [occ], value_cols, "rating", "__value")
-        return S.box_stats(long, [occ, "rating"], "__value")
+        return S.box_stats_from(S.fenced(self.ratings((value_col,)).drop("rating"), [occ], K.WHISKER_IQR), [occ])
+
+    def fenced(self, value_cols: tuple[str, ...] = BOXED) -> DataFrame:
+        """The points of all box plots by occupation; box statistics and
+        outliers are both taken from it."""
+        points = S.fenced(self.ratings(value_cols), [self.cfg.occupation, "rating"], K.WHISKER_IQR)
+        return self._keep(points, "survey-points") if self._cells is not None else points
+
+    def boxes(self, points: DataFrame | None = None) -> DataFrame:
+        """A8 for all rating columns at once."""
+        return S.box_stats_from(points if points is not None else self.fenced(), [self.cfg.occupation, "rating"])
 
-    def outliers(self, value_cols: tuple[str, ...] = BOXED) -> DataFrame:
+    def outliers(self, points: DataFrame | None = None) -> DataFrame:
         """The outlying ratings of all box plots by occupation."""
-        occ = self.cfg.occupation
-        long = S.melt(self.commuters1.select(occ, *value_cols), [occ], value_cols, "rating", "__value")
-        return S.box_outliers(long, [occ, "rating"], "__value")
+        return S.box_outliers_from(points if points is not None else self.fenced(), [self.cfg.occupation, "rating"])
 
     def box_from(self, fused: DataFrame, value_col: str) -> DataFrame:
         """One column's box statistics out of ``boxes()``."""
@@ -134,6 +196,33 @@ def _plan(spark: SparkSession, d: str) -> SurveyPlan:
     return SurveyPlan(AD.survey(spark, d))
 
 
+def survey_contingency(p: SurveyPlan) -> DataFrame:
+    """All five frequency tables and four cross-tabs, from the cells of one
+    scan: (result, level, label, other, n, pct)."""
+    out = None
+    for q in FREQUENCIES:
+        part = p.frequency(q).select(F.lit(q).alias("result"), "level", "label", F.lit(None).cast("string").alias("other"), "n", "pct")
+        out = part if out is None else out.unionByName(part)
+    for a, b in CROSSTABS:
+        out = out.unionByName(p.crosstab(a, b).select(
+            F.lit(f"{a} x {b}").alias("result"), F.lit(None).cast("bigint").alias("level"), F.col(a).alias("label"), F.col(b).alias("other"),
+            F.col("count").alias("n"), F.lit(None).cast("double").alias("pct")))
+    return out
+
+
+PRICE_QUANTILES = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+
+
+def price_quantiles(spark: SparkSession, d: str, limit: int = 500) -> DataFrame:
+    """Exact quantiles of a continuous column: the extended price by return
+    flag, a group of which holds about half of all rows. ``limit`` makes the
+    larger groups take the ranges already on small tables."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", "l_extendedprice")
+    hist = S.histogram(rows, ["l_returnflag"], "l_extendedprice")
+    out = S.quantiles(hist, ["l_returnflag"], PRICE_QUANTILES, limit)
+    return out.select("l_returnflag", "n", *[F.round(c, 6).alias(c) for c in PRICE_QUANTILES])  # engines interpolate with other last bits
+
+
 def survey_queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "survey_labelled": lambda s, d: _plan(s, d).data,
@@ -157,6 +246,8 @@ def survey_queries() -> dict[str, Query]:
         "covariance_q10": lambda s, d: _plan(s, d).covariance(K.Q10_COLUMNS),
         "cronbach_q9": lambda s, d: _plan(s, d).reliability(K.Q9_COLUMNS, "Q9"),
         "cronbach_q10": lambda s, d: _plan(s, d).reliability(K.Q10_COLUMNS, "Q10"),
+        "survey_contingency": lambda s, d: survey_contingency(SurveyPlan(AD.survey(s, d), materialize_data=True)),
+        "price_quantiles": lambda s, d: price_quantiles(s, d),
         "bar_occupation": lambda s, d: _plan(s, d).bars(),
         "melt_q9": lambda s, d: _plan(s, d).melted(K.Q9_COLUMNS, Q9_ASPECT_MAP),
         "melt_q10": lambda s, d: _plan(s, d).melted(K.Q10_COLUMNS, Q10_ASPECT_MAP),
@@ -224,6 +315,18 @@ kept AS (SELECT lv.level, lv.label, rk.code, coalesce(rk.n, 0) AS n FROM lv LEFT
 SELECT level, label, code, n, round(100 * n / sum(n) OVER (), 2) AS pct FROM kept"""
 
 
+def _contingency_sql(labels: dict) -> str:
+    parts = []
+    for q, lab in labels.items():
+        pick = f"(SELECT {q} AS code, count(*) AS n FROM survey WHERE {q} IS NOT NULL GROUP BY {q} ORDER BY code LIMIT {len(lab)})"
+        parts.append(f"SELECT '{q}' AS result, row_number() OVER (ORDER BY code) AS level, {_list(lab)}[row_number() OVER (ORDER BY code)] AS label, "
+                     f"CAST(NULL AS VARCHAR) AS other, n, round(100 * n / sum(n) OVER (), 2) AS pct FROM {pick}")
+    for a, b in CROSSTABS:
+        parts.append(f"SELECT '{a} x {b}' AS result, CAST(NULL AS BIGINT) AS level, {a} AS label, {b} AS other, count(*) AS n, "
+                     f"CAST(NULL AS DOUBLE) AS pct FROM commuters GROUP BY {a}, {b}")
+    return " UNION ALL ".join(f"SELECT * FROM ({x})" for x in parts)
+
+
 def _cov_sql(block) -> str:
     from itertools import combinations
 
@@ -323,6 +426,12 @@ def survey_sql() -> dict[str, str]:
         "box_melted_q10": h + ", " + _melt_sql(K.Q10_COLUMNS, Q10_ASPECT_MAP) + ", "
         + _box_sql("melted", ["Occupation", "Aspects"], "Ratings"),
     }
+    labels = {"Q1": K.GENDER_LABELS, "Q2": K.AGE_LABELS, "Q3": K.OCCUPATION_LABELS, "Q4": K.FREQUENCY_LABELS, "Q5": K.MODE_LABELS}
+    out["survey_contingency"] = h + _contingency_sql(labels)
+    out["price_quantiles"] = (
+        "SELECT l_returnflag, count(l_extendedprice) AS n, " + ", ".join(
+            f"round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {q}), 6) AS {c}" for c, q in PRICE_QUANTILES.items())
+        + " FROM lineitem GROUP BY l_returnflag")
     for col in BOXED:
         out[f"box_{col.lower()}"] = h + ", " + _box_sql("commuters1", ["Q3"], col)
     return out

@@ -184,3 +184,55 @@ def test_crosstab_wide_fills_zero(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("a", "x")], "r string, c string")
     wide = {r.r: (r.x, r.y, r.z) for r in S.crosstab_wide(df, "r", "c", ["x", "y", "z"]).collect()}
     assert wide == {"a": (2, 1, 0), "b": (1, 0, 0)}
+
+
+def test_contingency_counts_all_cells_in_one_scan(spark):
+    rng = np.random.default_rng(8)
+    rows = [tuple(int(v) if v else None for v in r) for r in rng.integers(0, 4, size=(500, 3))]
+    df = _df(spark, ["a", "b", "q"], rows)
+    cells = S.contingency(df, [("a",), ("a", "b"), ("b", "q")], by="q")
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    got = {tuple(r) for r in S.cell_rows(cells, {("a",): "a", ("a", "b"): "ab"}, by_codes=[1, 2]).collect()}
+    want = {}
+    for a, b, q in rows:
+        if q in (1, 2):
+            want["a", a, None] = want.get(("a", a, None), 0) + 1
+            want["ab", a, b] = want.get(("ab", a, b), 0) + 1
+    assert got == {(*k, n) for k, n in want.items()}
+
+
+def test_a_wrong_number_of_codes_names_the_column(spark):
+    df = _df(spark, ["a", "b"], [(i % 2, i) for i in range(50)])
+    with pytest.raises(ValueError, match="^b: 50 distinct codes for 3 labels$"):
+        S.level_maps(df, {"a": ["x", "y"], "b": ["x", "y", "z"]})
+    with pytest.raises(ValueError, match="^a: 2 distinct codes for 1 labels; b: 50"):
+        S.level_maps(df, {"a": ["x"], "b": ["x", "y", "z"]})
+
+
+@pytest.mark.parametrize("limit", [1, 7, 10_000])
+def test_quantiles_of_a_hot_group_match_numpy(spark, limit):
+    rng = np.random.default_rng(9)
+    groups = {"hot": rng.normal(size=900), "few": np.repeat(rng.normal(size=3), 40), "one": np.array([4.0]), None: rng.normal(size=11)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", None)], "g string, v double").repartition(5)
+    probs = {"low": 0.0, "p10": 0.1, "mid": 0.5, "p99": 0.99, "top": 1.0}
+    out = S.quantiles(S.histogram(df, ["g"], "v"), ["g"], probs, limit)
+    assert "percentile" not in out._jdf.queryExecution().toString()
+    got = {r["g"]: r for r in out.collect()}
+    for g, vs in groups.items():
+        assert got[g]["n"] == len(vs)
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-12)
+    every = np.concatenate(list(groups.values()))
+    alone = S.quantiles(S.histogram(df, [], "v"), [], probs, limit).collect()
+    assert [alone[0][p] for p in probs] == pytest.approx([np.quantile(every, p) for p in probs.values()])
+
+
+def test_running_totals_over_ranges(spark):
+    from faretrail.operators.ordered import running_total
+
+    rows = [(g, i, i % 5) for g in ("a", "b", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, i int, w int").repartition(4)
+    for limit in (10, 1000):
+        got = {(r["g"], r["i"]): r["t"] for r in running_total(df, ["g"], ["i"], "w", "t", limit, ranges=7).collect()}
+        assert got == {(g, i): sum(j % 5 for j in range(i)) for g, i, _ in rows}
