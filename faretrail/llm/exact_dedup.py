@@ -155,9 +155,9 @@ def exact_dedup(docs: DataFrame, average: int = 1024, longest: int = 16384, bits
     combined before the shuffle.
 
     A null text counts as empty; all empty texts are one group. Rows with the
-    same id and an equal text are one document, counted as often as it stands
-    in ``group_size``. A null id stays only in a group without other ids (then
-    ``keep_id`` is null). Other columns are not read; an empty table gives an
+    same id and an equal text are returned as often as they stand, and all of
+    them are kept if their id is the largest. A null id stays only in a group
+    without other ids (then ``keep_id`` is null). Other columns are not read; an empty table gives an
     empty result. ``bits`` shortens the fingerprints (tests of collisions).
     """
     spark = docs.sparkSession
@@ -171,18 +171,25 @@ def exact_dedup(docs: DataFrame, average: int = 1024, longest: int = 16384, bits
     )
     ready = scratch.keep(_verified(texts, rows, scratch, options))
     groups = ready.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return ready.join(groups, "recipe").select(
+    once = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    return ready.join(groups, "recipe").withColumn("time", once).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """One row of ``docs``, with its columns, per group of equal texts. The
-    texts are shuffled once, by (id, text digest)."""
-    kept = exact_dedup(docs, **options).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
-    sha = F.sha2(_ascii_lower(F.coalesce(docs["text"], F.lit(""))).cast("binary"), 256)
-    keyed = docs.withColumn("_key", _row_key(docs["doc_id"], sha))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    """One row of ``docs``, with its columns, per group of equal texts.
+
+    The row with the largest id stays; of repeated rows with that id and text
+    one stays, a null text is empty, and a null id stays only where its group
+    has no other. An empty table gives no rows. The texts are shuffled once, by
+    (id, text digest), packed with their other columns as one value, so these
+    may have any names.
+    """
+    kept = exact_dedup(docs, **options).where("kept").select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    sha = F.sha2(_ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), _row_key(F.col("doc_id"), sha).alias("key"))
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")
 
 
 def _row_key(doc_id, sha):
@@ -200,6 +207,6 @@ WITH t AS (
 ), g AS (
   SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm
 )
-SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id IS NOT DISTINCT FROM g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g USING (norm)
 """

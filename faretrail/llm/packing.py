@@ -18,6 +18,8 @@ from faretrail.llm.common import Scratch, prepare
 ITERATIONS = 300
 #: Items left over from the rounds that are packed largest first.
 TAIL = 20_000
+#: A round that places less than this share of the items is the last one.
+WORTH = 0.03
 #: Texts made of these characters only are split into words alike by both
 #: tokenizer libraries (tested for each of them); others go the slow way.
 _PLAIN = "\t\n\r" + "".join(map(chr, range(32, 127))) + "".join(map(chr, range(0xA1, 0x250)))
@@ -177,17 +179,38 @@ def fractional_cover(left: np.ndarray, capacity: int, iterations: int, step: flo
     return [(c, a / top) for c, a in out]
 
 
-def plan_configurations(histogram: dict[int, int], capacity: int, tail: int = TAIL) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence's pieces, number of such sequences), using up the
-    histogram exactly. Work and size depend on ``capacity``, not on the counts.
+def _fill(counts: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
+    """``counts`` as far as they last, with the largest lengths that still fit."""
+    counts = np.minimum(counts, left)
+    room = capacity - int(counts @ np.arange(capacity + 1))
+    for length in np.flatnonzero(left[: room + 1] > counts[: room + 1])[::-1]:
+        k = min(room // length, left[length] - counts[length])
+        counts[length] += k
+        room -= k * length
+        if not room:
+            break
+    return counts
 
-    Rounds of the fractional solution are rounded down and the rest is solved
-    again; what is left under ``tail`` items, or when rounding yields nothing,
-    is packed largest first, each time with the largest lengths that still fit.
+
+def plan_configurations(
+    histogram: dict[int, int], capacity: int, tail: int = TAIL
+) -> tuple[list[tuple[tuple[int, ...], int]], float]:
+    """(lengths of a sequence's pieces, number of such sequences), using up the
+    histogram exactly, and the share of its items that configurations of the
+    program placed. Work and size depend on ``capacity``, not on the counts.
+
+    A round solves the fractional program over all that is left and uses every
+    configuration the whole part of its amount. What a round leaves is solved
+    again. In the last round, over at most ``tail`` items (the only one of a
+    small histogram), configurations are also used once more by falling
+    fraction while the fractions last, where their items have become scarce
+    filled up with the largest that fit. The rest, and what a round that
+    places less than ``WORTH`` leaves, is packed largest first.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         left[length] += n
+    items = max(1, int(left.sum()))
     plan: list[tuple[tuple[int, ...], int]] = []
 
     def use(counts: np.ndarray, n: int) -> None:
@@ -199,26 +222,33 @@ def plan_configurations(histogram: dict[int, int], capacity: int, tail: int = TA
         whole = np.zeros(capacity + 1, dtype=np.int64)
         whole[capacity] = 1
         use(whole, left[capacity])
-    while left.sum() > tail:
+    last = False
+    while left.any() and not last:
         before = left.sum()
-        for counts, amount in fractional_cover(left, capacity, ITERATIONS, 0.25, 4.0):
+        last = before <= tail
+        iterations = min(ITERATIONS, 20 + 2 * int(np.count_nonzero(left)))
+        amounts: dict[bytes, tuple[np.ndarray, float]] = {}
+        for counts, amount in fractional_cover(left, capacity, iterations, 0.25, 4.0):
+            key = counts.tobytes()
+            amounts[key] = (counts, amount + (amounts[key][1] if key in amounts else 0.0))
+        for counts, amount in amounts.values():
             used = np.flatnonzero(counts)
             n = min(int(amount), int((left[used] // counts[used]).min()))
             if n:
                 use(counts, n)
-        if left.sum() > 0.97 * before:
+        if not last and left.sum() > (1 - WORTH) * before:
             break
+        if last:
+            once = sorted((a - int(a), k) for k, (_, a) in amounts.items())[::-1]
+            for fraction, key in once[: round(sum(f for f, _ in once))]:
+                if left.any():
+                    use(_fill(amounts[key][0], left, capacity), 1)
+    share = 1 - int(left.sum()) / items
     while left.any():
-        counts, room = np.zeros(capacity + 1, dtype=np.int64), capacity
-        for length in np.flatnonzero(left)[::-1]:
-            k = min(room // length, left[length])
-            counts[length] += k
-            room -= k * length
-            if not room:
-                break
+        counts = _fill(np.zeros(capacity + 1, dtype=np.int64), left, capacity)
         used = np.flatnonzero(counts)
         use(counts, int((left[used] // counts[used]).min()))
-    return plan
+    return plan, share
 
 
 def _slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple]:
@@ -263,7 +293,7 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = 2048, salts: int =
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    rows = _slots(plan_configurations(histogram, capacity))
+    rows = _slots(plan_configurations(histogram, capacity)[0])
     slots = spark.createDataFrame(rows, "length long, lo long, hi long, per long, base long, places array<long>")
     at = F.col("rank") - F.col("lo")
     return (
