@@ -19,6 +19,7 @@ from ..operators import cleaning as C
 from ..operators import transfers as T
 from ..sources import adapters as AD
 from ..sources.snapshots import latest_snapshot, snapshot_text
+from . import files_plan as FP
 from . import journey_reports as JR
 from . import oracle as O
 from . import survey_plan as SP
@@ -244,6 +245,7 @@ def queries(cfg: JourneyConfig) -> dict[str, Query]:
         **journey_report_queries(cfg),
         **card_queries(),
         **SP.survey_queries(),
+        **FP.file_queries(cfg),
     }
 
 
@@ -253,4 +255,5 @@ def oracle_sql(cfg: JourneyConfig) -> dict[str, str]:
         **O.journey_report_sql(cfg),
         **card_sql(),
         **SP.survey_sql(),
+        **FP.file_sql(cfg, card_sql()),
     }
