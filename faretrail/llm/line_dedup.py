@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretrail.llm import textops as X
-from faretrail.llm.common import Scratch, prepare, semi_join
+from faretrail.llm.common import Scratch, prepare, semi_join, skew_join
 from faretrail.llm.prefix_filter import Rule, rarest_first, rarity, shared_prefix_counts
 
 #: Tokens to share per mille of a line's size in the first stage.
@@ -149,9 +149,11 @@ def line_decisions(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80
     found = texts.mapInArrow(_set_rows(k), "key binary, toks array<long>").where("size(toks) > 0")
     sets = scratch.keep(found.join(able, "key").dropDuplicates(["id"]).select("id", "n", "toks", "first", "copies"))
     matched = able.select("id", "key").join(_Join(sets, rule, scratch).run(), "id").select("key", F.lit(True).alias("matched"))
-    fate = classes.select("key", "first").join(matched, "key", "left")
+    fate = scratch.keep(classes.select("key", "first", "copies").join(matched, "key", "left"))
     removed = F.coalesce("matched", F.lit(False)) | (place != F.col("first"))
-    return rows.join(fate, "key", "left").select("doc_id", "line", "n", F.when(F.col("n") > 0, removed).otherwise(False).alias("removed"))
+    some = skew_join(rows.where("n > 0").select("doc_id", "line", "n", "key"), fate, "key", "copies", rows.count())
+    none = rows.where("n = 0").select("doc_id", "line", "n", F.lit(False).alias("removed"))
+    return some.select("doc_id", "line", "n", removed.alias("removed")).union(none)
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:
@@ -172,11 +174,15 @@ def line_dedup(docs: DataFrame, **options) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with its columns; texts lose their removed lines."""
-    gone = line_dedup(docs, **options).where("n_removed > 0").select(F.col("doc_id").alias("_d"), F.col("removed").alias("_r"))
-    parts = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_r", i)), "\n")
-    return (
-        docs.join(gone, docs["doc_id"].eqNullSafe(gone["_d"]), "left")
-        .withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
-    )
+    """``docs`` with its columns, of any names; texts lose their removed lines.
+
+    A null text stays null. Rows that share an id (null ids are one) lose the
+    lines that ``line_dedup`` removes for it. An empty table gives no rows.
+    """
+    gone = line_dedup(docs, **options).where("n_removed > 0").select(F.col("doc_id").alias("id"), "removed")
+    packed = docs.select(F.struct(*docs.columns).alias("doc"))
+    parts = F.split("doc.text", "\n", -1)
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(left).alias("text")
+    joined = packed.join(gone, F.col("doc.doc_id").eqNullSafe(F.col("id")), "left")
+    return joined.select(*[text if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretrail.llm import textops as X
-from faretrail.llm.common import Scratch, prepare, semi_join
+from faretrail.llm.common import prepare, Scratch, semi_join, skew_join
 from faretrail.llm.graph import connected_components
 from faretrail.llm.prefix_filter import Rule, rarest_first, rarity, shared_prefix_counts
 
@@ -242,7 +242,7 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = [("doc_id", "long", pa.int64()), ("n", "int", pa.int32()), ("key", "binary", pa.binary())]
     rows, counts = shared_prefix_counts(src, fields, _records(k, rule), scratch)
-    classes = rows.where("n > 0").groupBy("key").agg(F.first("owner").alias("owner"), F.first("n").cast("long").alias("n"), F.min("doc_id").alias("rep"))
+    classes = rows.where("n > 0").groupBy("key").agg(F.first("owner").alias("owner"), F.first("n").cast("long").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # a partner may be smaller, and then has to match fewer tokens
     able = classes.join(counts, "owner").where(F.col("shared") >= rule.c_matches(rule.c_least(F.col("n"))))
     tie = Window.partitionBy("owner").orderBy("key")
@@ -253,13 +253,17 @@ def ngram_components(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
         .dropDuplicates(["id"]).select("id", "n", "toks")
     )
     comps = _Join(sets, rule, scratch).run()
-    node = classes.select("key", "rep").join(able.select("key", "id"), "key", "left").join(comps, "id", "left")
-    first = node.where("comp is not null").groupBy("comp").agg(F.min("rep").alias("first"))
-    named = scratch.keep(node.join(first, "comp", "left").select("key", F.coalesce("first", "rep").alias("component_id")))
-    return rows.join(named, "key", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    node = scratch.keep(classes.select("key", "rep", "copies").join(able.select("key", "id"), "key", "left").join(comps, "id", "left"))
+    grouped = node.where("comp is not null").select("key", "rep", "copies", "comp")
+    first = grouped.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
+    named = scratch.keep(
+        skew_join(grouped, first, "comp", "members", node.count()).select("key", "copies", "component_id")
+        .union(node.where("comp is null").select("key", "copies", F.col("rep").alias("component_id")))
     )
+    some = skew_join(rows.where("n > 0").select("doc_id", "n", "key"), named, "key", "copies", rows.count())
+    none = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return some.select("doc_id", "n", "component_id").union(none).select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from faretrail.llm import textops as X
 from faretrail.llm.common import Scratch
 
-#: Packed arrays that one map task's postings are dealt to.
+#: Packed arrays that one map task's postings are dealt to, at least; an input
+#: of many partitions has one for each eight of them.
 BUCKETS = 512
 #: Postings that a map task holds before it sends them.
 HELD = 3_000_000
@@ -116,7 +117,7 @@ def _counted(owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(owners, return_counts=True)
 
 
-def _shared_count(fields: list[pa.Field], records: Callable[[pa.RecordBatch], Iterator[Records]]):
+def _shared_count(fields: list[pa.Field], records: Callable[[pa.RecordBatch], Iterator[Records]], buckets: int):
     names = ["route", "owner", "count", "tok", "own", "flag"]
     extra = [f.name for f in fields]
 
@@ -130,21 +131,23 @@ def _shared_count(fields: list[pa.Field], records: Callable[[pa.RecordBatch], It
         _, tokens, owners, first, shared = _groups(np.concatenate(held.tokens), np.concatenate(held.owners))
         whose, counts = _counted(owners[np.repeat(shared, np.diff(np.r_[first, len(tokens)]))])
         if len(whose):  # seen here under two owners: settled for all of them
-            yield rows(len(whose), route=pa.array((whose % np.uint64(BUCKETS)).astype(np.int64)), owner=pa.array(whose.view(np.int64)), count=pa.array(counts))
+            yield rows(len(whose), route=pa.array((whose % np.uint64(buckets)).astype(np.int64)), owner=pa.array(whose.view(np.int64)), count=pa.array(counts))
         tokens, owners = tokens[first], owners[first]
-        bucket = (tokens >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-        edge = np.searchsorted(bucket, np.arange(BUCKETS + 1))
+        bucket = (tokens >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
+        edge = np.searchsorted(bucket, np.arange(buckets + 1))
         some = np.flatnonzero(np.diff(edge))
         pack = lambda a: pa.array([a[edge[k] : edge[k + 1]].tobytes() for k in some], pa.binary())
         yield rows(len(some), route=pa.array(some), tok=pack(tokens), own=pack(owners), flag=pack(shared))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held()
+        held, sent = _Held(), 0
         for whole in batches:
             for columns, owners, tokens, record in records(whole):
-                if len(owners):
+                if len(owners):  # records pass the reply as they are: dealt evenly, whatever their sets
+                    turn = (np.arange(len(owners), dtype=np.int64) + sent) % buckets
+                    sent += len(owners)
                     yield rows(
-                        len(owners), route=pa.array((owners % np.uint64(BUCKETS)).astype(np.int64)), owner=pa.array(owners.view(np.int64)),
+                        len(owners), route=pa.array(turn), owner=pa.array(owners.view(np.int64)),
                         **dict(zip(extra, columns)),
                     )
                 held.add(owners, tokens, record)
@@ -186,7 +189,8 @@ def shared_prefix_counts(
     (``owner`` and ``fields``: name, SQL type, Arrow type), and per owner the
     posted tokens that other owners posted too (too high a count is possible
     for sets met in several tasks, too low a one is not)."""
-    post, reply = _shared_count([pa.field(n, t) for n, _, t in fields], records)
+    buckets = 1 << (max(BUCKETS, src.rdd.getNumPartitions() // 8) - 1).bit_length()
+    post, reply = _shared_count([pa.field(n, t) for n, _, t in fields], records, buckets)
     own = "".join(f", {n} {sql}" for n, sql, _ in fields)
     sent = src.mapInArrow(post, "route long, owner long, count long, tok binary, own binary, flag binary" + own)
     out = scratch.keep(sent.repartition("route").mapInArrow(reply, "owner long, count long" + own))
