@@ -29,19 +29,24 @@ from .survey_plan import CROSSTABS, FREQUENCIES, Q9_ASPECT_MAP, Q10_ASPECT_MAP,
 
 def journey_job(raw: DataFrame, out_dir: str, cfg: JourneyConfig | None = None,
                 materialize_bases: bool = True, single_file_csv: bool = False,
-                show_kpis: bool = False) -> dict[str, str]:
+                show_kpis: bool = False, one_file: bool = False) -> dict[str, str]:
     """All journey reports from one cleaned table; each written with the
     reference's sink: JSON documents (one job for all), ``|`` delimited
     files for the stop-by-time reports (part files written in parallel;
     ``single_file_csv`` gathers each into one file as the reference does),
     JSON lines for the mode-by-time reports. ``show_kpis`` also prints the
-    peak / off-peak totals to the console."""
+    peak / off-peak totals to the console; ``one_file`` joins the parts of each
+    document into ``documents/<name>.json``."""
     suite = JourneySuite(raw, cfg, materialize_bases=materialize_bases)
     if show_kpis:
         suite.report("r47_offpeak_kpis").show()
         suite.report("r48_peak_kpis").show()
     written = {"documents": sinks.write_documents_from_lines(
         suite.document_lines(), os.path.join(out_dir, "documents"), suite.document_names())}
+    if one_file:
+        for name in suite.document_names():
+            folder = os.path.join(written["documents"], f"report={name}")
+            written[name] = sinks.one_file(raw.sparkSession, folder, os.path.join(written["documents"], f"{name}.json"))
     for r in REPORTS:
         if r.sink == "csv":
             written[r.name] = os.path.join(out_dir, r.name + ".csv")

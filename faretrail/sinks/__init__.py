@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize_at, release
@@ -153,6 +153,50 @@ def write_documents_from_lines(lines: DataFrame, folder: str, names: Sequence[st
     return folder
 
 
+#: What a Hadoop file system answers if it can join files without moving bytes.
+_CONCAT = "fs.capability.paths.concat"
+
+
+def one_file(spark: SparkSession, folder: str, target: str) -> str:
+    """K1/K2: the text parts of ``folder``, in name order, as the one file
+    ``target``, as the reference writes each report; the folder is deleted.
+
+    The parts are written by many tasks. Where the store can concatenate (HDFS)
+    they are joined by its metadata and no byte moves. Elsewhere one task
+    streams them in order (sorted by file and place, so it may spill, and never
+    holds the file); nothing passes through the driver. A folder without
+    parts gives an empty file; an existing ``target`` raises.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(folder).getFileSystem(conf)
+    if fs.exists(path(target)):
+        raise FileExistsError(target)
+    parts = sorted(s.getPath().toString() for s in fs.listStatus(path(folder))
+                   if s.getPath().getName().startswith("part-") and s.getLen())
+    if len(parts) > 1 and not fs.hasPathCapability(path(folder), _CONCAT):
+        place = [F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+                 F.monotonically_increasing_id().alias("__row")]  # rising within a block
+        lines = spark.read.option("lineSep", "\n").text(folder).select("value", *place)
+        joined = folder.rstrip("/") + ".joined"
+        lines.repartition(1).sortWithinPartitions("__file", "__block", "__row").select("value").write.option("lineSep", "\n").text(joined)
+        release(spark, [folder])
+        folder = joined
+        parts = [s.getPath().toString() for s in fs.listStatus(path(folder)) if s.getPath().getName().startswith("part-")]
+    fs.mkdirs(path(target).getParent())
+    if not parts:
+        fs.create(path(target)).close()
+    elif not fs.rename(path(parts[0]), path(target)):
+        raise OSError(f"cannot rename {parts[0]} to {target}")
+    if len(parts) > 1:
+        rest = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts) - 1)
+        for i, p in enumerate(parts[1:]):
+            rest[i] = path(p)
+        fs.concat(path(target), rest)
+    release(spark, [folder])
+    return target
+
+
 def save_results(results: Mapping[str, DataFrame], folder: str, mode: str = "errorifexists") -> dict[str, str]:
     """K5: every named result as Parquet under ``folder/<name>``."""
     written = {}

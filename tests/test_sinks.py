@@ -93,3 +93,26 @@ def test_row_index_over_many_ranges(spark, many_ranges):
     got = [(r.row, r.k, r.id) for r in sinks.with_row_index(df, ["k"]).collect()]
     assert sorted(r[0] for r in got) == list(range(1, 301))
     assert [k for _, k, _ in sorted(got)] == sorted(i % 10 for i in range(300))
+
+
+def test_many_parts_become_one_valid_file(spark, tmp_dir, many_ranges):
+    import json
+
+    df = spark.range(2000).selectExpr("id % 7 AS k", "1000 - id AS n", "'a\\r\\u2028b' AS s").repartition(5)
+    folder = os.path.join(tmp_dir, "r.json")
+    sinks.write_info_json(df, folder, order_by=["n"])
+    assert len(_part(folder)) > 1
+    want = document(folder)
+    target = sinks.one_file(spark, folder, os.path.join(tmp_dir, "out", "r.json"))
+    assert os.path.isfile(target) and not os.path.exists(folder)
+    with open(target) as f:
+        got = json.load(f)["Info"]
+    assert got == want and [r["n"] for r in got] == list(range(-999, 1001))
+    empty = os.path.join(tmp_dir, "empty.json")
+    sinks.write_info_json(df.where("n > 5000"), empty)
+    with open(sinks.one_file(spark, empty, os.path.join(tmp_dir, "out", "empty.json"))) as f:
+        assert json.load(f) == {"Info": []}
+    again = os.path.join(tmp_dir, "again.json")
+    sinks.write_info_json(df.limit(1), again)
+    with pytest.raises(FileExistsError):
+        sinks.one_file(spark, again, target)
