@@ -37,9 +37,9 @@ def _ascending(order: Sequence[str]) -> list[Column]:
 
 
 def large_groups(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
-    """The groups (no null in ``by``) with more than ``limit`` rows, written."""
+    """The groups (no null in ``by``) with more than ``limit`` rows."""
     sizes = df.where(~_nameless(by)).groupBy(*by).agg(F.count(F.lit(1)).alias(_ROW))
-    return materialize_at(sizes.where(F.col(_ROW) > limit).select(*by), "large-groups")[0]
+    return sizes.where(F.col(_ROW) > limit).select(*by)
 
 
 def previous_row(df: DataFrame, by: Sequence[str], order: Sequence[str], carry: Sequence[str],
@@ -54,7 +54,7 @@ def previous_row(df: DataFrame, by: Sequence[str], order: Sequence[str], carry:
     large = large_groups(df, by, limit)
     if large.isEmpty():
         return _by_group(df, by, order, carry, out_col)
-    keys = F.broadcast(large)
+    keys = F.broadcast(materialize_at(large, "large-groups")[0])
     few = _by_group(df.join(keys, list(by), "left_anti"), by, order, carry, out_col)
     many = by_ranges(df.join(keys, list(by), "left_semi"), by, order, carry, out_col)
     return few.unionByName(many)

@@ -2,8 +2,8 @@
 
 Independent of the Spark plans: the journey window here is the reference's
 (one window per tag-on date, ordered by card, time, id), while the Spark plan
-splits by card and time slice; reports are plain filtered GROUP BYs, while
-Spark computes them from fused aggregates.
+takes the previous row per card and date; reports are plain filtered GROUP BYs,
+while the suite picks them from grouping sets.
 """
 
 from __future__ import annotations
