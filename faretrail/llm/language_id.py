@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretrail.llm import textops as X
@@ -183,24 +183,32 @@ class ByteBiGRU:
 
 def train(
     labelled: DataFrame, per_label: int = 400, excerpt: int = 384, window: int = 64, hidden: int = 10,
-    steps: int = 500, seed: int = 5,
+    steps: int = 500, seed: int = 5, most_labels: int = 256,
 ) -> ByteBiGRU | None:
     """Fit a network on rows of (doc_id, text, lang).
 
-    The sample is bounded: about ``per_label`` documents of each label, picked
-    by a hash of their text, and of each an excerpt of ``excerpt`` characters
-    from a place picked likewise, cut into windows of ``window`` bytes. None if
-    there is no labelled text.
+    The sample is bounded: at most ``per_label`` different texts of each of the
+    ``most_labels`` most frequent labels, picked by a hash of the text (copies
+    of a text teach once, however many there are), and of each an excerpt of
+    ``excerpt`` characters from a place picked likewise, cut into windows of
+    ``window`` bytes. None if there is no labelled text.
     """
-    known = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
-    counts = known.groupBy("lang").count().withColumn("rate", F.lit(float(per_label)) / F.col("count"))
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    known = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'").withColumn("code", F.xxhash64("text", F.lit(seed)))
+    # twice the rate that the estimated number of different texts asks for, then exactly the first of them
+    counts = (
+        known.groupBy("lang").agg(F.approx_count_distinct("code").alias("texts"), F.count("*").alias("rows"))
+        .orderBy(F.desc("rows"), "lang").limit(most_labels)
+        .withColumn("rate", F.lit(2.0 * per_label) / F.col("texts"))
+    )
+    draw = F.pmod("code", F.lit(1 << 30)).cast("double") / float(1 << 30)
     room = F.greatest(F.length("text") - excerpt, F.lit(0)) + 1
-    sample = (
+    part = F.substring("text", (F.pmod(F.xxhash64("text", F.lit(seed + 1)), room) + 1).cast("int"), F.lit(excerpt))
+    drawn = (
         known.join(F.broadcast(counts.select("lang", "rate")), "lang").where(draw < F.col("rate"))
-        .select("lang", F.substring("text", (F.pmod(F.xxhash64("text", F.lit(seed + 1)), room) + 1).cast("int"), F.lit(excerpt)).alias("part"))
-        .orderBy("lang", "part").collect()
+        .groupBy("lang", "code").agg(F.min(part).alias("part"))
     )
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("code"))
+    sample = drawn.withColumn("nth", nth).where(F.col("nth") <= per_label).select("lang", "part").orderBy("lang", "part").collect()
     labels = sorted({r["lang"] for r in sample})
     if not labels:
         return None
