@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from faretrail.llm.common import Scratch, prepare
 from faretrail.llm.graph import connected_components
@@ -35,18 +36,19 @@ def _rows(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, vecs = b.column(0), _rows(b.column(1))
-        known = np.asarray(ids.is_valid())
-        key = [
-            hashlib.blake2b(v.tobytes(), digest_size=16).digest() if v is not None and known[i] else None
-            for i, v in enumerate(vecs)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(key, pa.binary()), pa.array([v.tobytes() if k is not None else None for v, k in zip(vecs, key)], pa.binary())],
-            names=["vec_id", "key", "vec"],
-        )
+def _keyed(kind: str):
+    """Rows of (id, key, vector's bytes); ``kind`` is the type of the table's
+    entries, so that no byte is moved that it does not have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, vecs = b.column(0), _rows(b.column(1))
+            known = np.asarray(ids.is_valid())
+            raw = [v.astype(kind).tobytes() if v is not None and known[i] else None for i, v in enumerate(vecs)]
+            key = [hashlib.blake2b(r, digest_size=16).digest() if r is not None else None for r in raw]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(key, pa.binary()), pa.array(raw, pa.binary())], names=["vec_id", "key", "vec"])
+
+    return run
 
 
 def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
@@ -58,14 +60,14 @@ def plan_tables(n: int, threshold: float, recall: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1.0 - recall) / math.log(1.0 - hit)))
 
 
-def _signer(bits: int, tables: int, seed: int):
+def _signer(bits: int, tables: int, seed: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         weights = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
             sigs, dims = [], []
             for raw in b.column(2).to_pylist():
-                v = np.frombuffer(raw)
+                v = np.frombuffer(raw, kind).astype(np.float64)
                 if len(v) not in planes:
                     planes[len(v)] = np.random.default_rng(seed).standard_normal((tables * bits, len(v)))
                 side = planes[len(v)] @ (v / np.abs(v).max()) > 0
@@ -92,20 +94,20 @@ def _local_components(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
         label = nxt
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     empty = pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "near": pa.array([], pa.int64())})
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        table, lo, hi = key[1].as_py(), key[3].as_py(), key[4].as_py()
+        lo, hi = key[3].as_py(), key[4].as_py()
         group = group.combine_chunks()
         ids = group.column("id").to_numpy()
         order = np.argsort(ids)  # a group's first row is its smallest id
         ids = ids[order]
         weight = group.column("n").to_numpy()[order]
         raw = group.column("vec").to_pylist()
-        vecs = np.stack([np.frombuffer(raw[o]) for o in order])
+        vecs = np.stack([np.frombuffer(raw[o], kind) for o in order]).astype(np.float64)
         vecs = vecs / np.abs(vecs).max(axis=1, keepdims=True)
-        sigs = np.array(group.column("sigs").to_pylist(), dtype=np.int64)[order]
+        earlier = np.array(group.column("earlier").to_pylist(), dtype=np.int64)[order]
         norm = np.sqrt((vecs * vecs).sum(axis=1))
         if lo == hi:
             cos = (vecs @ vecs.T) / np.outer(norm, norm)
@@ -118,7 +120,7 @@ def _compare(threshold: float):
             cos = (vecs[p] @ vecs[q].T) / np.outer(norm[p], norm[q])
             a, b = np.nonzero(cos >= threshold)
             i, j = p[a], q[b]
-        fresh = ~(sigs[i, :table] == sigs[j, :table]).any(axis=1)  # not met in an earlier table
+        fresh = ~(earlier[i] == earlier[j]).any(axis=1)  # not met in an earlier table
         i, j = i[fresh], j[fresh]
         if not len(i):
             return empty
@@ -163,8 +165,10 @@ def embedding_neardup(
     spark = vectors.sparkSession
     prepare(spark)
     scratch = Scratch(spark, "embedding-neardup")
-    src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    keyed = src.mapInArrow(_keyed, "vec_id long, key binary, vec binary")
+    entries = vectors.schema[vector_col].dataType.elementType
+    kind = "float32" if isinstance(entries, FloatType) else "float64"
+    src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if kind == "float32" else "array<double>").alias("v"))
+    keyed = src.mapInArrow(_keyed(kind), "vec_id long, key binary, vec binary")
     classes = scratch.keep(
         keyed.where("key is not null").groupBy("key")
         .agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("vec").alias("vec"))
@@ -172,7 +176,7 @@ def embedding_neardup(
     bits, tables = plan_tables(classes.count(), threshold, recall)
     signed = scratch.keep(
         classes.select("id", "n", "vec").mapInArrow(
-            _signer(bits, tables, seed), "id long, n long, vec binary, dim int, sigs array<long>"
+            _signer(bits, tables, seed, kind), "id long, n long, vec binary, dim int, sigs array<long>"
         )
     )
     buckets = (
@@ -187,11 +191,11 @@ def embedding_neardup(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumn("lo", F.least("part", "other"))
         .withColumn("hi", F.greatest("part", "other"))
-        .select("dim", "tab", "bucket", "lo", "hi", "part", "id", "n", "vec", "sigs")
+        .select("dim", "tab", "bucket", "lo", "hi", "part", "id", "n", "vec", F.slice("sigs", F.lit(1), F.col("tab")).alias("earlier"))
     )
     found = scratch.keep(
         members.groupBy("dim", "tab", "bucket", "lo", "hi")
-        .applyInArrow(_compare(threshold), "id long, links long, near long")
+        .applyInArrow(_compare(threshold, kind), "id long, links long, near long")
     )
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("id").alias("a"), F.col("near").alias("b")), scratch)
