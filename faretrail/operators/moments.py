@@ -3,8 +3,9 @@
 One aggregate expression per column pair suits a block of a few ratings; 300
 columns have 44,850 pairs, which no generated aggregate holds. Here each task
 multiplies its rows block by block (numpy, exact whole numbers) and returns one
-row per pair, (i, j, n, si, sj, sij); the pairs are then added in
-DECIMAL(38,0). What is shuffled depends on tasks and columns, not on rows.
+row per pair, (i, j, n, si, sj, sij, rows); the pairs are then added in
+DECIMAL(38,0). What is shuffled depends on tasks and columns, not on rows. The
+rows are read once: every pair brings the number of all rows with it.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import compiled_projections, materialize
 from .survey import EXACT, _integral
 
-_SCHEMA = "i int, j int, n long, si long, sj long, sij long"
+_SUMS = ("n", "si", "sj", "sij", "rows")
+_SCHEMA = "i int, j int, " + ", ".join(f"{c} long" for c in _SUMS)
 _ROOM = 1 << 62
 
 
@@ -33,15 +36,16 @@ def _product(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
 def _pair_sums(k: int):
     upper = np.triu_indices(k)
 
-    def rows(n, s, p) -> pa.RecordBatch:
+    def rows(n, s, p, seen) -> pa.RecordBatch:
         i, j = upper
         return pa.RecordBatch.from_arrays(
-            [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(n[i, j]), pa.array(s[i, j]), pa.array(s[j, i]), pa.array(p[i, j])],
-            names=["i", "j", "n", "si", "sj", "sij"])
+            [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(n[i, j]), pa.array(s[i, j]), pa.array(s[j, i]), pa.array(p[i, j]),
+             pa.array(np.full(len(i), seen, np.int64))],
+            names=["i", "j", *_SUMS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zero = lambda: np.zeros((k, k), np.int64)
-        n, s, p, bound = zero(), zero(), zero(), 0
+        n, s, p, seen, bound = zero(), zero(), zero(), 0, 0
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
@@ -52,25 +56,28 @@ def _pair_sums(k: int):
                 if grown >= _ROOM:
                     raise OverflowError("products of these columns do not fit 64 bits")
                 if bound + grown >= _ROOM:
-                    yield rows(n, s, p)
-                    n, s, p, bound = zero(), zero(), zero(), 0
+                    yield rows(n, s, p, seen)
+                    n, s, p, seen, bound = zero(), zero(), zero(), 0, 0
                 n += _product(known, known, 1)
                 s += _product(x, known, most)
                 p += _product(x, x, most * most)
+                seen += len(x)
                 bound += grown
-        yield rows(n, s, p)
+        yield rows(n, s, p, seen)
 
     return run
 
 
 def pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(i, j, n, si, sj, sij) of every column pair i <= j (places in ``cols``),
-    over the rows where both are present; sums are DECIMAL(38,0)."""
+    """(i, j, n, si, sj, sij, rows) of every column pair i <= j (places in
+    ``cols``), over the rows where both are present, and the number of all
+    rows; sums are DECIMAL(38,0). The sums are written out here, by one job."""
     if not _integral(df, cols):
         raise TypeError("pair_sums takes integer columns")
     longs = df.select(*[F.col(c).cast("long").alias(f"c{i}") for i, c in enumerate(cols)])
     parts = longs.mapInArrow(_pair_sums(len(cols)), _SCHEMA)
-    return parts.groupBy("i", "j").agg(*[F.sum(F.col(c).cast(EXACT)).cast(EXACT).alias(c) for c in ("n", "si", "sj", "sij")])
+    with compiled_projections(df.sparkSession):
+        return materialize(parts.groupBy("i", "j").agg(*[F.sum(F.col(c).cast(EXACT)).cast(EXACT).alias(c) for c in _SUMS]), "pair_sums")
 
 
 def wide_covariance(df: DataFrame, cols: Sequence[str], use: str = "everything") -> DataFrame:
@@ -80,15 +87,11 @@ def wide_covariance(df: DataFrame, cols: Sequence[str], use: str = "everything")
     ``pairwise``."""
     if use not in ("everything", "pairwise"):
         raise ValueError(f"unknown use {use!r}")
-    probe = df.withColumn("__one", F.lit(1))
-    sums = pair_sums(probe, [*cols, "__one"])  # the last column counts all rows
-    k = len(cols)
-    total = sums.where((F.col("i") == k) & (F.col("j") == k)).select(F.col("n").alias("all"))
     names = F.array(*[F.lit(c) for c in cols])
     n, top = F.col("n"), F.col("n") * F.col("sij") - F.col("si") * F.col("sj")
     value = F.when(n > 1, F.try_divide(top.cast("double"), (n * (n - 1)).cast("double")))
-    pairs = sums.where((F.col("i") < F.col("j")) & (F.col("j") < k))
     if use == "everything":
-        pairs = pairs.join(F.broadcast(total), F.col("n") == F.col("all"), "left")  # one row
-        value = F.when(F.col("all").isNotNull(), value)
-    return pairs.select(names[F.col("i")].alias("col1"), names[F.col("j")].alias("col2"), value.alias("covariance"))
+        value = F.when(n == F.col("rows"), value)
+    return pair_sums(df, cols).where(F.col("i") < F.col("j")).select(
+        names[F.col("i")].alias("col1"), names[F.col("j")].alias("col2"), value.alias("covariance")
+    )

@@ -138,3 +138,37 @@ def test_wide_covariance_with_nulls_equals_the_narrow_one(spark):
     with pytest.raises(Exception, match="do not fit 64 bits"):
         pair_sums(df, ["a", "d"]).collect()
     assert all(r.covariance is None for r in wide_covariance(df.where("false"), ["a", "b", "c"]).collect())
+
+
+def test_wide_covariance_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    cols = [f"c{k}" for k in range(60)]
+    wide = spark.range(1_000).selectExpr(*[f"IF(id % 7 = 0 AND {k} = 3, NULL, CAST(id * {k + 3} % {k + 5} AS INT)) AS c{k}" for k in range(60)])
+    df = wide.mapInArrow(counted, wide.schema)
+    got = {(r.col1, r.col2): r.covariance for r in wide_covariance(df, cols).collect()}
+    assert seen.value == 1_000
+    x = np.array([[i * (k + 3) % (k + 5) for k in range(60)] for i in range(1_000)])
+    want = np.cov(x, rowvar=False, ddof=1)
+    assert len(got) == 60 * 59 // 2
+    for (a, b), v in got.items():
+        i, j = int(a[1:]), int(b[1:])
+        assert (v is None) if 3 in (i, j) else abs(v - want[i, j]) < 1e-9
+
+
+def test_wide_rows_are_computed_by_compiled_code(spark):
+    from faretrail.session import compiled_projections
+
+    key, before = "spark.sql.codegen.hugeMethodLimit", spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    limits = []
+    with compiled_projections(spark):
+        limits.append(spark.conf.get(key))
+        with pytest.raises(ZeroDivisionError), compiled_projections(spark):
+            limits.append(spark.conf.get(key))
+            1 / 0
+    assert [int(x) <= 8000 for x in limits] == [True, True] and spark.conf.get(key) == before
