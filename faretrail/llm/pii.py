@@ -307,7 +307,8 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
 
     Returns a row per input row: ``doc_id, n_email, n_ip, n_card, n_phone``
     (all spans), ``base_sha256`` (of the base spans), ``spans`` (all spans as
-    kind:start:end, comma-joined) and ``n_added``.
+    kind:start:end, comma-joined), ``n_added`` and ``base_email, base_ip,
+    base_card, base_phone`` (base spans only).
 
     The base spans are regular-expression matches that pass their kind's test.
     They are the seeds of the bootstrapping, with the words beside them;
@@ -341,6 +342,7 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
     added = shaped.union(_apart(_clear_of(found.where("not shaped"), shaped))).withColumn("is_base", F.lit(False))
     every = base.select("key", "kind", "start", "end", F.lit(True).alias("is_base")).union(added)
     counts = [F.sum((F.col("kind") == k).cast("long")).alias(f"n_{k}") for k in KINDS]
+    counts += [F.sum((F.col("is_base") & (F.col("kind") == k)).cast("long")).alias(f"base_{k}") for k in KINDS]
     per_text = every.groupBy("key").agg(
         *counts, _listed(F.col("is_base")).alias("base"), _listed(F.lit(True)).alias("spans"), F.sum((~F.col("is_base")).cast("long")).alias("n_added")
     )
@@ -350,4 +352,5 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
         F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
         F.coalesce("n_added", zero).alias("n_added"),
+        *[F.coalesce(f"base_{k}", zero).alias(f"base_{k}") for k in KINDS],
     )

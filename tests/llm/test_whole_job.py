@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from faretrail.llm import pii, secret_scan, toxicity
+from faretrail.llm import pii, registry, secret_scan, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -53,6 +53,18 @@ def test_identifiers_of_many_groups(spark):
         assert found(text, got[i]) == spans, text
 
 
+def test_the_query_counts_base_spans_only(spark, tmp_dir):
+    rng = np.random.default_rng(12)
+    texts = [f"call +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)} now" for _ in range(40)]
+    texts += ["please call 212-555-0123 now", "call +1 (212) 555-0123 4918187128635271 now", "a@b.c 1.2.3.4 1.2.3.4 x 4111111111111111 x +49 30 1234567", None]
+    table(spark, texts).write.parquet(f"{tmp_dir}/documents.parquet")
+    rows = {r["doc_id"]: r for r in registry.op5_pii(spark, tmp_dir).collect()}
+    n = [[r[f"n_{k}"] for k in pii.KINDS] for _, r in sorted(rows.items())]
+    assert n == [[0, 0, 0, 1]] * 40 + [[0, 0, 0, 0]] * 2 + [[1, 2, 1, 1], [0, 0, 0, 0]]
+    assert rows[41]["spans"] == "phone:5:22" and rows[41]["n_added"] == 1
+    assert rows[40]["spans"] == "phone:12:24" and rows[40]["n_added"] == 1
+
+
 def test_a_dropped_span_hides_no_other(spark):
     spans = [("t", "phone", 0, 10), ("t", "phone", 5, 15), ("t", "phone", 12, 20), ("t", "card", 12, 14), ("u", "ip", 3, 4)]
     long = [("v", "phone", 10 * i, 10 * i + 15) for i in range(2_000)]  # a chain: every other one stays
